@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ def shared_folder(spark: SparkSession) -> None:
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = KERNEL_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts have about `limit` bytes; a longer text stands alone."""
-    sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
     start = total = 0
     for i, n in enumerate(sizes):
         if i > start and total + n > limit:
