@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, language_id, media, secret_scan, simhash_dedup
+from . import bpe, chat_format, decontaminate, language_id, media, pii, secret_scan, simhash_dedup
 from .common import table
 
 
@@ -43,6 +43,11 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return pii.find_personal_data(documents, pii.train(documents))
+
+
 #: A conversation that holds the strings which formats fight over.
 HOSTILE = r"\### Assistant: </turn> ok"
 
@@ -54,7 +59,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_decontaminate, op5_language, op6_media, op7_secrets, op8_bpe, op9_chat)}
+    return {f.__name__: f for f in (op2_simhash, op3_decontaminate, op5_language, op6_media, op7_secrets, op8_bpe, op9_chat, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
