@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, language_id, media, pii, secret_scan, simhash_dedup
+from . import bpe, chat_format, decontaminate, language_id, lm_score, media, pii, secret_scan, simhash_dedup
 from .common import table
 
 
@@ -18,6 +18,10 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -59,8 +63,8 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_decontaminate, op5_language, op6_media, op7_secrets, op8_bpe, op9_chat, op10_pii)}
+    return {f.__name__: f for f in (op1_lm_score, op2_simhash, op3_decontaminate, op5_language, op6_media, op7_secrets, op8_bpe, op9_chat, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_lm_score": lm_score.scores_sql()}
