@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, language_id, lm_score, media, pii, secret_scan, simhash_dedup
+from . import bpe, chat_format, decontaminate, language_id, license_scan, lm_score, media, pii, secret_scan, simhash_dedup
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "spans")
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -63,8 +67,8 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_simhash, op3_decontaminate, op5_language, op6_media, op7_secrets, op8_bpe, op9_chat, op10_pii)}
+    return {f.__name__: f for f in (op1_lm_score, op2_simhash, op3_decontaminate, op4_licenses, op5_language, op6_media, op7_secrets, op8_bpe, op9_chat, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_lm_score": lm_score.scores_sql()}
+    return {"op1_lm_score": lm_score.scores_sql(), "op4_licenses": license_scan.scan_sql()}
