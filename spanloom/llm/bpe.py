@@ -81,55 +81,70 @@ class WordBpe:
         self.path, self.library = path, None
         self.table: dict[str, tuple[bytes, bytes]] = {}
 
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each non-empty word."""
-        sizes = np.array([len(w) for w in words])
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair, by binary search over the sorted pair keys; the number of ranks where there is none."""
+        key = left * self.n + right
+        at = np.searchsorted(self.keys, key)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == key, self.ranks[at], len(self.ranks))
+
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all non-empty words one after another, and where each word's begin and end."""
+        sizes = np.array([len(w) for w in words], np.int64)
         flat = np.frombuffer(b"".join(words), np.uint8)
         ids = self.inner[flat]
         last = np.cumsum(sizes) - 1
         ids[last] = self.final[flat[last]]
-        word = np.repeat(np.arange(len(words)), sizes)
-        done_ids, done_word = [], []
+        word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
         none = len(self.ranks)
+        rank = np.append(self.ranks_of(ids[:-1], ids[1:]), none)
+        rank[last] = none
+        done_ids, done_word = [], []
         while len(ids):
-            key = ids[:-1] * self.n + ids[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.where((self.keys[at] == key) & (word[:-1] == word[1:]), self.ranks[at], none)
-            rank = np.append(rank, none)
             start = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            least = np.repeat(np.minimum.reduceat(rank, start), np.diff(np.append(start, len(ids))))
-            over = least == none
-            if over.any():
+            size = np.diff(np.append(start, len(ids)))
+            least = np.minimum.reduceat(rank, start)
+            if (least == none).any():
+                over = np.repeat(least == none, size)
                 done_ids.append(ids[over])
                 done_word.append(word[over])
-                ids, word, rank, least = ids[~over], word[~over], rank[~over], least[~over]
+                live = ~over
+                ids, word, rank = ids[live], word[live], rank[live]
+                size, least = size[least != none], least[least != none]
                 if not len(ids):
                     break
-            hit = rank == least
             # of hits in a row (a pair of equal symbols) every second one counts, from the left
-            index = np.flatnonzero(hit)
+            index = np.flatnonzero(rank == np.repeat(least, size))
             run = np.append(True, np.diff(index) > 1)
             first = index[run][np.cumsum(run) - 1]
             index = index[(index - first) % 2 == 0]
             ids[index] = self.made[rank[index]]
             keep = np.ones(len(ids), bool)
             keep[index + 1] = False
-            ids, word = ids[keep], word[keep]
-        ids, word = np.concatenate(done_ids), np.concatenate(done_word)
-        ids = ids[np.argsort(word, kind="stable")]
-        return np.split(ids, np.cumsum(np.bincount(word, minlength=len(words)))[:-1])
+            ids, word, rank = ids[keep], word[keep], rank[keep]
+            # only pairs with a merged symbol are new
+            new = index - np.arange(len(index))
+            rank[new] = none
+            new = np.unique(np.concatenate([new, new[new > 0] - 1]))
+            new = new[new + 1 < len(ids)]
+            new = new[word[new] == word[new + 1]]
+            rank[new] = self.ranks_of(ids[new], ids[new + 1])
+        word = np.concatenate(done_word) if done_word else np.zeros(0, np.int32)
+        ids = (np.concatenate(done_ids) if done_ids else np.zeros(0, np.int64))[np.argsort(word, kind="stable")]
+        return ids, np.append(0, np.cumsum(np.bincount(word, minlength=len(words))))
 
     def learn(self, pieces: set[str]) -> dict[str, tuple[bytes, bytes]]:
         """For each piece: its ids as little-endian 32-bit integers, and its token strings joined by spaces."""
-        pieces = list(pieces)
-        words = [[p[1:]] if p[0] == " " else self.cut.findall(p) for p in pieces]
-        unique = list({w: None for ws in words for w in ws})
-        ids = dict(zip(unique, self.merge([w.encode() for w in unique]), strict=True)) if unique else {}
-        out = {}
-        for piece, ws in zip(pieces, words, strict=True):
-            one = np.concatenate([ids[w] for w in ws]) if ws else np.zeros(0, np.int64)
-            out[piece] = (one.astype("<u4").tobytes(), " ".join(map(self.names.__getitem__, one.tolist())).encode())
-        return out
+        cut = self.cut.findall
+        words = {p: (p,) if p.isascii() and p.isalpha() else (p[1:],) if p[0] == " " else cut(p) for p in pieces}
+        unique = list({w: None for ws in words.values() for w in ws})
+        if not unique:
+            return dict.fromkeys(pieces, (b"", b""))
+        ids, bound = self.merge([w.encode() for w in unique])
+        raw, bound = ids.astype("<u4").tobytes(), bound.tolist()
+        names = list(map(self.names.__getitem__, ids.tolist()))
+        known = {w: (raw[4 * a : 4 * b], " ".join(names[a:b]).encode()) for w, a, b in zip(unique, bound, bound[1:])}
+        return {p: known[ws[0]] if len(ws) == 1 else (b"".join([known[w][0] for w in ws]), b" ".join([known[w][1] for w in ws])) for p, ws in words.items()}
 
     def cut_by_library(self, text: str) -> list[str]:
         """Words, each marked by a space in front."""
