@@ -20,6 +20,7 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
@@ -209,13 +210,19 @@ def tokenizer(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def encode_texts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256; with keep also ids (array of integers) and decoded (string)."""
+def encode_texts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256; keep may name ids (array of integers) and decoded (string) too, and
+    `carry` columns of df."""
+    if not set(keep) <= {"ids", "decoded"}:
+        raise ValueError("keep takes ids and decoded")
 
     def kernel(texts: list[str]) -> list:
         found = tokenizer(path).encode_many(texts)
         out = [[len(a) // 4 for a, _ in found], [hashlib.sha256(a).hexdigest() for a, _ in found], [hashlib.sha256(b).hexdigest() for _, b in found]]
-        return [*out, [np.frombuffer(a, "<u4").astype(np.int32) for a, _ in found], [b.decode() for _, b in found]] if keep else out
+        if "ids" in keep:
+            flat = np.frombuffer(b"".join([a for a, _ in found]), "<u4").astype(np.int32)
+            out.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(out[0])), pa.int32()), pa.array(flat)))
+        return [*out, [b.decode() for _, b in found]] if "decoded" in keep else out
 
-    more = ", ids array<int>, decoded string" if keep else ""
-    return map_texts(df, kernel, f"n_tokens long, ids_sha256 string, decoded_sha256 string{more}", id_col, text_col)
+    more = ", ids array<int>" * ("ids" in keep) + ", decoded string" * ("decoded" in keep)
+    return map_texts(df, kernel, f"n_tokens long, ids_sha256 string, decoded_sha256 string{more}", id_col, text_col, carry=carry)

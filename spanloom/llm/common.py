@@ -26,10 +26,22 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def shared_path(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; one of our own where the cluster names none, as in tests."""
+    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+
+
 def shared_folder(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the cluster's spark.checkpoint.dir, or one of our own where none is set."""
+    """Make checkpoint() usable."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        spark.sparkContext.setCheckpointDir(shared_path(spark))
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the installed package of public tokenizers has its file `name`."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = KERNEL_BYTES) -> Iterator[pa.RecordBatch]:
@@ -45,17 +57,22 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = KERNEL_BYTES) -> Ite
         yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, kernel: Callable[[list], list], schema: str, id_col: str = "doc_id", text_col: str = "text", as_bytes: bool = False) -> DataFrame:
-    """One row per row of df: its id and what `kernel` makes of its text.
+def map_texts(df: DataFrame, kernel: Callable[[list], list], schema: str, id_col: str = "doc_id", text_col: str = "text", as_bytes: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of df: its id, what `kernel` makes of its text, and the columns of `carry` as they are.
 
     kernel: list of texts (str, or UTF-8 bytes with as_bytes; null is given as empty) -> list of columns in the order of
-    `schema`, which names the columns behind doc_id. Only the id and text columns are read, so others may have any name.
+    `schema`, which names the columns behind doc_id. Only the columns named are read, so others may have any name; a
+    carried column may not have a name of `schema`.
     """
     bound_batches(df.sparkSession)
     kind = pa.large_binary() if as_bytes else pa.large_string()
     empty = b"" if as_bytes else ""
-    chosen = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    read = F.col(f"`{text_col}`").cast("string")
+    more = [c for c in carry if c not in ("doc_id", "text")]
+    chosen = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), read.alias("text"), *(F.col(f"`{c}`") for c in more))
     out = spark_schema(f"doc_id bigint, {schema}")
+    given = chosen.schema.fields[1 if "text" in carry else 2 :]
+    out = type(out)(out.fields + given)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -64,7 +81,7 @@ def map_texts(df: DataFrame, kernel: Callable[[list], list], schema: str, id_col
         for whole in batches:
             for batch in slices(whole, "text"):
                 texts = [empty if t is None else t for t in batch.column("text").cast(kind).to_pylist()]
-                columns = kernel(texts)
+                columns = [*kernel(texts), *batch.columns[len(batch.columns) - len(given) :]]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:], strict=True))], schema=arrow)
 
     return chosen.mapInArrow(run, out)

@@ -131,10 +131,19 @@ def blocks_of(benchmark: DataFrame, window: int, id_col: str, text_col: str) ->
     return [spark.sparkContext.broadcast(Phrases([(r.name, r.text.encode()) for r in rows.where(block == i).orderBy("name", "text").toLocalIterator()], window)) for i in range(n)]
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, items (item_ids as sorted strings), spans (code points to remove) of each row of df."""
+def decontaminate(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_hit, items (item_ids as sorted strings), spans (code points to remove) of each row of df, and the
+    columns of `carry`."""
     blocks = blocks_of(benchmark, window, item_col, item_text_col)
-    return map_texts(df, lambda texts: scan_shard(texts, blocks), "n_words long, n_hit long, items array<string>, spans string", id_col, text_col, as_bytes=True)
+    return map_texts(df, lambda texts: scan_shard(texts, blocks), "n_words long, n_hit long, items array<string>, spans string", id_col, text_col, as_bytes=True, carry=carry)
+
+
+def without_contamination(df: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = (), window: int = WINDOW) -> DataFrame:
+    """doc_id, clean (the text without its removal spans; null stays null) and the columns of `carry`, of each row of df."""
+    blocks = blocks_of(benchmark, window, "item_id", "text")
+    kernel = lambda texts: [[without_spans(t.decode(), s) for t, s in zip(texts, scan_shard(texts, blocks)[3], strict=True)]]
+    found = map_texts(df, kernel, "clean string", as_bytes=True, carry=("text", *carry))
+    return found.select("doc_id", F.when(F.col("text").isNotNull(), F.col("clean")).alias("clean"), *(c for c in carry if c not in ("doc_id", "text")))
 
 
 def without_spans(text: str, spans: str) -> str:

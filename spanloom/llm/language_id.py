@@ -226,8 +226,8 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return ByteGru(labels).fit(*training_windows(passages, labels))
 
 
-def predict(df: DataFrame, model: ByteGru | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score of each row."""
+def predict(df: DataFrame, model: ByteGru | None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang_pred, score of each row, and the columns of `carry`."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def kernel(texts: list[str]) -> list:
@@ -240,7 +240,7 @@ def predict(df: DataFrame, model: ByteGru | None, id_col: str = "doc_id", text_c
                 names[i], scores[i] = network.labels[row.argmax()], round(min(1.0, float(row.max())), 6)
         return [pa.array(names, pa.string()), scores]
 
-    return map_texts(df, kernel, "lang_pred string, score double", id_col, text_col)
+    return map_texts(df, kernel, "lang_pred string, score double", id_col, text_col, carry=carry)
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -329,6 +329,14 @@ def find_personal_data(df: DataFrame, model: SkipChainCrf | None, id_col: str =
     return map_texts(df, kernel, "n_email long, n_ip long, n_card long, n_phone long, n_added long, base_sha256 string, spans string", id_col, text_col, as_bytes=True)
 
 
+def without_personal_data(df: DataFrame, model: SkipChainCrf | None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, clean (the text with every span replaced by its kind; null stays null) and the columns of `carry`."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    kernel = lambda texts: [[redacted(t.decode(), joined(every)) for t, (_, every) in zip(texts, scan(texts, shared.value), strict=True)]]
+    found = map_texts(df, kernel, "clean string", as_bytes=True, carry=("text", *carry))
+    return found.select("doc_id", F.when(F.col("text").isNotNull(), F.col("clean")).alias("clean"), *(c for c in carry if c not in ("doc_id", "text")))
+
+
 def redacted(text: str, spans: str) -> str:
     """The text with each span replaced by its kind in brackets; overlapping spans become one."""
     out, last = [], 0

@@ -8,14 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat_format, decontaminate, language_id, license_scan, lm_score, media, pii, secret_scan, simhash_dedup
-from .common import table
-
-
-def tokenizer_path(name: str) -> str:
-    """Where the installed package of public tokenizers has its file `name`."""
-    import public_tokenizers
-
-    return str(public_tokenizers.path(name))
+from .common import table, tokenizer_path
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,8 +59,14 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_turns(rows.unionByName(hostile), tokenizer_path("byte_bpe_50k.json"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_simhash, op3_decontaminate, op4_licenses, op5_language, op6_media, op7_secrets, op8_bpe, op9_chat, op10_pii)}
+    return {f.__name__: f for f in (op1_lm_score, op2_simhash, op3_decontaminate, op4_licenses, op5_language, op6_media, op7_secrets, op8_bpe, op9_chat, op10_pii, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

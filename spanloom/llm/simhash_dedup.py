@@ -184,3 +184,14 @@ def near_duplicates(df: DataFrame, words: int = 4, bits: int = 4, id_col: str =
     least = members.join(fps, "fp").groupBy("root").agg(F.min("first_id").alias("least_id"))
     joined = fps.join(members.join(least, "root").select("fp", "least_id"), "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
     return each.join(joined, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(df: DataFrame, words: int = 4, bits: int = 4, id_col: str = "doc_id") -> DataFrame:
+    """The rows of df with the smallest id of their component; of rows that repeat such an id, one. Rows without an id
+    can't be named by a component and stay."""
+    found = near_duplicates(df, words, bits, id_col)
+    kept = found.where("doc_id = component_id").groupBy("doc_id").count().withColumnRenamed("doc_id", id_col)
+    named = df.join(kept.select(id_col), id_col, "left_semi").select(df.columns)
+    if kept.where("count > 1").limit(1).count():
+        named = named.dropDuplicates([id_col])
+    return named.unionByName(df.where(F.col(id_col).isNull()))
