@@ -1,5 +1,8 @@
 """Language-model scores by Stupid Backoff with counts of the whole corpus but the document itself.
 
+An n-gram can occur in another document only if the shorter ones in it do. So counts are asked for in rounds: words and
+pairs first, then each longer n-gram only where the two shorter ones in it occur elsewhere; the others' counts are zero.
+
 The corpus is dealt to blocks of about BLOCK_BYTES by a hash of its rows. A block's n-grams (orders 0 to `order`; order 0 is
 the empty n-gram, which counts tokens) are named by 64-bit hashes and counted once per block, so a frequent n-gram is one
 entry of a block however often it occurs. The entries are partitioned by ranges of the hash; each range's count table is
@@ -42,55 +45,91 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+class Level:
+    """The n-grams of one length at the tokens `at`: group of each token, its hash, count and number in the token's document."""
+
+    def __init__(self, block: Block, at: np.ndarray, before: Level | None):
+        bits_w, bits_d = (int(max(n - 1, 1)).bit_length() for n in (len(block.hashes), len(block.sizes)))
+        word = block.words[at]
+        name = word if before is None else (before.group[at - 1] << bits_w) | word
+        name = (name << bits_d) | block.doc[at]
+        order = np.argsort(name)
+        name = name[order]
+        own = np.flatnonzero(np.append(True, name[1:] != name[:-1])[: len(name)])
+        name >>= bits_d
+        start = np.flatnonzero(np.append(True, name[1:] != name[:-1])[: len(name)])
+        self.count = np.diff(np.append(start, len(name)))
+        place = at[order]
+        self.group, self.own = np.full(len(block.words), -1), np.zeros(len(block.words), np.int64)
+        self.group[place] = np.repeat(np.arange(len(start)), self.count)
+        size = np.diff(np.append(own, len(name)))
+        self.own[place] = np.repeat(size, size)
+        first = place[start]
+        self.hash = block.hashes[block.words[first]]
+        if before is not None:
+            self.hash = _mixed(before.hash[before.group[first - 1]] + np.uint64(0x9E3779B97F4A7C15)) + self.hash
+        self.at = at
+
+
 class Block:
-    """Tokens of some texts: their documents, and for each order a key per token and whether it exists."""
+    """Tokens of some texts, and what is known of their n-grams."""
 
     def __init__(self, texts: list[bytes], order: int):
         words = [t.translate(LOWER).split() for t in texts]
         self.sizes = np.array([len(w) for w in words], np.int64)
-        numbers: dict[bytes, int] = {}
-        number = numbers.setdefault
-        flat = np.fromiter((number(w, len(numbers)) for ws in words for w in ws), np.int64, int(self.sizes.sum()))
+        flat = [w for ws in words for w in ws]
         del words
-        one = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))[flat]
+        numbers = dict(zip(dict.fromkeys(flat), range(len(flat))))
+        self.words = np.fromiter(map(numbers.__getitem__, flat), np.int64, len(flat))
+        self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))
         self.doc = np.repeat(np.arange(len(texts)), self.sizes)
-        place = np.arange(len(flat)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        self.there = [place >= k for k in range(order)]
-        self.keys = []
-        h = one
-        for k in range(order):
-            if k:
-                h = _mixed(np.append(one[:1], h[:-1]) + np.uint64(0x9E3779B97F4A7C15)) + one
-            self.keys.append(np.maximum(_mixed(h ^ np.uint64(k + 1)), np.uint64(1)))
-
-    def entries(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct keys in order, and their counts; the empty n-gram comes first."""
-        keys, counts = np.unique(np.concatenate([k[t] for k, t in zip(self.keys, self.there, strict=True)]), return_counts=True)
-        return np.append(EMPTY, keys), np.append(len(self.doc), counts)
-
-    def scores(self, totals: np.ndarray) -> np.ndarray:
-        """Sum of log S of each text. totals: corpus counts of entries()."""
-        n = len(self.sizes)
-        keys, where = np.unique(np.concatenate([k[t] for k, t in zip(self.keys, self.there, strict=True)]), return_inverse=True)
-        others = [(totals[0] - self.sizes)[self.doc].astype(np.float64)]
-        at = 0
-        for there in self.there:
-            mine = where[at : at + there.sum()]
-            at += len(mine)
-            _, pair, own = np.unique(mine * n + self.doc[there], return_inverse=True, return_counts=True)
-            c = np.zeros(len(self.doc))
-            c[there] = totals[1 + mine] - own[pair]
-            others.append(c)
-        log, left, backs = np.zeros(len(self.doc)), np.ones(len(self.doc), bool), np.zeros(len(self.doc))
-        for k in range(len(self.keys), 0, -1):
-            there = self.there[k - 1]
-            hit = np.flatnonzero(left & there & (others[k] > 0))
-            context = others[k - 1][hit - 1] if k > 1 else others[0][hit]
-            log[hit] = np.log(others[k][hit] / context) + backs[hit] * math.log(ALPHA)
+        self.place = np.arange(len(flat)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.rounds = [(1, 2)[:order], *((k,) for k in range(3, order + 1))]
+        self.levels: list[Level] = []
+        self.others: list[np.ndarray] = []  # of each order, per token: occurrences in other documents
+
+    def entries(self, totals: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Distinct keys in order and their counts to ask for next, given the corpus counts of those asked for before."""
+        for r, lengths in enumerate(self.rounds):
+            for k in lengths:
+                there = self.place >= k - 1
+                if k > 2:
+                    more = self.others[k - 1] > 0
+                    there &= more
+                    there[1:] &= more[:-1]
+                self.levels.append(Level(self, np.flatnonzero(there), self.levels[-1] if k > 1 else None))
+            now = self.levels[-len(lengths) :]
+            keys = np.concatenate([np.maximum(_mixed(x.hash ^ np.uint64(k)), np.uint64(1)) for k, x in zip(lengths, now, strict=True)])
+            order = np.argsort(keys)
+            if r == len(totals) and (len(keys) or r == 0):
+                keys, counts = keys[order], np.concatenate([x.count for x in now])[order]
+                return (np.append(EMPTY, keys), np.append(len(self.words), counts)) if r == 0 else (keys, counts)
+            found = totals[r] if r < len(totals) else np.zeros(0, np.int64)
+            if r == 0:
+                self.others = [(found[0] - self.sizes)[self.doc]]
+                found = found[1:]
+            back = np.empty(len(keys), np.int64)
+            back[order] = found
+            for x in now:
+                mine, back = back[: len(x.count)], back[len(x.count) :]
+                c = np.zeros(len(self.words), np.int64)
+                c[x.at] = mine[x.group[x.at]] - x.own[x.at]
+                self.others.append(c)
+        return None
+
+    def scores(self, totals: list[np.ndarray]) -> np.ndarray:
+        """Sum of log S of each text. totals: corpus counts for each round of entries()."""
+        self.entries(totals)
+        n = len(self.words)
+        log, left, backs = np.zeros(n), np.ones(n, bool), np.zeros(n)
+        for k in range(len(self.others) - 1, 0, -1):
+            hit = np.flatnonzero(left & (self.others[k] > 0))
+            context = self.others[k - 1][hit - 1] if k > 1 else self.others[0][hit]
+            log[hit] = np.log(self.others[k][hit] / context) + backs[hit] * math.log(ALPHA)
             left[hit] = False
-            backs[left & there] += 1
-        log[left] = backs[left] * math.log(ALPHA) - np.log(np.maximum(others[0][left], 1))
-        return np.bincount(self.doc, log, minlength=n)
+            backs[left & (self.place >= k - 1)] += 1
+        log[left] = backs[left] * math.log(ALPHA) - np.log(np.maximum(self.others[0][left], 1))
+        return np.bincount(self.doc, log, minlength=len(self.sizes))
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -127,13 +166,19 @@ def score_documents(df: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_
     blocks = parts = max(1, -(-int(total) // block_bytes))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition("block")
 
-    def ask(key, whole):
-        block = Block(_texts(whole.column("text")), order)
-        keys, counts = block.entries()
-        found = _ranges(keys, parts)
+    def totals_of(answers) -> list[np.ndarray]:
+        """By round, the corpus counts that came back to a block."""
+        found = sorted(zip(*(answers.column(c).to_pylist() for c in ("round", "part", "totals")), strict=True), key=lambda x: x[:2])
+        rounds = sorted({r for r, _, _ in found})
+        return [np.concatenate([unpack(x, np.uint64) for i, _, x in found if i == r]).astype(np.int64) for r in rounds]
+
+    def ask(block: int, texts, totals: list[np.ndarray], round_: int):
+        keys, counts = Block(texts, order).entries(totals) or (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        found = _ranges(keys, parts) if len(keys) else []
         return pa.table({
+            "round": pa.array([round_] * len(found), pa.int32()),
             "part": pa.array([p for p, _, _ in found], pa.int32()),
-            "block": pa.array([key[0].as_py()] * len(found), pa.int32()),
+            "block": pa.array([block] * len(found), pa.int32()),
             "entries": pa.array([pack(np.diff(keys[a:b], prepend=np.uint64(0))) for _, a, b in found], pa.binary()),
             "counts": pa.array([pack(counts[a:b].astype(np.uint32)) for _, a, b in found], pa.binary()),
         })
@@ -145,17 +190,26 @@ def score_documents(df: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_
         _, where = np.unique(np.concatenate(lists), return_inverse=True)
         table = np.bincount(where, counts)  # the count table of this range
         totals = np.split(table[where].astype(np.uint64), bound)
-        return pa.table({"block": whole.column("block"), "part": whole.column("part"), "totals": pa.array([pack(x) for x in totals], pa.binary())})
+        return pa.table({"block": whole.column("block"), "round": whole.column("round"), "part": whole.column("part"), "totals": pa.array([pack(x) for x in totals], pa.binary())})
 
     def score(key, left, right):
         block = Block(_texts(left.column("text")), order)
-        found = sorted(zip(right.column("part").to_pylist(), right.column("totals").to_pylist(), strict=True))
-        sums = block.scores(np.concatenate([unpack(x, np.uint64) for _, x in found]).astype(np.int64))
+        sums = block.scores(totals_of(right))
         n = block.sizes
         return pa.table({"doc_id": left.column("doc_id"), "n_tokens": pa.array(n), "score": pa.array(np.round(sums, 6)), "mean_score": pa.array(np.round(sums / np.maximum(n, 1), 6))})
 
-    asked = dealt.groupBy("block").applyInArrow(ask, spark_schema("part int,block int,entries binary,counts binary"))
-    answered = asked.groupBy("part").applyInArrow(answer, spark_schema("block int,part int,totals binary"))
+    def ask_more(round_: int):
+        return lambda key, left, right: ask(key[0].as_py(), _texts(left.column("text")), totals_of(right), round_)
+
+    asked_as, answered_as = spark_schema("round int,part int,block int,entries binary,counts binary"), spark_schema("block int,round int,part int,totals binary")
+    answered = None
+    for r in range(max(1, order - 1)):
+        if answered is None:
+            asked = dealt.groupBy("block").applyInArrow(lambda key, whole: ask(key[0].as_py(), _texts(whole.column("text")), [], 0), asked_as)
+        else:
+            asked = dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(ask_more(r), asked_as)
+        now = asked.groupBy("part").applyInArrow(answer, answered_as)
+        answered = now if answered is None else answered.unionByName(now)
     return dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(score, spark_schema("doc_id long,n_tokens long,score double,mean_score double"))
 
 
