@@ -25,7 +25,9 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,6 @@ from .common import bound_batches, spark_schema
 ALPHA = 0.4
 ORDER = 3
 BLOCK_BYTES = 4 << 20
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 EMPTY = np.uint64(0)  # the key of order 0
 
 
@@ -74,16 +75,19 @@ class Level:
 class Block:
     """Tokens of some texts, and what is known of their n-grams."""
 
-    def __init__(self, texts: list[bytes], order: int):
-        words = [t.translate(LOWER).split() for t in texts]
-        self.sizes = np.array([len(w) for w in words], np.int64)
-        flat = [w for ws in words for w in ws]
-        del words
-        numbers = dict(zip(dict.fromkeys(flat), range(len(flat))))
-        self.words = np.fromiter(map(numbers.__getitem__, flat), np.int64, len(flat))
-        self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))
-        self.doc = np.repeat(np.arange(len(texts)), self.sizes)
-        self.place = np.arange(len(flat)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+    def __init__(self, texts: pa.Array, order: int):
+        # Arrow lowers A to Z, splits at ASCII white space and numbers the words; blanks at the ends make empty words
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+        flat = lists.flatten()
+        full = pc.greater(pc.binary_length(flat), 0)
+        owner = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        self.doc = owner[full.to_numpy(zero_copy_only=False)]
+        self.sizes = np.bincount(self.doc, minlength=len(texts))
+        coded = flat.filter(full).dictionary_encode()
+        self.words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)), np.uint64, len(coded.dictionary))
+        del lists, flat, full, owner, coded
+        self.place = np.arange(len(self.words)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
         self.rounds = [(1, 2)[:order], *((k,) for k in range(3, order + 1))]
         self.levels: list[Level] = []
         self.others: list[np.ndarray] = []  # of each order, per token: occurrences in other documents
@@ -133,13 +137,15 @@ class Block:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Numbers of 8 or 4 bytes as planes of their bytes, for the shuffle's compression."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+    """Numbers of 8 or 4 bytes as planes of their bytes, compressed: high planes are mostly zeros."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return zstandard.ZstdCompressor(level=1, write_checksum=False).compress(planes)
 
 
 def unpack(data: bytes, kind) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+    planes = zstandard.ZstdDecompressor().decompress(data)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -154,8 +160,8 @@ def _ranges(keys: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
     return list(zip(part[start].tolist(), start.tolist(), [*start[1:].tolist(), len(keys)], strict=True))
 
 
-def _texts(column) -> list[bytes]:
-    return [b"" if t is None else t for t in column.cast(pa.large_binary()).to_pylist()]
+def _texts(column) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
 def score_documents(df: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
