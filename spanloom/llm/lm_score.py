@@ -22,6 +22,7 @@ others' counts. Very long texts are taken whole. An empty table gives an empty r
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ from .common import bound_batches, spark_schema
 ALPHA = 0.4
 ORDER = 3
 BLOCK_BYTES = 4 << 20
+#: Text that a task holds to compress what goes to the same block together.
+BUNDLE_BYTES = 16 << 20
 EMPTY = np.uint64(0)  # the key of order 0
 
 
@@ -77,7 +80,7 @@ class Block:
 
     def __init__(self, texts: pa.Array, order: int):
         # Arrow lowers A to Z, splits at ASCII white space and numbers the words; blanks at the ends make empty words
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         flat = lists.flatten()
         full = pc.greater(pc.binary_length(flat), 0)
         owner = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
@@ -160,8 +163,41 @@ def _ranges(keys: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
     return list(zip(part[start].tolist(), start.tolist(), [*start[1:].tolist(), len(keys)], strict=True))
 
 
-def _texts(column) -> pa.Array:
-    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, doc_id, text) as rows (block, ids, sizes, data): the texts of a block that stand near, compressed as one."""
+    zip_ = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
+
+    def bundled(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(held)
+        whole = whole.take(np.argsort(whole.column("block").to_numpy(), kind="stable"))
+        block = whole.column("block").to_numpy()
+        texts = pc.fill_null(whole.column("text").cast(pa.large_binary()), b"")
+        start = np.flatnonzero(np.append(True, np.diff(block) != 0))
+        bound = list(zip(start.tolist(), [*start[1:].tolist(), len(block)], strict=True))
+        sizes = pc.binary_length(texts).to_numpy().astype(np.int64)
+        offsets = pa.array(np.append(start, len(block)), pa.int32())
+        ids = pa.ListArray.from_arrays(offsets, whole.column("doc_id").combine_chunks())
+        data = [zip_(b"".join(texts.slice(a, b - a).to_pylist())) for a, b in bound]
+        return pa.RecordBatch.from_arrays([pa.array(block[start]), ids, pa.ListArray.from_arrays(offsets, pa.array(sizes)), pa.array(data, pa.binary())], names=["block", "ids", "sizes", "data"])
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= BUNDLE_BYTES:
+            yield bundled(held)
+            held, size = [], 0
+    if any(len(b) for b in held):
+        yield bundled(held)
+
+
+def _unbundle(rows: pa.Table) -> tuple[pa.Array, pa.Array]:
+    """ids and texts of a block's rows."""
+    data = b"".join(zstandard.ZstdDecompressor().decompress(x) for x in rows.column("data").to_pylist())
+    sizes = rows.column("sizes").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    offsets = np.append(0, np.cumsum(sizes)).astype(np.int64)
+    texts = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(data))
+    return rows.column("ids").combine_chunks().flatten(), texts
 
 
 def score_documents(df: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,7 +206,7 @@ def score_documents(df: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_
     rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = parts = max(1, -(-int(total) // block_bytes))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition("block")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).mapInArrow(_bundle, spark_schema("block int,ids array<long>,sizes array<long>,data binary")).repartition("block")
 
     def totals_of(answers) -> list[np.ndarray]:
         """By round, the corpus counts that came back to a block."""
@@ -199,19 +235,20 @@ def score_documents(df: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_
         return pa.table({"block": whole.column("block"), "round": whole.column("round"), "part": whole.column("part"), "totals": pa.array([pack(x) for x in totals], pa.binary())})
 
     def score(key, left, right):
-        block = Block(_texts(left.column("text")), order)
+        ids, texts = _unbundle(left)
+        block = Block(texts, order)
         sums = block.scores(totals_of(right))
         n = block.sizes
-        return pa.table({"doc_id": left.column("doc_id"), "n_tokens": pa.array(n), "score": pa.array(np.round(sums, 6)), "mean_score": pa.array(np.round(sums / np.maximum(n, 1), 6))})
+        return pa.table({"doc_id": ids, "n_tokens": pa.array(n), "score": pa.array(np.round(sums, 6)), "mean_score": pa.array(np.round(sums / np.maximum(n, 1), 6))})
 
     def ask_more(round_: int):
-        return lambda key, left, right: ask(key[0].as_py(), _texts(left.column("text")), totals_of(right), round_)
+        return lambda key, left, right: ask(key[0].as_py(), _unbundle(left)[1], totals_of(right), round_)
 
     asked_as, answered_as = spark_schema("round int,part int,block int,entries binary,counts binary"), spark_schema("block int,round int,part int,totals binary")
     answered = None
     for r in range(max(1, order - 1)):
         if answered is None:
-            asked = dealt.groupBy("block").applyInArrow(lambda key, whole: ask(key[0].as_py(), _texts(whole.column("text")), [], 0), asked_as)
+            asked = dealt.groupBy("block").applyInArrow(lambda key, whole: ask(key[0].as_py(), _unbundle(whole)[1], [], 0), asked_as)
         else:
             asked = dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(ask_more(r), asked_as)
         now = asked.groupBy("part").applyInArrow(answer, answered_as)
