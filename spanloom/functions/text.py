@@ -125,7 +125,7 @@ def first_non_empty(*columns) -> Column:
 
 def one_line(text) -> Column:
     """Line ends become a backslash and n, tabs a space."""
-    return F.replace(F.regexp_replace(_c(text), r"\r\n|\r|\n", r"\\\\n"), F.lit("\t"), F.lit(" "))
+    return F.replace(F.regexp_replace(_c(text), r"\r\n|\r|\n", r"\\n"), F.lit("\t"), F.lit(" "))
 
 
 def restore_lines(text) -> Column:
