@@ -15,6 +15,7 @@ Very long texts are read whole. Templates are a bounded parameter (MAX_BIGRAMS).
 from __future__ import annotations
 
 import re
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,15 +57,21 @@ def bigrams_of(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
+def _share(t: float) -> Fraction:
+    """The threshold as the exact fraction that its decimal form says; bounds are compared in whole numbers."""
+    return Fraction(str(t))
+
+
 def _bounds(sizes: list[int], t: float) -> tuple[int, int]:
     """Least and most distinct bigrams of a unit that can match any template."""
-    return int(-(-min(sizes) * t // (2 - t))), int(max(sizes) * (2 - t) // t)
+    r = _share(t) / (2 - _share(t))
+    return int(-(-min(sizes) * r // 1)), int(max(sizes) / r // 1)
 
 
 def anchors_of(grams: list[str], t: float) -> set[str]:
     """Words of which a unit must have one to reach t: without them too few of a template's bigrams are left. Long words
     come first, as rare ones mostly are."""
-    needed = -(-len(grams) * t // (2 - t))
+    needed = -(-len(grams) * _share(t) / (2 - _share(t)) // 1)
     left, chosen = [g.split(" ") for g in grams], set()
     for word in sorted({w for g in left for w in g}, key=lambda w: (-len(w), w)):
         if len(left) < needed:
@@ -94,14 +101,16 @@ def scan_licenses(df: DataFrame, templates: dict[str, str] | None = None, thresh
     whole = F.when(F.size("lines") > 1, F.array(F.array_remove(F.flatten("lines"), ""))).otherwise(F.array().cast("array<array<string>>"))
     units = split.select("doc_id", F.size("lines").alias("n_lines"), F.posexplode(F.concat("lines", whole)).alias("place", "words"))
     units = units.where((F.size("words") > least) & F.exists("words", lambda w: w.isin(anchors)))
-    pairs = F.zip_with(F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words") - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    fewer = F.greatest(F.size("words") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("words", F.lit(1), fewer), F.slice("words", F.lit(2), fewer), lambda a, b: F.concat(a, F.lit(" "), b))
     known = F.filter(pairs, lambda g: g.isin(every))
     hit = units.where(F.size(known) >= least).select("doc_id", F.when(F.col("place") == F.col("n_lines"), WHOLE).otherwise(F.col("place")).alias("line"), F.array_distinct(pairs).alias("grams"))
     candidates = F.array(*(F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, grams)).alias("grams")) for name, grams in sorted(sets.items())))
-    near = F.filter(candidates, lambda c: (F.size("grams") * (2 - threshold) >= F.size(c["grams"]) * threshold) & (F.size("grams") * threshold <= F.size(c["grams"]) * (2 - threshold)))
-    dice = 2.0 * F.size(F.array_intersect("grams", "candidate.grams")) / (F.size("grams") + F.size("candidate.grams"))
-    scored = hit.where(F.size("grams").between(least, most)).select("doc_id", "line", "grams", F.explode(near).alias("candidate")).select("doc_id", "line", "candidate.license", dice.alias("dice"))
-    return scored.where(F.col("dice") >= threshold).withColumn("dice", F.round("dice", 6))
+    p, q = _share(threshold).numerator, _share(threshold).denominator
+    near = F.filter(candidates, lambda c: (F.size("grams") * (2 * q - p) >= F.size(c["grams"]) * p) & (F.size("grams") * p <= F.size(c["grams"]) * (2 * q - p)))
+    shared, both = F.size(F.array_intersect("grams", "candidate.grams")), F.size("grams") + F.size("candidate.grams")
+    scored = hit.where(F.size("grams").between(least, most)).select("doc_id", "line", "grams", F.explode(near).alias("candidate")).select("doc_id", "line", "candidate.license", shared.alias("shared"), both.alias("both"))
+    return scored.where(F.col("shared") * (2 * q) >= F.col("both") * p).select("doc_id", "line", "license", F.round(F.lit(2.0) * F.col("shared") / F.col("both"), 6).alias("dice"))
 
 
 def scan_sql(templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> str:
