@@ -329,3 +329,66 @@ class DictionaryModel:
     def load(self, spark, path: str) -> DictionaryModel:
         self.entries = spark.read.parquet(path)
         return self
+
+
+# --- matching by pattern ---------------------------------------------------------------------------------------------
+def _fold(gram: Column) -> Column:
+    """The key that a mention and its matches share: runs of a-z and 0-9 joined by spaces, without a plural's last s."""
+    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(gram), "[^a-z0-9]+", " ")), "s+$", "")
+
+
+def _pattern(mention: Column) -> Column:
+    """An anchored expression: special characters escaped; spaces any white space; hyphens and slashes also as spaces; s*."""
+    escaped = F.regexp_replace(F.regexp_replace(mention, r"([.^$|?*+(){}\[\]\\])", r"\\$1"), r"\s+", " ")
+    for a, b in ((" ", r"\s+"), ("-", "[- ]"), ("/", "[/ ]")):
+        escaped = F.replace(escaped, F.lit(a), F.lit(b)) if a != "-" else F.regexp_replace(escaped, "-", "[- ]")
+    return F.concat(F.lit("^"), escaped, F.lit("s*$"))
+
+
+def annotate(notes: DataFrame, headers: DataFrame, dictionary: DataFrame, max_n: int, keep_overlaps: bool = False, skip_prefix: int = 100, case_sensitive: bool = False) -> DataFrame:
+    """Matches of section mentions as patterns: note_id, start, end, concept_id, section, dict_entry, any_section, ord.
+
+    dictionary: section, mention, concept_id and optionally sections (an array; null means any). Candidates come from an
+    equal join of folded n-grams, so a note is never scanned for each mention; the pattern then decides on the text itself.
+    A match must stand at word boundaries, not in the first skip_prefix characters, not in a header line (unless overlaps
+    are kept), nor under an excluded header or before the first one. A key counts where its section contains the header's
+    name, equals it, or is any. keep_overlaps leaves overlaps unresolved.
+    """
+    from .sections import at_section, excluded_section
+
+    d = dictionary if "sections" in dictionary.columns else dictionary.withColumn("sections", F.when(F.col("section") != ANY, F.array("section")))
+    lead = F.length("mention") - F.length(F.regexp_replace("mention", "^[^A-Za-z0-9]+", ""))
+    trail = F.length("mention") - F.length(F.regexp_replace("mention", "[^A-Za-z0-9]+$", ""))
+    d = d.select("section", "sections", "mention", "concept_id", _fold(F.col("mention")).alias("fold"), _pattern(F.col("mention")).alias("pattern"), lead.alias("lead"), trail.alias("trail")).where("fold <> ''")
+    grams = ngram_table(notes, max_n).withColumn("fold", _fold(F.col("gram"))).select("note_id", "fold", "start", "end")
+    found = grams.join(d, "fold").withColumn("start", F.col("start") - F.col("lead")).withColumn("end", F.col("end") + F.col("trail")).where(F.col("start") >= skip_prefix)
+    text = F.col("text") if case_sensitive else F.lower("text")
+    found = found.join(notes.select("note_id", "text"), "note_id").withColumn("text", text)
+    found = found.where(F.rlike(T.slice_text("text", F.col("start"), F.col("end")), F.col("pattern")) & T.at_word_boundary("text", F.col("start"), F.col("end")))
+    if not keep_overlaps:
+        found = found.where(~T.in_header_line("text", F.col("start")))
+    flat = found.select("note_id", "start", "end", "concept_id", "section", "sections", F.col("mention").alias("dict_entry"))
+    placed = at_section(flat, headers).where(F.col("header").isNotNull() & ~excluded_section(F.col("header")))
+    fits = F.col("sections").isNull() | F.exists("sections", lambda s: F.contains(s, F.col("header")))
+    hits = placed.where(fits).withColumn("any_section", F.col("sections").isNull() | (F.size("sections") > 1)).drop("header", "sections")
+    ordered = S.with_order(hits, "start", "end", "dict_entry", "section")
+    return ordered if keep_overlaps else S.remove_overlaps(ordered)
+
+
+def make_predictions(notes: DataFrame, headers: DataFrame, raw_headers: DataFrame, dictionary: DataFrame, cased: DataFrame, extensions: DataFrame, max_n: int) -> DataFrame:
+    """Both passes as one span table: lower-case text with the dictionary, raw text with case-sensitive entries; overlaps
+    resolved, concepts specialised by the words before them."""
+    from .terminology import specialise
+
+    low = annotate(notes, headers, dictionary, max_n)
+    raw = annotate(notes, raw_headers, cased, max_n, case_sensitive=True)
+    return specialise(join_predictions(low, raw), notes.select("note_id", "text"), extensions)
+
+
+def add_external(dictionary: DataFrame, sources: list[DataFrame], names: DataFrame, blacklist: DataFrame) -> DataFrame:
+    """cond_update() with each source, then with word replacements, then with permutations of what is there by then."""
+    for more in sources:
+        dictionary = cond_update(dictionary, more, names, blacklist)
+    numbered = lambda d: d.withColumn("ord", F.xxhash64("section", "mention"))  # noqa: E731  # any fixed order of keys
+    dictionary = cond_update(dictionary, word_replacements(numbered(dictionary)), names, blacklist)
+    return cond_update(dictionary, word_permutations(numbered(dictionary), blacklist), names, blacklist)

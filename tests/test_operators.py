@@ -188,3 +188,26 @@ def test_stream_matches_notes(spark, tmp_path):
     q = match.match_stream(notes, lexicon, 2, str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert rows(spark.read.parquet(str(tmp_path / "out")), "note_id", "start", "end", "concept_id") == [("n1", 0, 10, 5)]
+
+
+def test_annotate_by_patterns(spark):
+    text = "x" * 100 + "\nPlan:\n\nHas chest  pains, x-ray (left) and MRIs; xchest pain.\nService:\n\nchest pain\n"
+    notes = spark.createDataFrame([("n", text)], "note_id string, text string")
+    low = notes.withColumn("text", F.lower("text"))
+    headers = H.section_headers(low, ("plan", "service"))
+    d = spark.createDataFrame([("any", "chest pain", 1), ("plan:", "x ray (left)", 2), ("plan:", "x-ray (left)", 3), ("other:", "mri", 4), ("plan:", "mri", 5)], "section string, mention string, concept_id long")
+    got = rows(D.annotate(notes, headers, d, 3), "start", "end", "concept_id")
+    at = lambda s: text.index(s)
+    assert got == [(at("chest  pains"), at("chest  pains") + 12, 1), (at("x-ray"), at("x-ray") + 12, 3), (at("MRIs"), at("MRIs") + 4, 5)]
+    cased = spark.createDataFrame([("any", "MRI", 7)], "section string, mention string, concept_id long")
+    none = spark.createDataFrame([], "general_id long, specific_id long, additional_word string, ord int")
+    both = D.make_predictions(notes, headers, headers, d, cased, none, 3)
+    assert rows(both, "concept_id") == [(1,), (3,), (5,)]
+
+
+def test_add_external(spark):
+    base = spark.createDataFrame([("any", "pain of chest", 1)], "section string, mention string, concept_id long")
+    more = spark.createDataFrame([("any", "pain of chest", 2), ("any", "black", 3), ("any", "knee", 4)], "section string, mention string, concept_id long")
+    names = spark.createDataFrame([(2, "other")], "concept_id long, name string")
+    got = dict(rows(D.add_external(base, [more], names, spark.createDataFrame([("black",)], "word string")), "mention", "concept_id"))
+    assert {"pain of chest": 1, "knee": 4, "chest pain": 1, "pain of the chest": 1}.items() <= got.items() and "black" not in got
