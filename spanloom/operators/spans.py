@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,6 +11,8 @@ from pyspark.sql import Window as W
 
 from ..functions import text as T
 
+#: Chains of spans that a grouped function takes at once.
+BUNDLE = 256
 REQUIRED = ("note_id", "start", "end", "concept_id")
 
 
@@ -77,10 +81,11 @@ def overlapping(left: DataFrame, right: DataFrame, predicate=strict_overlap, kee
     return left.join(hit, ["note_id", "ord"], "left_semi" if keep else "left_anti")
 
 
-def islands(df: DataFrame) -> DataFrame:
-    """Add `island`: the number, within a note, of the run of spans that overlap in a chain."""
+def islands(df: DataFrame, touching: bool = False) -> DataFrame:
+    """Add `island`: the number, within a note, of the run of spans that overlap (or touch) in a chain."""
     w = W.partitionBy("note_id").orderBy("start", "end", "ord")
-    fresh = F.col("start") >= F.coalesce(F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(-1))
+    high = F.coalesce(F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(-1))
+    fresh = F.col("start") > high if touching else F.col("start") >= high
     return df.withColumn("__fresh", fresh.cast("int")).withColumn("island", F.sum("__fresh").over(w)).drop("__fresh")
 
 
@@ -121,32 +126,41 @@ def sweep(rows: list[tuple[int, int, float]]) -> list[int]:
                 break
             gone.add(j)
     kept = [i for i in range(len(rows)) if i not in gone]
-    inside = lambda p: any(rows[k][0] <= p < rows[k][1] for k in kept)
+    longest = max((e - s for s, e, _ in rows), default=0)
+    starts = [rows[i][0] for i in kept]
+
+    def inside(p: int) -> bool:
+        at = bisect.bisect_right(starts, p)
+        while at > 0 and starts[at - 1] > p - longest:
+            at -= 1
+            if rows[kept[at]][1] > p:
+                return True
+        return False
+
     for i in sorted(gone):
         if not inside(rows[i][0]) and not inside(rows[i][1]):
-            kept.append(i)
+            at = bisect.bisect_right(starts, rows[i][0])
+            starts.insert(at, rows[i][0])
+            kept.insert(at, i)
     return sorted(kept)
 
 
 def remove_overlaps(df: DataFrame) -> DataFrame:
     """Resolve overlaps by weight: length, less 0.1 where the entry holds for any section (`any_section`).
 
-    The sweep depends on order, so chains of overlapping spans go to a grouped pandas function, each on its own; ties are
-    by (start, end, ord). A dropped span may come back, so overlaps can remain by design.
+    The sweep depends on order, so chains of spans that overlap or touch go to a grouped pandas function, a bundle of them at
+    a time; chains don't affect each other, and a note with very many spans is spread. Ties are by (start, end, ord). A
+    dropped span may come back, so overlaps can remain by design.
     """
     schema = df.schema
 
-    def per_chain(rows: pd.DataFrame) -> pd.DataFrame:
+    def per_bundle(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["start", "end", "ord"]).reset_index(drop=True)
         weight = (rows["end"] - rows["start"]) - 0.1 * rows["any_section"].astype(float)
         return rows.iloc[sweep(list(zip(rows["start"], rows["end"], weight, strict=True)))][schema.names]
 
-    chained = islands(df)
-    alone = F.count("*").over(W.partitionBy("note_id", "island"))
-    sized = chained.withColumn("__n", alone)
-    single = sized.where("__n = 1").select(*schema.names)
-    many = sized.where("__n > 1").drop("__n").groupBy("note_id", "island").applyInPandas(per_chain, schema)
-    return single.unionByName(many)
+    bundles = islands(df, touching=True).groupBy("note_id", F.floor(F.col("island") / BUNDLE))
+    return bundles.applyInPandas(per_bundle, schema)
 
 
 def first_overlaps(df: DataFrame) -> DataFrame:
