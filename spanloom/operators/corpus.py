@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as T
+from .shared import running_sum
 
 
 def tagged(df: DataFrame, dataset: str, split: str, is_expert: bool, repo: str) -> DataFrame:
@@ -51,17 +52,10 @@ def manifest(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def dense_ids(df: DataFrame, order: list[str], name: str = "annotation_id", within: list[str] | None = None) -> DataFrame:
-    """Numbers from 1 in the order given, restarting in each group of `within`.
-
-    Without groups the rows are range-partitioned and numbered per partition with offsets from the partitions' counts, so that
-    no task sees all rows.
-    """
+    """Numbers from 1 in the order given, restarting in each group of `within`; without groups no task sees all rows."""
     if within:
         return df.withColumn(name, F.row_number().over(W.partitionBy(*within).orderBy(*order)))
-    parted = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
-    counts = parted.groupBy("__p").agg(F.count("*").alias("__n"))
-    offsets = counts.withColumn("__o", F.coalesce(F.sum("__n").over(W.partitionBy(F.lit(1)).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    return parted.withColumn("__r", F.row_number().over(W.partitionBy("__p").orderBy(*order))).join(offsets, "__p").withColumn(name, (F.col("__o") + F.col("__r")).cast("bigint")).drop("__p", "__r", "__o")
+    return running_sum(df, order, F.lit(1).cast("bigint"), name)
 
 
 def in_order_of(df: DataFrame, notes: DataFrame, key: str = "note_id", order: str = "ord", then: tuple[str, ...] = ("start", "end")) -> DataFrame:
@@ -102,23 +96,27 @@ def folds(df: DataFrame, key: str, k: int = 4, seed: int = 42) -> DataFrame:
     return df.withColumn("fold", F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(k)).cast("int"))
 
 
+def _ranked(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """Add `__r`: the place of a row by a seeded hash of its key, from 1."""
+    hashed = df.withColumn("__h", F.xxhash64(F.col(key).cast("string"), F.lit(seed)))
+    return dense_ids(hashed, ["__h", key], "__r").drop("__h")
+
+
 def exact_folds(df: DataFrame, key: str, sizes: list[int], seed: int = 42) -> DataFrame:
-    """Add `fold` with just these sizes, by the rank of a hash; another number of rows raises. For small tables of notes."""
+    """Add `fold` with just these sizes, by the rank of a hash; another number of rows raises."""
     n = df.count()
     if n != sum(sizes):
         raise ValueError(f"{n} rows for sizes {sizes}")
-    rank = F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), key))
     fold = F.lit(len(sizes) - 1)
     for i in range(len(sizes) - 2, -1, -1):
         fold = F.when(F.col("__r") <= sum(sizes[: i + 1]), i).otherwise(fold)
-    return df.withColumn("__r", rank).withColumn("fold", fold).drop("__r")
+    return _ranked(df, key, seed).withColumn("fold", fold).drop("__r")
 
 
 def cross_validation(df: DataFrame, key: str, k: int = 5, seed: int = 123456) -> DataFrame:
-    """Add `fold` of n // k rows each by the rank of a hash; the last fold takes what is left. For small tables of notes."""
-    size = F.greatest(F.floor(F.count("*").over(W.partitionBy(F.lit(1))) / k), F.lit(1))
-    rank = F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), key)) - 1
-    return df.withColumn("fold", F.least(F.floor(rank / size), F.lit(k - 1)).cast("int"))
+    """Add `fold` of n // k rows each by the rank of a hash; the last fold takes what is left."""
+    size = max(1, df.count() // k)
+    return _ranked(df, key, seed).withColumn("fold", F.least(F.floor((F.col("__r") - 1) / size), F.lit(k - 1)).cast("int")).drop("__r")
 
 
 def follow(annotations: DataFrame, notes: DataFrame) -> DataFrame:

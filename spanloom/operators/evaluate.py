@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import spans as S
+from .shared import running_sum
 
 # Regimes in their order, and those that go to review.
 REGIMES = ("ACCORD", "CONFLIT", "D_SEUL", "S_SEUL", "AUCUN")
@@ -222,10 +223,9 @@ def f1_summary(df: DataFrame, gold: str, pred: str) -> DataFrame:
 
 
 def pair_auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """auc of a score for a 0/1 label, by value counts: a window runs over distinct scores, not over rows."""
+    """auc of a score for a 0/1 label; null without both labels. Scores are counted first, then summed up in order."""
     by = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label)).alias("pos"), F.sum(1 - F.col(label)).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(W.partitionBy(F.lit(1)).orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    u = by.withColumn("u", F.col("pos") * (below + F.col("neg") / 2)).agg(F.sum("u").alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    u = running_sum(by, ["s"], F.col("neg"), "upto").withColumn("u", F.col("pos") * (F.col("upto") - F.col("neg") / 2)).agg(F.sum("u").alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return u.select(F.when(F.col("p") * F.col("n") > 0, F.col("u") / (F.col("p") * F.col("n"))).alias("auc"))
 
 

@@ -9,18 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import cut_lineage
+
 # Type of Is-A, the root concept, fully specified names and synonyms.
 IS_A, ROOT, FSN, SYNONYM = 116680003, 138875005, 900000000000003001, 900000000000013009
 MAX_DEPTH = 10_000
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    return df.checkpoint()
-
-
 def from_tables(descriptions: DataFrame, relationships: DataFrame, collapse: bool = False) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) from active rows. nodes: sctid, fsn (else the first synonym), synonyms; only concepts on an edge.
 
@@ -68,14 +63,14 @@ def reachable(steps: DataFrame, starts: DataFrame, depth: int | None = None) ->
     result, even on a cycle. depth bounds the hops and must be positive."""
     if depth is not None and depth <= 0:
         raise ValueError("steps must be positive")
-    seen = _cut(starts.select(F.col("node").alias("start"), "node").distinct().withColumn("hops", F.lit(0)))
+    seen = cut_lineage(starts.select(F.col("node").alias("start"), "node").distinct().withColumn("hops", F.lit(0)))
     front = seen
     for hop in range(1, (depth or MAX_DEPTH) + 1):
         ahead = front.join(steps.withColumnRenamed("src", "node"), "node").select("start", F.col("dst").alias("node")).distinct()
-        front = _cut(ahead.join(seen, ["start", "node"], "left_anti").withColumn("hops", F.lit(hop)))
+        front = cut_lineage(ahead.join(seen, ["start", "node"], "left_anti").withColumn("hops", F.lit(hop)))
         if front.isEmpty():
             break
-        seen = _cut(seen.unionByName(front))
+        seen = cut_lineage(seen.unionByName(front))
     return seen.where("hops > 0")
 
 
@@ -99,17 +94,17 @@ def shortest_path(edges: DataFrame, start, goal) -> DataFrame:
     spark = edges.sparkSession
     steps = edges.select("src", "dst").distinct()
     for a, b in ((start, goal), (goal, start)):
-        front = seen = _cut(spark.range(1).select(F.lit(a).cast("bigint").alias("node"), F.array(F.lit(a).cast("bigint")).alias("path")))
+        front = seen = cut_lineage(spark.range(1).select(F.lit(a).cast("bigint").alias("node"), F.array(F.lit(a).cast("bigint")).alias("path")))
         for _ in range(MAX_DEPTH):
             found = front.where(F.col("node") == b).select("path")
             if not found.isEmpty():
                 return found
             ahead = front.join(steps.withColumnRenamed("src", "node"), "node").select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
             ahead = ahead.groupBy("node").agg(F.min("path").alias("path"))
-            front = _cut(ahead.join(seen, "node", "left_anti"))
+            front = cut_lineage(ahead.join(seen, "node", "left_anti"))
             if front.isEmpty():
                 break
-            seen = _cut(seen.select("node", "path").unionByName(front))
+            seen = cut_lineage(seen.select("node", "path").unionByName(front))
     return seen.where(F.lit(False)).select("path")
 
 

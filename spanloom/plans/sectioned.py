@@ -76,17 +76,17 @@ core AS (SELECT section, mention, c FROM top WHERE r = 1 AND (section <> 'any' O
 """
 
 
-@query("kiri_core", _CORE + "SELECT section, mention, c AS concept_id FROM core")
-def kiri_core(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("section_dictionary", _CORE + "SELECT section, mention, c AS concept_id FROM core")
+def section_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.section_dictionary(_placed(spark, sf_dir).withColumnRenamed("header", "section"), _notes(spark, sf_dir).select("note_id", "text"))
 
 
-@query("kiri_match", _CORE + """SELECT t.note_id, t.s AS start, t.e AS "end", coalesce(a.c, b.c) AS concept_id, CASE WHEN a.c IS NOT NULL THEN header ELSE 'any' END AS section
+@query("section_match", _CORE + """SELECT t.note_id, t.s AS start, t.e AS "end", coalesce(a.c, b.c) AS concept_id, CASE WHEN a.c IS NOT NULL THEN header ELSE 'any' END AS section
 FROM (SELECT * FROM (SELECT t.*, h.header, row_number() OVER (PARTITION BY t.note_id, t.o ORDER BY h.s DESC) AS r FROM toks t JOIN headers h ON h.note_id = t.note_id AND h.s <= t.s WHERE t.s >= 100) WHERE r = 1) t
 LEFT JOIN core a ON a.section = t.header AND a.mention = t.tok LEFT JOIN core b ON b.section = 'any' AND b.mention = t.tok WHERE a.c IS NOT NULL OR b.c IS NOT NULL""")
-def kiri_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+def section_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _notes(spark, sf_dir).select("note_id", "text")
-    return D.predict_sections(n, _headers(spark, sf_dir), kiri_core(spark, sf_dir), 1).select("note_id", "start", "end", "concept_id", "section")
+    return D.predict_sections(n, _headers(spark, sf_dir), section_dictionary(spark, sf_dir), 1).select("note_id", "start", "end", "concept_id", "section")
 
 
 @query("dictionary_pruned")
@@ -105,7 +105,7 @@ keys AS (SELECT section, entry, count(*) FILTER (score = 1) AS p, count(*) FILTE
 SELECT section, entry AS dict_entry, p AS n_correct, m AS n_incorrect, round(p / (p + 0.3 * m), 6) AS confidence FROM keys""")
 def confidence_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _notes(spark, sf_dir).select("note_id", "text")
-    hits = D.match_sections(n, _headers(spark, sf_dir), kiri_core(spark, sf_dir), 1)
+    hits = D.match_sections(n, _headers(spark, sf_dir), section_dictionary(spark, sf_dir), 1)
     scores = D.key_scores(D.score_hits(hits, _gold(spark, sf_dir)), by_note=False)
     return scores.withColumn("confidence", F.round(F.col("n_correct") / (F.col("n_correct") + 0.3 * F.col("n_incorrect")), 6))
 
