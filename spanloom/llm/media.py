@@ -139,9 +139,18 @@ def npy(array: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def tiles(df: DataFrame, id_col: str = "media_id", media_col: str = "media", size: int = 32) -> DataFrame:
-    """Per tile of at most size x size of each image, after halving nothing: id, tile_y, tile_x, npy, dhash; error has the
-    reason where the bytes can't be decoded (one row, other columns null). Images are cut, never cropped."""
+def resized(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Area means rounded to the image's own kind of numbers, channel by channel."""
+    channels = image[:, :, None] if image.ndim == 2 else image
+    means = np.stack([area_resize(channels[:, :, c], height, width) for c in range(channels.shape[2])], axis=2)
+    out = np.round(means).astype(image.dtype)
+    return out[:, :, 0] if image.ndim == 2 else out
+
+
+def tiles(df: DataFrame, id_col: str = "media_id", media_col: str = "media", size: int = 32, resize: tuple[int, int] | None = (64, 64)) -> DataFrame:
+    """Each image, area-resized to `resize` (height, width; None keeps its size), as tiles of at most size x size: media_id,
+    tile_y, tile_x, npy, dhash, ready to be written as a table. Bytes that can't be decoded give one row with the reason in
+    `error` and nulls. Tiles cover the whole image; the last ones of a row or column may be smaller."""
     bound_batches(df.sparkSession)
     out = spark_schema("media_id bigint,tile_y int,tile_x int,npy binary,dhash string,error string")
 
@@ -154,7 +163,7 @@ def tiles(df: DataFrame, id_col: str = "media_id", media_col: str = "media", siz
                 if data is None:
                     continue
                 try:
-                    image = decode(data)
+                    image = decode(data) if resize is None else resized(decode(data), *resize)
                     rows = [(key, y, x, npy(t := image[y : y + size, x : x + size]), difference_hash(t), None) for y in range(0, image.shape[0], size) for x in range(0, image.shape[1], size)]
                 except (ValueError, IndexError, struct.error) as e:
                     rows = [(key, None, None, None, None, str(e) or type(e).__name__)]

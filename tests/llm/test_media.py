@@ -49,7 +49,7 @@ def test_all_forms_are_lossless(rows):
 def test_tiles(spark, no_docs):
     image = np.arange(40 * 50, dtype=np.int64).reshape(40, 50).astype(np.uint8)
     df = spark.createDataFrame([(1, bytearray(M.encode_netpbm(image))), (2, None), (3, bytearray(b"junk"))], "media_id long, media binary")
-    got = M.tiles(df, size=32).collect()
+    got = M.tiles(df, size=32, resize=None).collect()
     whole = np.zeros_like(image)
     for r in got:
         if r.npy:
@@ -57,3 +57,6 @@ def test_tiles(spark, no_docs):
             whole[r.tile_y : r.tile_y + t.shape[0], r.tile_x : r.tile_x + t.shape[1]] = t
     assert (whole == image).all() and sorted((r.media_id, r.error is None) for r in got) == [(1, True)] * 4 + [(3, False)]
     assert M.media_features(no_docs).count() == 0
+    small = [r for r in M.tiles(df, size=8, resize=(16, 12)).collect() if r.npy]
+    assert len(small) == 4 and all((np.load(io.BytesIO(r.npy)) == M.resized(image, 16, 12)[r.tile_y : r.tile_y + 8, r.tile_x : r.tile_x + 8]).all() for r in small)
+    assert M.resized(np.stack([image, image, image], 2), 5, 5).shape == (5, 5, 3)
