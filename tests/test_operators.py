@@ -211,3 +211,13 @@ def test_add_external(spark):
     names = spark.createDataFrame([(2, "other")], "concept_id long, name string")
     got = dict(rows(D.add_external(base, [more], names, spark.createDataFrame([("black",)], "word string")), "mention", "concept_id"))
     assert {"pain of chest": 1, "knee": 4, "chest pain": 1, "pain of the chest": 1}.items() <= got.items() and "black" not in got
+
+
+def test_windowed_hits(spark, tmp_path):
+    rows_ = [("2024-01-01 00:01:00", 1), ("2024-01-01 00:02:00", 1), ("2024-01-01 00:06:00", 2)]
+    spark.createDataFrame(rows_, "t string, concept_id long").selectExpr("CAST(t AS TIMESTAMP) AS ts", "concept_id").write.parquet(str(tmp_path / "in"))
+    hits = spark.readStream.schema("ts timestamp, concept_id long").parquet(str(tmp_path / "in"))
+    q = match.hits_per_window(hits).writeStream.outputMode("complete").format("memory").queryName("hit_windows").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    got = spark.sql("SELECT date_format(window.start, 'HH:mm') AS w, concept_id, n FROM hit_windows")
+    assert rows(got) == [("00:00", 1, 2), ("00:05", 2, 1)]
