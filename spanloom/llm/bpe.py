@@ -37,7 +37,8 @@ WHITE = "".join(chr(c) for c in [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range
 COMMON = [(0, 0x557), (0x590, 0x74F), (0x900, 0xC5B), (0x1E00, 0x208E), (0x20A0, 0x2BFF), (0x3000, 0x9FFF), (0xAC00, 0xD7A3), (0xF900, 0xFAFF), (0xFF00, 0xFFEF), (0x1F300, 0x1FAFF)]
 #: Pieces whose encoding a worker keeps.
 TABLE_ROWS = 120_000
-LONG_PIECE = 64
+#: Bytes of text encoded at once. Small enough that a slice's new pieces seldom push the table over its bound.
+SLICE_BYTES = 2 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -225,4 +226,4 @@ def encode_texts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         return [*out, [b.decode() for _, b in found]] if "decoded" in keep else out
 
     more = ", ids array<int>" * ("ids" in keep) + ", decoded string" * ("decoded" in keep)
-    return map_texts(df, kernel, f"n_tokens long, ids_sha256 string, decoded_sha256 string{more}", id_col, text_col, carry=carry)
+    return map_texts(df, kernel, f"n_tokens long, ids_sha256 string, decoded_sha256 string{more}", id_col, text_col, carry=carry, limit=SLICE_BYTES)

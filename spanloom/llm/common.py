@@ -57,12 +57,12 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = KERNEL_BYTES) -> Ite
         yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, kernel: Callable[[list], list], schema: str, id_col: str = "doc_id", text_col: str = "text", as_bytes: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def map_texts(df: DataFrame, kernel: Callable[[list], list], schema: str, id_col: str = "doc_id", text_col: str = "text", as_bytes: bool = False, carry: tuple[str, ...] = (), limit: int = KERNEL_BYTES) -> DataFrame:
     """One row per row of df: its id, what `kernel` makes of its text, and the columns of `carry` as they are.
 
     kernel: list of texts (str, or UTF-8 bytes with as_bytes; null is given as empty) -> list of columns in the order of
     `schema`, which names the columns behind doc_id. Only the columns named are read, so others may have any name; a
-    carried column may not have a name of `schema`.
+    carried column may not have a name of `schema`. limit: bytes of text that the kernel gets at once, about.
     """
     bound_batches(df.sparkSession)
     kind = pa.large_binary() if as_bytes else pa.large_string()
@@ -79,7 +79,7 @@ def map_texts(df: DataFrame, kernel: Callable[[list], list], schema: str, id_col
 
         arrow = to_arrow_schema(out)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", limit):
                 texts = [empty if t is None else t for t in batch.column("text").cast(kind).to_pylist()]
                 columns = [*kernel(texts), *batch.columns[len(batch.columns) - len(given) :]]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:], strict=True))], schema=arrow)
