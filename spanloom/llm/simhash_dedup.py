@@ -183,7 +183,8 @@ def near_duplicates(df: DataFrame, words: int = 4, bits: int = 4, id_col: str =
     members = roots.select(F.col("u").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
     least = members.join(fps, "fp").groupBy("root").agg(F.min("first_id").alias("least_id"))
     joined = fps.join(members.join(least, "root").select("fp", "least_id"), "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
-    return each.join(joined, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    # written first, so that the join below has a plain exchange on both sides and splits a fingerprint that very many share
+    return each.join(joined.checkpoint(), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(df: DataFrame, words: int = 4, bits: int = 4, id_col: str = "doc_id") -> DataFrame:
