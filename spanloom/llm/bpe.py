@@ -36,9 +36,9 @@ WHITE = "".join(chr(c) for c in [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range
 #: and cut into words by the library itself; merging is ours for all.
 COMMON = [(0, 0x557), (0x590, 0x74F), (0x900, 0xC5B), (0x1E00, 0x208E), (0x20A0, 0x2BFF), (0x3000, 0x9FFF), (0xAC00, 0xD7A3), (0xF900, 0xFAFF), (0xFF00, 0xFFEF), (0x1F300, 0x1FAFF)]
 #: Pieces whose encoding a worker keeps.
-TABLE_ROWS = 120_000
+TABLE_ROWS = 240_000
 #: Bytes of text encoded at once. Small enough that a slice's new pieces seldom push the table over its bound.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
 
 
 def byte_symbols() -> list[str]:
