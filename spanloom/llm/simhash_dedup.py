@@ -190,7 +190,11 @@ def near_duplicates(df: DataFrame, words: int = 4, bits: int = 4, id_col: str =
 def one_of_each(df: DataFrame, words: int = 4, bits: int = 4, id_col: str = "doc_id") -> DataFrame:
     """The rows of df with the smallest id of their component; of rows that repeat such an id, one. Rows without an id
     can't be named by a component and stay."""
-    found = near_duplicates(df, words, bits, id_col)
+    return least_of_each(df, near_duplicates(df, words, bits, id_col), id_col)
+
+
+def least_of_each(df: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """one_of_each for components already found: doc_id, component_id per row of df."""
     kept = found.where("doc_id = component_id").groupBy("doc_id").count().withColumnRenamed("doc_id", id_col)
     named = df.join(kept.select(id_col), id_col, "left_semi").select(df.columns)
     if kept.where("count > 1").limit(1).count():
