@@ -4,7 +4,8 @@ Base spans (email, ip, card, phone) come from anchored, linear-time patterns and
 candidate tokens: white-space tokens with a digit or an at sign, and tokens equal to the name part of an email. All other
 tokens are no personal data by the model's definition, so chains run between neighbouring candidates alone. A token's own
 potentials come from its shape and from a base span on it; chain edges join neighbours; skip edges join a token to the
-previous similar one of the document, however distant (same last digits, address or name). Each similar group is a path of
+previous similar one of the document, however distant (same last digits, address or name; shorter numbers where a card or
+phone number touches an equal one; several tokens whose digits together end as those of a number of several tokens). Each similar group is a path of
 such edges, so edges grow with tokens. Loopy sum-product messages with damping give marginals; runs of candidates with
 the same label and a high marginal become added spans x_email, x_ip, x_card, x_phone, unless they touch a base span.
 
@@ -19,6 +20,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
+from itertools import takewhile
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -47,6 +50,8 @@ SAMPLE_ROWS = 3000
 SAMPLE_CHARS = 4_000
 SURE = 0.9
 ROUNDS, DAMP = 30, 0.3
+#: Digits at the end that tell a number from others.
+LAST_DIGITS = 7
 
 
 def luhn(digits: bytes) -> bool:
@@ -96,13 +101,26 @@ def similar_key(token: bytes) -> bytes | None:
         return b"n" + name if len(name) >= 4 else None
     if m := IP.search(token):
         return b"i" + m[0]
-    digits = bytes(c for c in token if 48 <= c <= 57)
-    return b"d" + digits[-7:] if len(digits) >= 7 and len(digits) * 2 > len(token) else None
+    digits = digits_in(token)
+    return b"d" + digits[-LAST_DIGITS:] if len(digits) >= LAST_DIGITS and len(digits) * 2 > len(token) else None
 
 
-def telling_name(name: bytes) -> bool:
-    """Whether the name part of an address is unlikely to be a word of the language."""
-    return len(name) >= 5 and bool(re.search(rb"[0-9._]", name))
+def digits_in(token: bytes) -> bytes:
+    return bytes(c for c in token if 48 <= c <= 57)
+
+
+def touched_keys(text: bytes, tokens: list[tuple[int, int]], found: list[tuple[str, int, int]]) -> tuple[set[bytes], set[bytes]]:
+    """Digits of the tokens that base spans of cards and phones touch, and the last digits of such spans of several tokens."""
+    touched, whole, ends = set(), set(), [e for _, e in tokens]
+    for kind, s, e in found:
+        if kind in ("card", "phone"):
+            first = bisect_right(ends, s)
+            over = [text[a:b] for a, b in takewhile(lambda x: x[0] < e, map(tokens.__getitem__, range(first, len(tokens))))]
+            touched.update(digits_in(t) for t in over)
+            if len(over) > 1:
+                whole.add(digits_in(text[s:e])[-LAST_DIGITS:])
+    touched.discard(b"")
+    return touched, whole
 
 
 def variant(token: bytes) -> bytes:
@@ -137,13 +155,15 @@ class Graph:
     def __init__(self, texts: list[bytes], spans: list[list[tuple[str, int, int]]], variants: bool = False):
         self.varied: list[np.ndarray] = []  # of base hits, for training
         self.doc, self.start, self.end, rows, self.base = [], [], [], [], []
-        chain, skip = [], []
+        chain, skip = [], set()
         for d, (text, found) in enumerate(zip(texts, spans, strict=True)):
             if not DIGIT.search(text) and b"@" not in text:
                 continue
             tokens = [m.span() for m in TOKEN.finditer(text)]
             names = {text[s:e].split(b"@", 1)[0].lower() for k, s, e in found if k == "email"}
-            names = {n for n in names if telling_name(n)}
+            touched, whole = touched_keys(text, tokens, found)
+            run: list[tuple[int, int]] = []  # candidates without a break and the digits of each
+            digits_of_run = b""
             at, last, seen = 0, -2, {}
             for i, (s, e) in enumerate(tokens):
                 token = text[s:e]
@@ -164,16 +184,34 @@ class Graph:
                     self.varied.append(features(variant(token), b"", b""))
                 if last == i - 1:
                     chain.append((me - 1, me))
+                else:
+                    run, digits_of_run = [], b""
                 last = i
-                key = b"n" + plain if name else similar_key(plain)
-                if key:
-                    if key in seen:
-                        skip.append((seen[key], me))
+                digits = digits_in(plain)
+                address = plain.split(b"@", 1)[0]
+                keys = {b"n" + address if name or b"@" in plain and address in names else similar_key(plain) or (b"d" + digits if digits in touched and len(digits) * 2 > len(plain) else None)}
+                keys.discard(None)
+                for key in keys:
+                    if key in seen and seen[key] != me:
+                        skip.add((seen[key], me))
+                    seen[key] = me
+                if not digits or len(digits) * 2 <= len(plain):
+                    run, digits_of_run = [], b""
+                    continue
+                run = [*run, (me, len(digits))][-LAST_DIGITS:]
+                digits_of_run = (digits_of_run + digits)[-LAST_DIGITS:]
+                if digits_of_run in whole and len(digits) < LAST_DIGITS:
+                    # a mention in several tokens: all that hold its last digits join the mention that was seen before
+                    key, left, parts = b"d" + digits_of_run, LAST_DIGITS, []
+                    while left > 0:
+                        parts.append(run[-1 - len(parts)][0])
+                        left -= run[-len(parts)][1]
+                    skip.update((seen[key], part) for part in parts if key in seen and seen[key] < part)
                     seen[key] = me
         self.n = len(self.doc)
         self.x = np.array(rows, np.float32).reshape(-1, FEATURES)
         self.base = np.array(self.base, np.int64)
-        self.chain, self.skip = (np.array(e, np.int64).reshape(-1, 2) for e in (chain, skip))
+        self.chain, self.skip = (np.array(e, np.int64).reshape(-1, 2) for e in (chain, sorted(skip)))
 
 
 class SkipChainCrf:

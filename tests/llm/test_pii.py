@@ -81,3 +81,23 @@ def test_edges(edge_docs, no_docs):
     assert P.train(no_docs) is None and P.find_personal_data(no_docs, None).count() == 0
     clean = {r.doc_id: r.clean for r in P.without_personal_data(edge_docs.drop("clean"), None, carry=("lang",)).collect()}
     assert clean[1] is None and clean[7].endswith("[EMAIL]")
+
+
+def linked(text):
+    """Tokens that paths of skip edges join, by text."""
+    raw = text.encode()
+    g = P.Graph([raw], [P.base_spans(raw)])
+    token = lambda i: raw[g.start[i] : g.end[i]].decode()
+    return {(token(a), token(b)) for a, b in g.skip}
+
+
+def test_parts_of_spaced_numbers_are_linked():
+    assert {("4111", "4111"), ("1111", "1111")} <= linked("card 4111 1111 1111 1111 and later 4111 or 1111")
+    assert {("99", "99"), ("555", "555"), ("171", "171")} <= linked("call +49 171 555 01 99 now, again 171 555 01 99 tomorrow")
+    assert ("99", "01715550199") in linked("call +49 171 555 01 99 now or 01715550199 then") or ("99", "5550199") in linked("call +49 171 555 01 99 now or 5550199 then")
+    assert {("99", "555"), ("99", "0199")} <= linked("call +49 171 555 01 99 now or 555 0199 then")
+    assert linked("no number 4111 and 4111 here") == set()
+
+
+def test_every_address_name_is_a_candidate():
+    assert ("mariaschmidt@x.org", "mariaschmidt") in linked("to mariaschmidt@x.org and then mariaschmidt wrote")
