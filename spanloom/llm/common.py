@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -27,8 +28,12 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_path(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one of our own where the cluster names none, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The folder that the driver and all executors share. Only a local master, where there is one machine, may go without
+    the setting; a cluster that doesn't name a folder is an error, for executors would write to disks of their own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or "/tmp/checkpoints"
 
 
 def shared_folder(spark: SparkSession) -> None:
@@ -57,20 +62,35 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = KERNEL_BYTES) -> Ite
         yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, kernel: Callable[[list], list], schema: str, id_col: str = "doc_id", text_col: str = "text", as_bytes: bool = False, carry: tuple[str, ...] = (), limit: int = KERNEL_BYTES) -> DataFrame:
+def carried(names: tuple[str, ...], taken: tuple[str, ...]) -> dict[str, str]:
+    """Columns that an operator hands on and the names they get: one that a result has too ends in `_carried`."""
+    return {c: f"{c}_carried" if c in taken else c for c in names if c not in ("doc_id", "text")}
+
+
+def map_texts(
+    df: DataFrame,
+    kernel: Callable[[list], list],
+    schema: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    as_bytes: bool = False,
+    carry: tuple[str, ...] = (),
+    limit: int = KERNEL_BYTES,
+) -> DataFrame:
     """One row per row of df: its id, what `kernel` makes of its text, and the columns of `carry` as they are.
 
     kernel: list of texts (str, or UTF-8 bytes with as_bytes; null is given as empty) -> list of columns in the order of
     `schema`, which names the columns behind doc_id. Only the columns named are read, so others may have any name; a
-    carried column may not have a name of `schema`. limit: bytes of text that the kernel gets at once, about.
+    carried column whose name is in `schema` is named as carried() says. limit: bytes of text that the kernel gets at
+    once, about; a longer text is given alone.
     """
     bound_batches(df.sparkSession)
     kind = pa.large_binary() if as_bytes else pa.large_string()
     empty = b"" if as_bytes else ""
-    read = F.col(f"`{text_col}`").cast("string")
-    more = [c for c in carry if c not in ("doc_id", "text")]
-    chosen = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), read.alias("text"), *(F.col(f"`{c}`") for c in more))
     out = spark_schema(f"doc_id bigint, {schema}")
+    more = [F.col(f"`{c}`").alias(name) for c, name in carried(carry, tuple(out.names)).items()]
+    text = F.col(f"`{text_col}`").cast("string").alias("text")
+    chosen = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), text, *more)
     given = chosen.schema.fields[1 if "text" in carry else 2 :]
     out = type(out)(out.fields + given)
 
@@ -82,14 +102,17 @@ def map_texts(df: DataFrame, kernel: Callable[[list], list], schema: str, id_col
             for batch in slices(whole, "text", limit):
                 texts = [empty if t is None else t for t in batch.column("text").cast(kind).to_pylist()]
                 columns = [*kernel(texts), *batch.columns[len(batch.columns) - len(given) :]]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:], strict=True))], schema=arrow)
+                arrays = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], schema=arrow)
 
     return chosen.mapInArrow(run, out)
 
 
 def spark_schema(ddl: str):
     """A StructType of a DDL string, without a session."""
-    from pyspark.sql.types import BinaryType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, ArrayType
+    from pyspark.sql import types as T
 
-    kinds = {"bigint": LongType(), "long": LongType(), "int": IntegerType(), "string": StringType(), "double": DoubleType(), "boolean": BooleanType(), "binary": BinaryType(), "array<int>": ArrayType(IntegerType()), "array<long>": ArrayType(LongType()), "array<string>": ArrayType(StringType())}
-    return StructType([StructField(name, kinds[kind]) for name, kind in (x.split() for x in ddl.split(","))])
+    kinds = {"bigint": T.LongType(), "long": T.LongType(), "int": T.IntegerType(), "string": T.StringType()}
+    kinds |= {"double": T.DoubleType(), "boolean": T.BooleanType(), "binary": T.BinaryType()}
+    kinds |= {f"array<{k}>": T.ArrayType(kinds[k]) for k in ("int", "long", "string")}
+    return T.StructType([T.StructField(name, kinds[kind]) for name, kind in (x.split() for x in ddl.split(","))])

@@ -9,36 +9,62 @@ from .common import shared_folder
 
 #: More rounds than any graph that fits on disk needs; the rounds grow with the logarithm of the nodes.
 MAX_ROUNDS = 64
+#: A key is hot if it has more rows than this and than one in HOT_SHARE of all; so HOT_SHARE keys are hot at most.
+HOT_ROWS, HOT_SHARE = 4096, 1000
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def join_spread(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined to groups by `key`, without dealing a hot key's rows to one task.
+
+    groups: one row per key, with the column n_rows: how many of `rows` have the key; read twice, so written before. The
+    groups of hot keys, HOT_SHARE at most, are broadcast; the rest is joined by an ordinary exchange.
+    """
+    hot = groups.where(F.col("n_rows") > max(HOT_ROWS, total // HOT_SHARE))
+    if not hot.limit(1).count():
+        return rows.join(groups, key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n_rows"))
+    if total > HOT_ROWS:
+        both = join_spread(both, least.checkpoint(), "u", 2 * total)
+    else:
+        both = both.join(least, "u")
+    return both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n_rows"))
+    if total > HOT_ROWS:
+        least = least.checkpoint()
+        moved = join_spread(down, least, "u", total)
+    else:
+        moved = down.join(least, "u")
+    moved = moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """u, root (the smallest node of its component) for each node that has an edge and isn't a root itself.
 
-    edges: columns u, v (long), in any order, repeats and loops allowed; null ends are left out. Edges of one hub are
-    spread by the skew join; a hub's minimum is taken by partial aggregation. Each round is written to the shared
-    checkpoint folder. No edges give an empty table.
+    edges: columns u, v (long), in any order, repeats and loops allowed; null ends are left out. The minimum of a hub is
+    taken by partial aggregation and broadcast to its edges. Each round is written to the shared checkpoint folder. No
+    edges give an empty table. Edges that haven't settled after MAX_ROUNDS are an error; the caller gets no partial result.
     """
     spark = edges.sparkSession
     shared_folder(spark)
     now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct().checkpoint()
     seen = None
+    total = now.count()
     for _ in range(MAX_ROUNDS):
-        now = _small_star(_large_star(now)).checkpoint()
+        large = _large_star(now, total)
+        now = _small_star(large.checkpoint() if total > HOT_ROWS else large, total).checkpoint()
         state = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if state == seen:
             return now.select("u", F.col("v").alias("root"))
-        seen = state
-    raise RuntimeError("components did not settle")
+        seen, total = state, state[0]
+    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

@@ -9,14 +9,18 @@ at least 4 are kept, and their differing bits are counted.
 
 The index holds distinct fingerprints, so copies cost nothing. A posting of more than BLOCK fingerprints is cut into blocks
 whose pairs go to different tasks. A posting gives its links as a spanning forest, never as all pairs: components are the
-same. They come from star rounds over the forests. Only counts reach the driver.
+same. They come from star rounds over the forests. Rows find their component by an exchange on the fingerprint; those of
+hot ones (components.HOT_ROWS) by a broadcast of these few. Only counts reach the driver.
 
 Null text has no words and, like any text without words, the fingerprint zero. Repeated rows and equal texts share a
-fingerprint and so a component. Very long texts are taken whole. An empty table gives an empty result.
+fingerprint and so a component. A null id is no candidate for component_id, which is null where no row of a component has
+an id. Ties of ids are described at one_row_of_each(). Very long texts are read whole, in pieces. An empty table gives an
+empty result. Other columns are not read and may have any name, but for ROW in one_of_each().
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -27,34 +31,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, map_texts, shared_folder, spark_schema
-from .components import connected_components
+from .components import connected_components, join_spread
 
 SEED = 42
+#: The column that names a row, where ids may repeat.
+ROW = "__row_hash"
 BYTES = 8
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+BLANK = re.compile(rb"[ \t-\r]")
+#: Bytes of a text that are cut into words at once.
+PIECE = 1 << 20
 #: Fingerprints of a posting, or of a block of one, that a task compares at once.
 BLOCK = 4096
 SMALL = 24
 
 
-def fingerprint(text: bytes, words: int = 4) -> int:
-    """SimHash of the word shingles of a text, repeats included; 0 where there is no word."""
-    found = text.translate(LOWER).split()
-    if not found:
-        return 0
-    flat = b" ".join(found)
-    if len(found) <= words:
-        shingles = [flat]
-    else:
+def shingle_hashes(text: bytes, words: int) -> Iterator[np.ndarray]:
+    """XXH64 of the word shingles of a text, repeats included, in pieces: memory is bounded but for the lowered text."""
+    low, at, held, some = text.translate(LOWER), 0, [], False
+    while at < len(low):
+        blank = BLANK.search(low, at + PIECE)
+        end = blank.start() if blank else len(low)
+        found, at = held + low[at:end].split(), end
+        held = found[max(0, len(found) - words + 1) :]
+        if len(found) < words:
+            continue
+        some = True
+        flat = b" ".join(found)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         ends = np.cumsum(sizes + 1) - 1
-        starts = ends - sizes
-        shingles = [flat[s:e] for s, e in zip(starts[: 1 - words].tolist(), ends[words - 1 :].tolist(), strict=True)]
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles))
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(h), 1 << 16):
-        ones += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+        starts = (ends - sizes)[: len(found) - words + 1]
+        shingles = [flat[s:e] for s, e in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=True)]
+        yield np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles))
+    if held and not some:
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(held), SEED)], np.uint64)
+
+
+def fingerprint(text: bytes, words: int = 4) -> int:
+    """SimHash of the word shingles of a text, repeats included; 0 where there is no word."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, words):
+        n += len(h)
+        for i in range(0, len(h), 1 << 16):
+            bits = np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
 def _kernel(texts: list[bytes], words: int) -> list:
@@ -74,7 +95,8 @@ def covering(size: int) -> list[tuple[int, ...]]:
         return [c for c in combinations(range(BYTES), 2) if group[c[0]] == group[c[1]]]
     if size == 3:
         # three of a group, or two of a group and one of the next
-        return [c for c in combinations(range(BYTES), 3) if any(sum(group[p] == g for p in c) == 3 or sum(group[p] == g for p in c) == 2 and sum(group[p] == (g + 1) % 3 for p in c) == 1 for g in range(3))]
+        wanted = {(g, g, g) for g in range(3)} | {tuple(sorted((g, g, (g + 1) % 3))) for g in range(3)}
+        return [c for c in combinations(range(BYTES), 3) if tuple(sorted(group[p] for p in c)) in wanted]
     return list(combinations(range(BYTES), size))
 
 
@@ -138,65 +160,111 @@ def forest(fp: np.ndarray, group: np.ndarray, bits: int) -> tuple[np.ndarray, np
     return np.concatenate([empty, *us]), np.concatenate([empty, *vs])
 
 
-def links(fps: DataFrame, bits: int = 4) -> DataFrame:
-    """u, v: links between distinct fingerprints (column fp), as forests of the postings."""
-    spark = fps.sparkSession
-    bound_batches(spark)
-    keys = postings(fps, positions_for(fps.count()))
-    hot = keys.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    cut = keys.join(hot, "key", "left").select("key", "fp", F.coalesce("blocks", F.lit(1)).alias("blocks")).select("key", "fp", block.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = cut.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp")
-    out = spark_schema("u long,v long")
+def in_blocks(rows: DataFrame, member: str) -> DataFrame:
+    """rows (key and others) dealt so that a task gets two blocks of a key's rows at a time: columns key, lo, hi first.
+
+    A key of up to BLOCK rows is one group. Of a longer one every pair of blocks, by a hash of `member`, is a group of its
+    own, so that all pairs of the key meet but no task holds the key.
+    """
+    hot = rows.groupBy("key").count().where(F.col("count") > BLOCK)
+    hot = hot.select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64(member), F.col("blocks")).cast("int")
+    cut = rows.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cut = cut.select(*rows.columns, own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    others = [c for c in rows.columns if c != "key"]
+    dealt = cut.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), *others)
+    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", member)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[np.ndarray, pa.Table]]:
+    """Tables of about `rows` rows that end where a group (key, lo, hi) ends, with the number of each row's group."""
+
+    def numbered(table: pa.Table) -> tuple[np.ndarray, pa.Table]:
+        of = np.stack([table.column(i).to_numpy().astype(np.int64) for i in range(3)])
+        return np.cumsum(np.append(False, (of[:, 1:] != of[:, :-1]).any(axis=0))), table
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        if sum(map(len, held)) >= rows:
+            group, table = numbered(pa.Table.from_batches(held))
+            cut = int(np.searchsorted(group, group[-1]))  # the last group may go on
+            if cut:
+                yield group[:cut], table.slice(0, cut)
+            held = table.slice(cut).combine_chunks().to_batches()
+    if held:
+        yield numbered(pa.Table.from_batches(held))
+
+
+def links(fps: DataFrame, bits: int = 4, size: int | None = None) -> DataFrame:
+    """u, v: links between distinct fingerprints (column fp), as forests of the postings. size: positions in a key; by
+    default positions_for() the number of fingerprints. Every size finds the same links."""
+    bound_batches(fps.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros((4, 0), np.int64)]
+        for group, rows in whole_groups(batches, 1 << 17):
+            u, v = forest(rows.column("fp").to_numpy().view(np.uint64), group, bits)
+            for i in range(0, len(u), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000].view(np.int64)) for x in (u, v)], names=["u", "v"])
 
-        def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            if rows.shape[1]:
-                group = np.cumsum(np.append(False, (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)))
-                u, v = forest(np.ascontiguousarray(rows[3]).view(np.uint64), group, bits)
-                for i in range(0, len(u), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000].view(np.int64)) for x in (u, v)], names=["u", "v"])
+    keys = postings(fps, size or positions_for(fps.count()))
+    return in_blocks(keys, "fp").mapInArrow(run, spark_schema("u long,v long"))
 
-        for batch in batches:
-            held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)]))
-            if sum(x.shape[1] for x in held) >= 1 << 17:
-                rows = np.concatenate(held, axis=1)
-                last = np.flatnonzero((rows[:3] != rows[:3, -1:]).any(axis=0))  # the last group may go on
-                cutoff = last[-1] + 1 if len(last) else 0
-                yield from found(rows[:, :cutoff])
-                held = [rows[:, cutoff:]]
-        yield from found(np.concatenate(held, axis=1))
 
-    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "fp").mapInArrow(run, out)
+def components(each: DataFrame, firsts: DataFrame, edges: DataFrame, node: str) -> DataFrame:
+    """Each row of `each` with component_id, the smallest doc_id reachable from its node; null where no id is reachable.
 
+    firsts: one row per node with first_id (smallest doc_id) and n_rows, the number of its rows; edges: u, v between nodes.
+    """
+    firsts = firsts.checkpoint()
+    roots = connected_components(edges)
+    members = roots.select(F.col("u").alias(node), "root").unionByName(roots.select(F.col("root").alias(node), "root").distinct())
+    least = members.join(firsts, node).groupBy("root").agg(F.min("first_id").alias("least_id"))
+    grouped = firsts.join(members.join(least, "root").select(node, "root", "least_id"), node, "left")
+    of_component = F.when(F.col("root").isNotNull(), F.col("least_id")).otherwise(F.col("first_id")).alias("component_id")
+    grouped = grouped.select(node, "n_rows", F.coalesce("root", node).alias("component"), of_component).checkpoint()
+    return join_spread(each, grouped, node, each.count()).drop("n_rows")
 
-def near_duplicates(df: DataFrame, words: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id reachable by links), per row of df."""
+
+def row_key(df: DataFrame) -> DataFrame:
+    """df with a hash of all its columns as ROW, which names a row where ids repeat; equal rows share it."""
+    return df.withColumn(ROW, F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)))
+
+
+def labelled(df: DataFrame, words: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp, component (a fingerprint), component_id and the columns of `carry`, per row of df."""
     if not 0 <= bits <= 4:
         raise ValueError("the index is built for up to 4 differing bits")
     shared_folder(df.sparkSession)
-    each = fingerprints(df, words, id_col, text_col).checkpoint()
-    fps = each.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = connected_components(links(fps.select("fp"), bits))
-    members = roots.select(F.col("u").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
-    least = members.join(fps, "fp").groupBy("root").agg(F.min("first_id").alias("least_id"))
-    joined = fps.join(members.join(least, "root").select("fp", "least_id"), "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
-    # written first, so that the join below has a plain exchange on both sides and splits a fingerprint that very many share
-    return each.join(joined.checkpoint(), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def one_of_each(df: DataFrame, words: int = 4, bits: int = 4, id_col: str = "doc_id") -> DataFrame:
-    """The rows of df with the smallest id of their component; of rows that repeat such an id, one. Rows without an id
-    can't be named by a component and stay."""
-    return least_of_each(df, near_duplicates(df, words, bits, id_col), id_col)
-
-
-def least_of_each(df: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """one_of_each for components already found: doc_id, component_id per row of df."""
-    kept = found.where("doc_id = component_id").groupBy("doc_id").count().withColumnRenamed("doc_id", id_col)
-    named = df.join(kept.select(id_col), id_col, "left_semi").select(df.columns)
-    if kept.where("count > 1").limit(1).count():
-        named = named.dropDuplicates([id_col])
-    return named.unionByName(df.where(F.col(id_col).isNull()))
+    each = map_texts(df, lambda texts: _kernel(texts, words), "fp long", id_col, text_col, as_bytes=True, carry=carry).checkpoint()
+    firsts = each.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_rows")).checkpoint()
+    return components(each, firsts, links(firsts.select("fp"), bits), "fp")
+
+
+def near_duplicates(df: DataFrame, words: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id reachable by links), per row of df."""
+    found = labelled(df, words, bits, id_col, text_col)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(df: DataFrame, words: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of df for each component of near_duplicates(); see one_row_of_each()."""
+    return one_row_of_each(df, labelled(row_key(df), words, bits, id_col, text_col, carry=(ROW,)))
+
+
+def one_row_of_each(df: DataFrame, found: DataFrame) -> DataFrame:
+    """Of each component the row with the smallest id (null comes last), among such rows the one with the smallest hash of
+    all columns, of equal rows one. found: doc_id, component, component_id and ROW per row of row_key(df). Decided per
+    row: of two rows that share an id but not a component, each stands for its own.
+    """
+    least = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component", ROW).count()
+    kept = least.groupBy("component").agg(F.min(ROW).alias(ROW), F.min_by("count", ROW).alias("n"))
+    kept = kept.select(ROW, "n").checkpoint()
+    rows = row_key(df)
+    once = rows.join(kept.where("n = 1"), ROW, "left_semi").select(*(F.col(f"`{c}`") for c in df.columns))
+    if not kept.where("n > 1").limit(1).count():
+        return once
+    again = rows.join(kept.where("n > 1"), ROW, "left_semi").dropDuplicates([ROW])
+    return once.unionByName(again.select(*(F.col(f"`{c}`") for c in df.columns)))

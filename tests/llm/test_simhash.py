@@ -5,6 +5,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
+from spanloom.llm import components as C
 from spanloom.llm import simhash_dedup as S
 from spanloom.llm.components import connected_components
 
@@ -42,8 +43,8 @@ def test_components(spark):
     assert all(got.get(i, i) == label[i] for i in range(300))
 
 
-@pytest.mark.parametrize("block", [4096, 8])
-def test_links_lose_none(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "size"), [(4096, 2), (8, 2), (4096, 3), (8, 3), (4096, 4)])
+def test_links_lose_none(spark, monkeypatch, block, size):
     monkeypatch.setattr(S, "BLOCK", block)
     rng = random.Random(2)
     fps = set()
@@ -57,7 +58,7 @@ def test_links_lose_none(spark, monkeypatch, block):
     fps = sorted(fps)
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
     at = {f: i for i, f in enumerate(signed)}
-    found = S.links(spark.createDataFrame([(f,) for f in signed], "fp long"))
+    found = S.links(spark.createDataFrame([(f,) for f in signed], "fp long"), size=size)
     edges = [(at[r.u], at[r.v]) for r in found.collect()]
     true = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4]
     assert set(map(frozenset, edges)) <= set(map(frozenset, true))
@@ -87,3 +88,42 @@ def test_edges(edge_docs, no_docs):
     assert S.near_duplicates(no_docs).count() == 0
     kept = [r.doc_id for r in S.one_of_each(edge_docs).collect()]
     assert kept.count(4) == 1 and 5 not in kept and None in kept and kept.count(1) == 1
+
+
+def test_repeated_ids_are_decided_per_row(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    docs = [(3, a), (5, a), (5, b), (7, b), (7, b), (8, None), (8, None)]
+    got = sorted((r.doc_id, r.text) for r in S.one_of_each(spark.createDataFrame(docs, "doc_id long, text string")).collect() if r.text)
+    assert got == [(3, a), (5, b)]
+
+
+def test_one_fingerprint_in_most_rows(spark, monkeypatch, prose):
+    """Hot fingerprints and hubs go by broadcast, with the same result."""
+    monkeypatch.setattr(C, "HOT_ROWS", 20)
+    monkeypatch.setattr(C, "HOT_SHARE", 4)
+    docs = [(i, prose[3][1]) for i in range(1000, 1300)] + [(i, t) for i, t, *_ in prose]
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert len(got) == 460 and all(got[i] == got[3] for i in range(1000, 1300)) and got[3] == min(i for i in got if got[i] == got[3])
+    star = [(0, i) for i in range(1, 200)] + [(500, 501)]
+    found = {r.u: r.root for r in C.connected_components(spark.createDataFrame(star, "u long, v long")).collect()}
+    assert found == {i: 0 for i in range(1, 200)} | {501: 500}
+
+
+def test_shingles_in_pieces(monkeypatch):
+    text = " ".join(f"w{i % 97}" for i in range(3000)).encode()
+    want = np.concatenate(list(S.shingle_hashes(text, 5)))
+    monkeypatch.setattr(S, "PIECE", 50)
+    assert (np.concatenate(list(S.shingle_hashes(text, 5))) == want).all()
+    assert len(np.concatenate(list(S.shingle_hashes(b"a " * 90, 1)))) == 90
+
+
+def test_a_cluster_must_name_its_folder():
+    from types import SimpleNamespace
+
+    from spanloom.llm import common
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_path(session)
+    session.sparkContext.master = "local[4]"
+    assert common.shared_path(session)
