@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() in the folder that the cluster names; in one of our own only where it names none, as in tests."""
+    """checkpoint() in the folder that the cluster names. Only a local master, where there is one machine, may name none."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or "/tmp/checkpoints")
     return df.checkpoint()
 
 
