@@ -160,14 +160,15 @@ def forest(fp: np.ndarray, group: np.ndarray, bits: int) -> tuple[np.ndarray, np
     return np.concatenate([empty, *us]), np.concatenate([empty, *vs])
 
 
-def in_blocks(rows: DataFrame, member: str) -> DataFrame:
+def in_blocks(rows: DataFrame, member: str, size: int | None = None) -> DataFrame:
     """rows (key and others) dealt so that a task gets two blocks of a key's rows at a time: columns key, lo, hi first.
 
-    A key of up to BLOCK rows is one group. Of a longer one every pair of blocks, by a hash of `member`, is a group of its
+    A key of up to `size` (BLOCK) rows is one group. Of a longer one every pair of blocks, by a hash of `member`, is a group of its
     own, so that all pairs of the key meet but no task holds the key.
     """
-    hot = rows.groupBy("key").count().where(F.col("count") > BLOCK)
-    hot = hot.select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    size = size or BLOCK
+    hot = rows.groupBy("key").count().where(F.col("count") > size)
+    hot = hot.select("key", F.ceil(F.col("count") / size).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64(member), F.col("blocks")).cast("int")
     cut = rows.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     cut = cut.select(*rows.columns, own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
