@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterator
 
@@ -62,6 +64,15 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = KERNEL_BYTES) -> Ite
         yield batch.slice(start)
 
 
+def with_release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; behind the last one, what a task freed goes back to the system, for Spark keeps workers for later tasks."""
+    yield from batches
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def carried(names: tuple[str, ...], taken: tuple[str, ...]) -> dict[str, str]:
     """Columns that an operator hands on and the names they get: one that a result has too ends in `_carried`."""
     return {c: f"{c}_carried" if c in taken else c for c in names if c not in ("doc_id", "text")}
@@ -98,7 +109,7 @@ def map_texts(
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(out)
-        for whole in batches:
+        for whole in with_release(batches):
             for batch in slices(whole, "text", limit):
                 texts = [empty if t is None else t for t in batch.column("text").cast(kind).to_pylist()]
                 columns = [*kernel(texts), *batch.columns[len(batch.columns) - len(given) :]]
