@@ -10,7 +10,9 @@ from .common import shared_folder
 #: More rounds than any graph that fits on disk needs; the rounds grow with the logarithm of the nodes.
 MAX_ROUNDS = 64
 #: A key is hot if it has more rows than this and than one in HOT_SHARE of all; so HOT_SHARE keys are hot at most.
-HOT_ROWS, HOT_SHARE = 4096, 1000
+HOT_ROWS, HOT_SHARE = 1 << 14, 1000
+#: Edges that a task takes, and tasks at least.
+TASK_ROWS, LEAST_TASKS = 100_000, 8
 
 
 def join_spread(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
@@ -26,26 +28,26 @@ def join_spread(rows: DataFrame, groups: DataFrame, key: str, total: int) -> Dat
     return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """df in tasks of about TASK_ROWS rows, so that rounds over few edges don't leave hundreds of tiny files each."""
+    return df.coalesce(max(LEAST_TASKS, -(-rows // TASK_ROWS)))
+
+
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n_rows"))
-    if total > HOT_ROWS:
-        both = join_spread(both, least.checkpoint(), "u", 2 * total)
-    else:
-        both = both.join(least, "u")
-    return both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    both = join_spread(both, few(least, total).checkpoint(), "u", 2 * total) if total > HOT_ROWS else both.join(least, "u")
+    return few(both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"), total)
 
 
 def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n_rows"))
     if total > HOT_ROWS:
-        least = least.checkpoint()
-        moved = join_spread(down, least, "u", total)
-    else:
-        moved = down.join(least, "u")
+        least = few(least, total).checkpoint()
+    moved = join_spread(down, least, "u", total) if total > HOT_ROWS else down.join(least, "u")
     moved = moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    return few(few(moved.unionByName(least.select("u", F.col("m").alias("v"))), total).distinct(), total)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -58,13 +60,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     shared_folder(spark)
     now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct().checkpoint()
-    seen = None
     total = now.count()
+    now, seen = few(now, total), None
     for _ in range(MAX_ROUNDS):
-        large = _large_star(now, total)
-        now = _small_star(large.checkpoint() if total > HOT_ROWS else large, total).checkpoint()
+        now = few(_small_star(_large_star(now, total).checkpoint(), total).checkpoint(), total)
         state = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if state == seen:
+        if state == seen or not state[0]:
             return now.select("u", F.col("v").alias("root"))
         seen, total = state, state[0]
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
