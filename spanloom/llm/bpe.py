@@ -10,6 +10,9 @@ files with the normaliser NFC, white space to a space, lower case; words by the
 word-end suffix; no decoder, which joins token strings by spaces. Others raise ValueError.
 
 Null text counts as empty and has no tokens. Strings of special tokens in a text are their tokens, as in the library.
+Equal ranks don't occur; of equal pairs the leftmost merge first. Repeated rows get equal results. Very long texts are
+encoded whole, alone in their slice. An empty table gives an empty result. Other columns are not read and may have any name;
+see common.carried() for those handed on.
 """
 
 from __future__ import annotations

@@ -8,7 +8,10 @@ are merged to removal spans.
 
 The phrases go to the workers in blocks of items of at most BLOCK_BYTES of text; every shard is tested against each block,
 so the benchmark may have any size. Null or empty text has no words, and an item without words has no phrase. Repeated
-documents get a result each; items that repeat an item_id count once. An empty benchmark leaves all documents clean.
+documents get a result each; items that repeat an item_id count once. An item without an item_id removes what it covers and
+is listed as an empty string. Very long texts are read whole, alone in their shard. An empty table gives an empty result; an
+empty benchmark leaves all documents clean. Other columns are not read and may have any name; see common.carried() for
+those handed on.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import carried, map_texts
 from .fm_index import FmIndex
 
 WINDOW = 10
@@ -124,7 +127,7 @@ def scan_shard(texts: list[bytes], blocks: list) -> list:
 def blocks_of(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> list:
     """Broadcast variables of Phrases; no block has much more than BLOCK_BYTES of text."""
     spark = benchmark.sparkSession
-    rows = benchmark.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")).alias("name"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null")
+    rows = benchmark.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("name"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     n = max(1, -(-int(total) // BLOCK_BYTES))
     block = F.pmod(F.xxhash64("name", "text"), F.lit(n))
@@ -143,7 +146,8 @@ def without_contamination(df: DataFrame, benchmark: DataFrame, carry: tuple[str,
     blocks = blocks_of(benchmark, window, "item_id", "text")
     kernel = lambda texts: [[without_spans(t.decode(), s) for t, s in zip(texts, scan_shard(texts, blocks)[3], strict=True)]]
     found = map_texts(df, kernel, "clean string", as_bytes=True, carry=("text", *carry))
-    return found.select("doc_id", F.when(F.col("text").isNotNull(), F.col("clean")).alias("clean"), *(c for c in carry if c not in ("doc_id", "text")))
+    clean = F.when(F.col("text").isNotNull(), F.col("clean")).alias("clean")
+    return found.select("doc_id", clean, *(f"`{c}`" for c in carried(carry, ("doc_id", "clean")).values()))
 
 
 def without_spans(text: str, spans: str) -> str:

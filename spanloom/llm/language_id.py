@@ -3,29 +3,34 @@
 Two GRUs read the UTF-8 bytes of a window, one from each end; at every position a softmax over both hidden states labels
 it. A document's probabilities are the mean over the positions of all its windows, so that every byte of the text counts.
 Windows are WINDOW bytes; their states start from zero. The network is trained in numpy by backpropagation through time
-with Adam, on a bounded sample: about SAMPLE_ROWS labelled rows of each language, chosen by a hash of doc_id, of each a
-passage of PASSAGE characters at a hashed place, of that PASSAGES windows of TRAIN_WINDOW bytes.
+with Adam, on a bounded sample whose bounds are arguments of train(): about `rows` labelled rows of each language, and
+`most` in all, chosen by a hash of doc_id; of each a passage of `passage` characters at a hashed place, of that `windows`
+windows of TRAIN_WINDOW bytes.
 
-Null text, or text without a letter, is `und` with score 0; so is every text where no labelled row exists. Labels are the
-non-null lang values of the sample; at most MAX_LANGS (the most frequent ones). Repeated rows each get the result of their
-text, equal up to rounding. Very long texts are read whole. An empty table gives an empty result.
+Null text, or text without a letter (category L of Unicode), is `und` with score 0; so is every text where no labelled row
+exists. Labels are all non-null lang values of rows that may be learned from and have a letter. Repeated rows each get the
+result of their text; scores have SCORE_DIGITS digits, and equal ones go to the first label, so that a text's neighbours in
+a batch don't show in its result. Very long texts are read whole. An empty table gives an empty result. Other columns are
+not read and may have any name; see common.carried() for those handed on.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts
 
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 WINDOW, TRAIN_WINDOW = 256, 64
-SAMPLE_ROWS, PASSAGE, PASSAGES, MAX_LANGS = 400, 1024, 3, 256
+SAMPLE_ROWS, SAMPLE_MOST, PASSAGE, PASSAGES = 400, 40_000, 1024, 3
+#: Languages whose counts are sent to all tasks; where there are more, rows are shuffled to them.
+SENT = 10_000
+SCORE_DIGITS = 5
 HIDDEN, STEPS, BATCH, RATE = 8, 220, 192, 0.02
 #: Windows that run through the network at once.
 TOGETHER = 2048
@@ -191,39 +196,52 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_windows(passages: list[tuple[str, str]], labels: list[str], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def training_windows(passages: list[tuple[str, str]], labels: list[str], windows: int = PASSAGES, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
-    rows, label = [], []
+    rows, label, number = [], [], {name: i for i, name in enumerate(labels)}
     for lang, text in passages:
         data = np.frombuffer(text.encode(), np.uint8)
         if len(data) < TRAIN_WINDOW:
             data = np.tile(data, -(-TRAIN_WINDOW // max(1, len(data))))
-        for _ in range(PASSAGES):
+        for _ in range(windows):
             at = rng.integers(0, len(data) - TRAIN_WINDOW + 1)
             rows.append(data[at : at + TRAIN_WINDOW])
-            label.append(labels.index(lang))
+            label.append(number[lang])
     return np.array(rows), np.array(label)
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteGru | None:
-    """A network learned from the rows of df that aren't held out; None where there are none."""
-    rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id") & F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not counts:
+def train(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    rows: int = SAMPLE_ROWS,
+    most: int = SAMPLE_MOST,
+    passage: int = PASSAGE,
+    windows: int = PASSAGES,
+) -> ByteGru | None:
+    """A network learned from the rows of df that aren't held out; None where there are none.
+
+    rows: labelled rows of each language, about; most: of all languages together, about; passage: characters taken of a
+    row; windows: training windows taken of a passage. The driver holds `most` passages at the most.
+    """
+    learned = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
+    learned = learned.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id") & F.col("text").rlike(r"\p{L}"))
+    counts = learned.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = counts.count()
+    if not languages:
         return None
-    share = F.lit(None).cast("double")
-    for lang, n in counts:
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, SAMPLE_ROWS / n))).otherwise(share)
+    share = F.lit(float(min(rows, max(1, most // languages)))) / F.col("n")
     key = F.col("doc_id").cast("string")
     spread = F.shiftrightunsigned(F.xxhash64(key, F.lit(1)), 11) / F.lit(float(1 << 53))
-    at = F.pmod(F.xxhash64(key, F.lit(2)), F.greatest(F.length("text") - PASSAGE + 1, F.lit(1)))
-    found = rows.where(spread < share).select("lang", F.substring("text", (at + 1).cast("int"), F.lit(PASSAGE)).alias("passage"), "doc_id").collect()
+    at = F.pmod(F.xxhash64(key, F.lit(2)), F.greatest(F.length("text") - passage + 1, F.lit(1)))
+    sample = learned.join(F.broadcast(counts) if languages <= SENT else counts, "lang").where(spread < share)
+    found = sample.select("lang", F.substring("text", (at + 1).cast("int"), F.lit(passage)).alias("passage")).collect()
     passages = sorted((r.lang, r.passage) for r in found)
     if not passages:
         return None
     labels = sorted({lang for lang, _ in passages})
-    return ByteGru(labels).fit(*training_windows(passages, labels))
+    return ByteGru(labels).fit(*training_windows(passages, labels, windows))
 
 
 def predict(df: DataFrame, model: ByteGru | None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -235,9 +253,9 @@ def predict(df: DataFrame, model: ByteGru | None, id_col: str = "doc_id", text_c
         known = [i for i, t in enumerate(texts) if network and LETTER.search(t)]
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         if known:
-            best = network.probabilities([texts[i].encode() for i in known])
+            best = np.round(network.probabilities([texts[i].encode() for i in known]), SCORE_DIGITS)
             for i, row in zip(known, best, strict=True):
-                names[i], scores[i] = network.labels[row.argmax()], round(min(1.0, float(row.max())), 6)
+                names[i], scores[i] = network.labels[row.argmax()], min(1.0, float(row.max()))
         return [pa.array(names, pa.string()), scores]
 
     return map_texts(df, kernel, "lang_pred string, score double", id_col, text_col, carry=carry)

@@ -6,7 +6,7 @@ pairs first, then each longer n-gram only where the two shorter ones in it occur
 The corpus is dealt to blocks of about BLOCK_BYTES by a hash of its rows. A block's n-grams (orders 0 to `order`; order 0 is
 the empty n-gram, which counts tokens) are named by 64-bit hashes and counted once per block, so a frequent n-gram is one
 entry of a block however often it occurs. The entries are partitioned by ranges of the hash; each range's count table is
-joined to the entries of all blocks, and the totals go back to the blocks, where each n-gram occurrence takes its total
+joined to the entries of all blocks (sorted together, equal hashes summed), and the totals go back to the blocks, where each n-gram occurrence takes its total
 less the document's own count, and the logarithms are summed per document:
 
     S(w | context) = c(context w) / c(context) if c(context w) > 0, else ALPHA * S(w | shorter context)
@@ -15,8 +15,14 @@ At the empty context a word that no other document has counts ALPHA once more an
 white space after A to Z are lowered. An n-gram doesn't reach over a document's start; there is no start mark.
 
 Hashes of 64 bits: among n distinct n-grams about n * n / 2**65 pairs fall together and share their counts.
+A message holds the hashes of a block in a range, so there are at most as many messages as such hashes: a number that
+grows with the input. Packing them is what keeps the shuffle small: a row of its own for each (hash, block, count) takes
+some three times the bytes, on disk twice a round.
+
 Null text counts as empty: no tokens, score and mean 0. Repeated rows are documents of their own, each scored with the
-others' counts. Very long texts are taken whole. An empty table gives an empty result.
+others' counts; rows that repeat with their id share a block, so a block may be larger than BLOCK_BYTES by these. Ties don't
+arise. Very long texts are taken whole. An empty table gives an empty result. Other columns are not read and may have any
+name.
 """
 
 from __future__ import annotations
@@ -37,6 +43,8 @@ from .common import bound_batches, spark_schema
 ALPHA = 0.4
 ORDER = 3
 BLOCK_BYTES = 4 << 20
+#: A range of hashes holds as many distinct n-grams as so many blocks: messages between blocks and ranges stay few and long.
+BLOCKS_A_PART = 8
 #: Text that a task holds to compress what goes to the same block together.
 BUNDLE_BYTES = 16 << 20
 EMPTY = np.uint64(0)  # the key of order 0
@@ -205,7 +213,8 @@ def score_documents(df: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_
     bound_batches(df.sparkSession)
     rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = parts = max(1, -(-int(total) // block_bytes))
+    blocks = max(1, -(-int(total) // block_bytes))
+    parts = -(-blocks // BLOCKS_A_PART)
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).mapInArrow(_bundle, spark_schema("block int,ids array<long>,sizes array<long>,data binary")).repartition("block")
 
     def totals_of(answers) -> list[np.ndarray]:

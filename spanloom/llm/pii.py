@@ -10,10 +10,13 @@ such edges, so edges grow with tokens. Loopy sum-product messages with damping g
 the same label and a high marginal become added spans x_email, x_ip, x_card, x_phone, unless they touch a base span.
 
 The weights are learned here by pseudo-likelihood in numpy, on passages of SAMPLE_CHARS characters of about SAMPLE_ROWS
-rows of the table that have a digit or an at sign (the bound is a parameter), with half of the base hits hidden so that skip edges must carry labels.
+rows of the table that have a digit or an at sign (the bounds are arguments of train()), with half of the base hits hidden
+so that skip edges must carry labels.
 
 Null text counts as empty; an empty text has no span. Repeated rows get equal spans. Offsets are code points. Without a
-base span in the sample nothing is learned and only base spans are given. Very long texts are taken whole.
+base span in the sample nothing is learned and only base spans are given. Very long texts are taken whole, alone in their
+batch. An empty table gives an empty result. Other columns are not read and may have any name; see common.carried() for
+those handed on.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import carried, map_texts
 
 # The kinds, in the order in which equal starts are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -49,7 +52,7 @@ _NAME[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-
 SAMPLE_ROWS = 3000
 SAMPLE_CHARS = 4_000
 SURE = 0.9
-ROUNDS, DAMP = 30, 0.3
+ROUNDS, DAMP, SETTLED = 30, 0.3, 1e-4
 #: Digits at the end that tell a number from others.
 LAST_DIGITS = 7
 
@@ -282,16 +285,22 @@ class SkipChainCrf:
         pair = np.exp(np.concatenate([pair, pair.transpose(0, 2, 1)]))
         m = np.zeros((len(source), k))
         twin = np.roll(np.arange(len(source)), len(edges))
+        doc = np.asarray(graph.doc)[source]
+        # a document's messages rest when they have settled: what else is in the batch doesn't show in its result
+        live = np.ones(len(source), bool)
         for _ in range(ROUNDS):
             belief = own.copy()
             np.add.at(belief, goal, m)
-            sent = belief[source] - m[twin]
+            at = np.flatnonzero(live)
+            sent = belief[source[at]] - m[twin[at]]
             sent = np.exp(sent - sent.max(axis=1, keepdims=True))
-            new = np.log(np.einsum("ea,eab->eb", sent, pair) + 1e-300)
+            new = np.log(np.einsum("ea,eab->eb", sent, pair[at]) + 1e-300)
             new -= new.max(axis=1, keepdims=True)
-            change = np.abs(new - m).max()
-            m = DAMP * m + (1 - DAMP) * new
-            if change < 1e-4:
+            change = np.zeros(int(doc.max()) + 1)
+            np.maximum.at(change, doc[at], np.abs(new - m[at]).max(axis=1))
+            m[at] = DAMP * m[at] + (1 - DAMP) * new
+            live = change[doc] >= SETTLED
+            if not live.any():
                 break
         belief = own.copy()
         np.add.at(belief, goal, m)
@@ -322,14 +331,15 @@ def added_spans(texts: list[bytes], spans: list[list[tuple[str, int, int]]], mod
     return [[x for x in found if not any(x[1] < e and s < x[2] for _, s, e in base)] if found else found for found, base in zip(out, spans, strict=True)]
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> SkipChainCrf | None:
-    """A field learned from about `rows` rows with a digit or an at sign, those whose hash of the id is low enough."""
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> SkipChainCrf | None:
+    """A field learned from about `rows` rows with a digit or an at sign, those whose hash of the id is low enough, of each
+    a passage of `chars` characters at a hashed place."""
     key, text = F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")
     telling = df.select(key.alias("key"), text.alias("text")).where(F.col("text").rlike("[0-9@]"))
     n = telling.count()
     spread = F.shiftrightunsigned(F.xxhash64("key", F.lit(10)), 11) / F.lit(float(1 << 53))
-    at = F.pmod(F.xxhash64("key", F.lit(11)), F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1)))
-    sample = telling.where(spread < min(1.0, rows / max(n, 1))).select("key", F.substring("text", (at + 1).cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
+    at = F.pmod(F.xxhash64("key", F.lit(11)), F.greatest(F.length("text") - chars + 1, F.lit(1)))
+    sample = telling.where(spread < min(1.0, rows / max(n, 1))).select("key", F.substring("text", (at + 1).cast("int"), F.lit(chars)).alias("text"))
     texts = [r.text.encode() for r in sorted(sample.collect(), key=lambda r: (r.key or "", r.text))]
     spans = [base_spans(t) for t in texts]
     if not any(spans):
@@ -372,7 +382,8 @@ def without_personal_data(df: DataFrame, model: SkipChainCrf | None, carry: tupl
     shared = df.sparkSession.sparkContext.broadcast(model)
     kernel = lambda texts: [[redacted(t.decode(), joined(every)) for t, (_, every) in zip(texts, scan(texts, shared.value), strict=True)]]
     found = map_texts(df, kernel, "clean string", as_bytes=True, carry=("text", *carry))
-    return found.select("doc_id", F.when(F.col("text").isNotNull(), F.col("clean")).alias("clean"), *(c for c in carry if c not in ("doc_id", "text")))
+    clean = F.when(F.col("text").isNotNull(), F.col("clean")).alias("clean")
+    return found.select("doc_id", clean, *(f"`{c}`" for c in carried(carry, ("doc_id", "clean")).values()))
 
 
 def redacted(text: str, spans: str) -> str:

@@ -6,7 +6,9 @@ leftmost non-overlapping matches, as every match begins with a keyword. Runs of
 anchor is a probe of every 16th byte, since a run of 16 or more covers one of them. Tokens that carry a checksum
 (prefix, 30 characters, CRC-32 of these in 6 base-62 digits) are added only where it holds.
 
-Null text counts as empty; an empty text has no span. Repeated rows each get their result. Offsets are code points.
+Null text counts as empty; an empty text has no span. Repeated rows each get their result. Offsets are code points. Spans
+of a kind don't overlap, so ties are between kinds alone and go by their order. Very long texts are scanned whole. An empty
+table gives an empty result. Other columns are not read and may have any name.
 """
 
 from __future__ import annotations

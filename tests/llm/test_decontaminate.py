@@ -59,3 +59,13 @@ def test_edges(spark, edge_docs, no_docs):
     assert D.decontaminate(no_docs, items).count() == 0
     assert {r.n_hit for r in D.decontaminate(edge_docs, items.where("false")).collect()} == {0}
     assert D.without_spans("ab cd ef", "3:5") == "ab  ef"
+
+
+def test_clashing_columns_and_items_without_an_id(spark, edge_docs):
+    words = " ".join(f"w{i}" for i in range(12))
+    bench = spark.createDataFrame([(None, words), ("null", "a " * 12)], "item_id string, text string")
+    docs = spark.createDataFrame([(1, f"x {words} y", "c")], "doc_id long, text string, clean string")
+    got = D.without_contamination(docs, bench, carry=("clean",)).collect()[0]
+    assert got.clean.split() == ["x", "y"] and got.clean_carried == "c"
+    assert D.decontaminate(docs, bench).collect()[0].items == [""]
+    assert D.without_contamination(edge_docs, bench, carry=("clean", "spans")).count() == 9

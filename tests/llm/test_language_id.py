@@ -50,3 +50,26 @@ def test_edges(edge_docs, no_docs):
     assert L.train(no_docs) is None
     unlabelled = edge_docs.drop("lang").selectExpr("*", "CAST(NULL AS STRING) AS lang")
     assert {r.lang_pred for r in L.identify(unlabelled).collect()} == {"und"}
+
+
+def test_only_letters_count_as_letters(spark, prose):
+    df = spark.createDataFrame([*prose, (900, "\u00bd \u00b2 12", None, "s", 0), (901, "\u2460 \u2167_", None, "s", 0), (902, "\u0416", None, "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in L.identify(df).collect()}
+    assert [got[i].lang_pred for i in (900, 901)] == ["und", "und"] and got[900].score == got[901].score == 0
+    assert got[902].lang_pred in ("aa", "bb")
+
+
+def test_every_label_is_learned_and_bounds_are_arguments(spark):
+    rows = [(i, f"text number {i} of label {i % 300}", f"l{i % 300:03}") for i in range(1800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(L.train(df, rows=10, passage=80, windows=1).labels) == 300
+    few = L.train(df, most=900, passage=80, windows=1).labels
+    assert 200 < len(few) <= 300
+
+
+def test_result_does_not_depend_on_neighbours():
+    m = L.ByteGru(["a", "b", "c"], hidden=8)
+    rng = np.random.default_rng(1)
+    texts = [bytes(rng.integers(97, 123, int(n)).tolist()) for n in rng.integers(1, 900, 40)]
+    whole = np.round(m.probabilities(texts), L.SCORE_DIGITS)
+    assert all((np.abs(np.round(m.probabilities([t])[0], L.SCORE_DIGITS) - row) <= 1.01e-5).all() for t, row in zip(texts, whole, strict=True))

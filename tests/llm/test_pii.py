@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from spanloom.llm import pii as P
 
@@ -79,7 +80,7 @@ def test_edges(edge_docs, no_docs):
     got = {r.doc_id: r for r in P.find_personal_data(edge_docs, P.train(edge_docs)).collect()}
     assert got[1].spans == "" and got[7].spans == "email:31:39" and got[7].n_email == 1
     assert P.train(no_docs) is None and P.find_personal_data(no_docs, None).count() == 0
-    clean = {r.doc_id: r.clean for r in P.without_personal_data(edge_docs.drop("clean"), None, carry=("lang",)).collect()}
+    clean = {r.doc_id: r.clean for r in P.without_personal_data(edge_docs, None, carry=("lang", "clean", "spans")).collect()}
     assert clean[1] is None and clean[7].endswith("[EMAIL]")
 
 
@@ -101,3 +102,14 @@ def test_parts_of_spaced_numbers_are_linked():
 
 def test_every_address_name_is_a_candidate():
     assert ("mariaschmidt@x.org", "mariaschmidt") in linked("to mariaschmidt@x.org and then mariaschmidt wrote")
+
+
+def test_marginals_do_not_depend_on_the_batch():
+    rng = np.random.default_rng(0)
+    texts = [" ".join(f"+1 ({rng.integers(100, 999)}) 555-{rng.integers(1000, 9999)} and {rng.integers(10**6, 10**9)}" for _ in range(n)).encode() for n in (1, 3, 9, 2)]
+    spans = [P.base_spans(t) for t in texts]
+    model = P.SkipChainCrf().fit(P.Graph(texts, spans, variants=True))
+    whole = P.Graph(texts, spans)
+    p, doc = model.marginals(whole), np.array(whole.doc)
+    for i, t in enumerate(texts):
+        assert np.allclose(p[doc == i], model.marginals(P.Graph([t], [spans[i]])), atol=1e-12)
