@@ -44,7 +44,7 @@ ALPHA = 0.4
 ORDER = 3
 BLOCK_BYTES = 4 << 20
 #: A range of hashes holds as many distinct n-grams as so many blocks: messages between blocks and ranges stay few and long.
-BLOCKS_A_PART = 8
+BLOCKS_A_PART = 4
 #: Text that a task holds to compress what goes to the same block together.
 BUNDLE_BYTES = 16 << 20
 EMPTY = np.uint64(0)  # the key of order 0
