@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import bisect
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as spark_types
 
 from ..functions import text as T
 
@@ -170,8 +175,28 @@ def first_overlaps(df: DataFrame) -> DataFrame:
 
 
 def with_surface(spans: DataFrame, notes: DataFrame, name: str = "surface") -> DataFrame:
-    """Add text[start:end] of each span."""
-    return spans.join(notes.select("note_id", "text"), "note_id").withColumn(name, T.slice_text("text", F.col("start"), F.col("end"))).drop("text")
+    """Add text[start:end] of each span; null for a null text. A note's text meets all its spans at once, in an Arrow kernel,
+    so that it is neither shuffled nor searched from its start for each of them."""
+    rest = [c for c in spans.columns if c != "note_id"]
+    grouped = spans.groupBy("note_id").agg(F.collect_list(F.struct(*rest)).alias("__spans"))
+    joined = grouped.join(notes.select("note_id", F.col("text").alias("__text")), "note_id").select("note_id", "__text", "__spans")
+    out = spark_types.StructType([spans.schema["note_id"], *(spans.schema[c] for c in rest), spark_types.StructField(name, spark_types.StringType())])
+    start, end = rest.index("start"), rest.index("end")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = batch.column(2)
+            sizes = pc.list_value_length(items).to_numpy()
+            owner = pa.array(np.repeat(np.arange(len(batch)), sizes))
+            fields = items.flatten().flatten()
+            bound = np.append(0, np.cumsum(sizes)).tolist()
+            s, e, surfaces = fields[start].to_pylist(), fields[end].to_pylist(), []
+            for text, x, y in zip(batch.column(1).to_pylist(), bound, bound[1:], strict=False):
+                surfaces += [None] * (y - x) if text is None else [text[i:j] for i, j in zip(s[x:y], e[x:y], strict=True)]
+            columns = [batch.column(0).take(owner), *fields, pa.array(surfaces, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=out.names)
+
+    return joined.mapInArrow(run, out).select(*spans.columns, name)
 
 
 def offset_mismatches(spans: DataFrame, notes: DataFrame, surface: str = "span") -> int:

@@ -5,26 +5,32 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as E
 from ..operators import present as P
+from ..operators.shared import cut_lineage
 from . import inputs as I
 from .registry import query
 
 
 def _gold(spark, sf_dir):
-    return I.gold(spark, sf_dir, "doc_id % 5 = 0")
+    """Written once: a query reads it several times."""
+    return cut_lineage(I.gold(spark, sf_dir, "doc_id % 5 = 0"))
+
+
+def _system_d(spark, sf_dir):
+    return cut_lineage(I.system_d(spark, sf_dir))
 
 
 def _aligned(spark, sf_dir):
-    return E.add_regimes(E.attach_hits(_gold(spark, sf_dir), I.system_d(spark, sf_dir), I.system_s(spark, sf_dir)))
+    return E.add_regimes(E.attach_hits(_gold(spark, sf_dir), _system_d(spark, sf_dir), cut_lineage(I.system_s(spark, sf_dir))))
 
 
 @query("best_alignment", I.sql("best_d", "SELECT g.note_id, g.ord, g.s AS gold_start, g.e AS gold_end, g.c AS gold_concept_id, ps AS pred_start, pe AS pred_end, pc AS pred_concept_id, round(coalesce(iou, 0), 6) AS span_iou FROM test_gold g LEFT JOIN best_d USING (note_id, ord)"))
 def best_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.best_alignment(_gold(spark, sf_dir), I.system_d(spark, sf_dir)).withColumn("span_iou", F.round("span_iou", 6))
+    return E.best_alignment(_gold(spark, sf_dir), _system_d(spark, sf_dir)).withColumn("span_iou", F.round("span_iou", 6))
 
 
 @query("mention_recall", I.sql("aligned", "SELECT count(*) AS n_gold, count(*) FILTER (dh) AS n_hits, round(avg(dh::INT), 6) AS recall FROM aligned"))
 def mention_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.mention_recall(_gold(spark, sf_dir), I.system_d(spark, sf_dir)).withColumn("recall", F.round("recall", 6))
+    return E.mention_recall(_gold(spark, sf_dir), _system_d(spark, sf_dir)).withColumn("recall", F.round("recall", 6))
 
 
 @query("oracle_spans", I.sql("aligned", "SELECT note_id, ord, CASE WHEN t THEN ds ELSE ss END AS start, CASE WHEN t THEN de ELSE se END AS \"end\", CASE WHEN t THEN dc ELSE sc END AS concept_id, CASE WHEN t THEN 'dict' ELSE 'linker' END AS source FROM (SELECT *, dh AND (NOT sh OR di >= si) AS t FROM aligned WHERE dh OR sh)"))
@@ -67,17 +73,17 @@ ious AS (SELECT d.c AS concept_id, count(*) FILTER (same) AS n_both, count(e.c)
 
 @query("char_iou", I.sql("test_gold", _IOU + "SELECT concept_id, n_both, n_either, round(coalesce(n_both / nullif(n_either, 0), 0), 6) AS iou FROM ious"))
 def char_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.char_iou(_gold(spark, sf_dir), I.system_d(spark, sf_dir)).withColumn("iou", F.round("iou", 6))
+    return E.char_iou(_gold(spark, sf_dir), _system_d(spark, sf_dir)).withColumn("iou", F.round("iou", 6))
 
 
 @query("mean_char_iou", I.sql("test_gold", _IOU + "SELECT round(avg(coalesce(n_both / nullif(n_either, 0), 0)), 6) AS mean_iou FROM ious"))
 def mean_char_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.mean_char_iou(_gold(spark, sf_dir), I.system_d(spark, sf_dir)).select(F.round("mean_iou", 6).alias("mean_iou"))
+    return E.mean_char_iou(_gold(spark, sf_dir), _system_d(spark, sf_dir)).select(F.round("mean_iou", 6).alias("mean_iou"))
 
 
 @query("note_jaccard", I.sql("test_gold", "SELECT note_id, round(len(list_intersect(g, p)) / len(list_distinct(list_concat(g, p))), 6) AS jaccard FROM (SELECT note_id, list(DISTINCT c) AS g FROM test_gold GROUP BY note_id) JOIN (SELECT note_id, list(DISTINCT c) AS p FROM system_d GROUP BY note_id) USING (note_id)"))
 def note_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.note_jaccard(_gold(spark, sf_dir), I.system_d(spark, sf_dir)).withColumn("jaccard", F.round("jaccard", 6))
+    return E.note_jaccard(_gold(spark, sf_dir), _system_d(spark, sf_dir)).withColumn("jaccard", F.round("jaccard", 6))
 
 
 def _prf_sql(tp: str, fp: str, fn: str, rest: str) -> str:
@@ -90,7 +96,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @query("prf_exact", I.sql("test_gold", _prf_sql("count(*) FILTER (g.s IS NOT NULL AND p.s IS NOT NULL)", "count(*) FILTER (g.s IS NULL)", "count(*) FILTER (p.s IS NULL)", "FROM (SELECT DISTINCT note_id, s, e FROM test_gold) g FULL JOIN (SELECT DISTINCT note_id, s, e FROM system_d WHERE note_id IN (SELECT note_id FROM test_gold)) p USING (note_id, s, e)".replace("USING (note_id, s, e)", "ON g.note_id = p.note_id AND g.s = p.s AND g.e = p.e"))))
 def prf_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(E.prf_exact(_gold(spark, sf_dir), I.system_d(spark, sf_dir)))
+    return _rounded(E.prf_exact(_gold(spark, sf_dir), _system_d(spark, sf_dir)))
 
 
 def _overlap_sql(same: str) -> str:
@@ -100,12 +106,12 @@ def _overlap_sql(same: str) -> str:
 
 @query("prf_overlap", I.sql("test_gold", _overlap_sql("")))
 def prf_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(E.prf_overlap(_gold(spark, sf_dir), I.system_d(spark, sf_dir)))
+    return _rounded(E.prf_overlap(_gold(spark, sf_dir), _system_d(spark, sf_dir)))
 
 
 @query("prf_label", I.sql("test_gold", _overlap_sql("AND x.c = y.c")))
 def prf_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(E.prf_overlap(_gold(spark, sf_dir), I.system_d(spark, sf_dir), same_label=True))
+    return _rounded(E.prf_overlap(_gold(spark, sf_dir), _system_d(spark, sf_dir), same_label=True))
 
 
 _CLASSES = """, classes AS (SELECT note_id, s, e, CASE WHEN EXISTS (SELECT 1 FROM test_gold g WHERE g.note_id = x.note_id AND greatest(x.s, g.s) < least(x.e, g.e)) THEN 'green' ELSE 'yellow' END AS class FROM system_d x
@@ -115,7 +121,7 @@ UNION ALL SELECT note_id, s, e, 'red' FROM test_gold x WHERE NOT EXISTS (SELECT
 
 @query("span_classes", I.sql("test_gold", _CLASSES + 'SELECT note_id, s AS start, e AS "end", class FROM classes'))
 def span_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.span_classes(_gold(spark, sf_dir), I.system_d(spark, sf_dir)).drop("ord")
+    return E.span_classes(_gold(spark, sf_dir), _system_d(spark, sf_dir)).drop("ord")
 
 
 @query("span_paint", I.sql("test_gold", _CLASSES + """, chars AS (SELECT note_id, unnest(range(s, e)) AS pos, CASE class WHEN 'red' THEN 3 WHEN 'yellow' THEN 2 ELSE 1 END AS r FROM classes),
@@ -123,7 +129,7 @@ tops AS (SELECT note_id, pos, max(r) AS r FROM chars GROUP BY note_id, pos),
 runs AS (SELECT *, pos - row_number() OVER (PARTITION BY note_id, r ORDER BY pos) AS g FROM tops)
 SELECT note_id, min(pos)::INT AS start, (max(pos) + 1)::INT AS "end", CASE r WHEN 3 THEN 'red' WHEN 2 THEN 'yellow' ELSE 'green' END AS class FROM runs GROUP BY note_id, r, g"""))
 def span_paint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.paint(E.span_classes(_gold(spark, sf_dir), I.system_d(spark, sf_dir)))
+    return P.paint(E.span_classes(_gold(spark, sf_dir), _system_d(spark, sf_dir)))
 
 
 @query("missed_gold", I.sql("test_gold", """, pred AS (SELECT *, length(term) / 12.0 AS score FROM system_d),
@@ -135,7 +141,7 @@ def missed_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     gold = _gold(spark, sf_dir)
     named = S.with_surface(gold, I.test_notes(spark, sf_dir).select("note_id", "text")).withColumn("term", T.normalize_term("surface"))
-    pred = I.system_d(spark, sf_dir).withColumn("score", F.length("term") / 12.0)
+    pred = _system_d(spark, sf_dir).withColumn("score", F.length("term") / 12.0)
     return E.missed_gold(gold, pred, I.lexicon(spark, sf_dir), named, 0.5)
 
 

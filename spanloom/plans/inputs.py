@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dictionary as D
 from ..operators import spans as S
+from ..operators.tokens import token_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,15 +34,13 @@ def train_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gold(spark: SparkSession, sf_dir: str, which: str = "true") -> DataFrame:
     """note_id, start, end, concept_id, ord, seen, doc_id; made in the row, without a shuffle but for ord."""
-    from ..functions import text as T
-
-    d = notes(spark, sf_dir).where(which)
-    held = d.select("note_id", "doc_id", F.explode(F.array(T.tokens("text"))).alias("ts"))
-    paired = F.zip_with("ts", F.slice("ts", F.lit(2), F.size("ts")), lambda t, n: F.struct(t.alias("t"), n.alias("n")))
-    flat = held.select("note_id", "doc_id", F.posexplode(paired).alias("i", "p")).select("note_id", "doc_id", "i", "p.t", "p.n")
-    nxt = F.col("n")
-    one = F.when((F.length("t.tok") >= 6) & ((F.col("doc_id") + F.col("i")) % 4 == 0), F.struct(F.col("t.start").alias("start"), F.col("t.end").alias("end"), (F.length("t.tok") * 10 + F.col("doc_id") % 3).cast("bigint").alias("concept_id")))
-    two = F.when(((F.col("doc_id") + F.col("i")) % 9 == 0) & nxt.isNotNull(), F.struct(F.col("t.start").alias("start"), nxt["end"].alias("end"), (5000 + F.col("doc_id") % 5).cast("bigint").alias("concept_id")))
+    flat = token_table(notes(spark, sf_dir).where(which), ("doc_id",))
+    at = F.col("doc_id") + F.col("ord")
+    length = F.length("tok")
+    first = F.struct("start", "end", (length * 10 + F.col("doc_id") % 3).cast("bigint").alias("concept_id"))
+    both = F.struct("start", F.col("next_end").alias("end"), (5000 + F.col("doc_id") % 5).cast("bigint").alias("concept_id"))
+    one = F.when((length >= 6) & (at % 4 == 0), first)
+    two = F.when((at % 9 == 0) & F.col("next_end").isNotNull(), both)
     spans = flat.select("note_id", "doc_id", F.explode(F.array_compact(F.array(one, two))).alias("s")).select("note_id", "doc_id", "s.*")
     return S.with_order(spans, "start", "end", "concept_id").withColumn("seen", F.col("doc_id") * 1000000 + F.col("ord"))
 
