@@ -199,9 +199,14 @@ def with_surface(spans: DataFrame, notes: DataFrame, name: str = "surface") -> D
     return joined.mapInArrow(run, out).select(*spans.columns, name)
 
 
+def wrong_offsets(spans: DataFrame, notes: DataFrame, surface: str = "span") -> DataFrame:
+    """The spans whose stored surface differs from the text at their offsets."""
+    return with_surface(spans, notes, "__found").where(~F.col("__found").eqNullSafe(F.col(surface))).drop("__found")
+
+
 def offset_mismatches(spans: DataFrame, notes: DataFrame, surface: str = "span") -> int:
     """How many spans' stored surface differs from the text at their offsets."""
-    return with_surface(spans, notes, "__found").where(~F.col("__found").eqNullSafe(F.col(surface))).count()
+    return wrong_offsets(spans, notes, surface).count()
 
 
 def check_offsets(spans: DataFrame, notes: DataFrame, surface: str = "span") -> DataFrame:

@@ -39,9 +39,9 @@ def dense_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.dense_ids(C.dense_ids(d, ["source", "doc_id"]), ["doc_id"], "in_source", ["source"]).select("doc_id", "annotation_id", "in_source")
 
 
-@query("one_line", r"SELECT doc_id, md5(replace(replace(replace(replace(text, chr(13) || chr(10), '\n'), chr(13), '\n'), chr(10), '\n'), chr(9), ' ')) AS flat, md5(text) AS restored FROM documents WHERE NOT contains(text, chr(9)) AND NOT contains(text, chr(13)) AND NOT contains(text, '\n')")
+@query("one_line", r"SELECT doc_id, md5(flat) AS flat, md5(replace(coalesce(flat, ''), '\n', chr(10))) AS restored FROM (SELECT doc_id, replace(replace(replace(replace(text, chr(13) || chr(10), '\n'), chr(13), '\n'), chr(10), '\n'), chr(9), ' ') AS flat FROM documents)")
 def one_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = I.table(spark, sf_dir, "documents").where(~F.contains("text", F.lit("\t")) & ~F.contains("text", F.lit("\r")) & ~F.contains("text", F.lit("\\n")))
+    d = I.table(spark, sf_dir, "documents")
     return d.select("doc_id", F.md5(T.one_line("text").cast("binary")).alias("flat"), F.md5(T.restore_lines(T.one_line("text")).cast("binary")).alias("restored"))
 
 

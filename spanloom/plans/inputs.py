@@ -7,6 +7,8 @@ Conversations stand for notes with sections.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,7 +98,17 @@ _T["aligned"] = "SELECT g.note_id, g.ord, g.s AS gs, g.e AS ge, g.c AS gc, d.ps
 _T["regimes"] = "SELECT *, dh OR sh AS oh, CASE WHEN dc IS NOT NULL AND sc IS NOT NULL THEN CASE WHEN dc = sc THEN 'ACCORD' ELSE 'CONFLIT' END WHEN dc IS NOT NULL THEN 'D_SEUL' WHEN sc IS NOT NULL THEN 'S_SEUL' ELSE 'AUCUN' END AS regime FROM aligned"
 
 
+for _name in ("hits", "fresh", "chains", "listed", "taken"):
+    _T[f"all_{_name}"] = re.sub(r"\b(hits|fresh|chains|listed)\b", r"all_\1", _T[_name]).replace(" WHERE doc_id % 5 = 0", "")
+
+
 def sql(last: str, body: str) -> str:
-    """body with the common tables up to `last` before it."""
-    names = list(_T)
-    return "WITH " + ",\n".join(f"{n} AS ({_T[n]})" for n in names[: names.index(last) + 1]) + "\n" + body
+    """body with the common tables that it or they need before it, each computed once. last: the table that body is about."""
+    wanted, names = set(), list(_T)
+    todo = [last, *re.findall(r"\w+", body)]
+    while todo:
+        name = todo.pop()
+        if name in _T and name not in wanted:
+            wanted.add(name)
+            todo += re.findall(r"\w+", _T[name])
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({_T[n]})" for n in names if n in wanted) + "\n" + body

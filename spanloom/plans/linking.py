@@ -49,9 +49,9 @@ def choose_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.withColumn("score", F.round("score", 6))
 
 
-@query("bio_encode", I.sql("gold", """, p AS (SELECT t.note_id, t.ord, g.ord AS g, t.ord = min(t.ord) OVER (PARTITION BY t.note_id, g.ord) AS first, CASE WHEN g.c % 2 = 0 THEN 'find' ELSE 'proc' END AS cls FROM tokens t JOIN gold g ON g.note_id = t.note_id AND greatest(t.s, g.s) < least(t.e, g.e) WHERE t.doc_id % 5 = 0),
+@query("bio_encode", I.sql("gold", """, p AS (SELECT t.note_id, t.ord, g.ord AS g, t.ord = min(t.ord) OVER (PARTITION BY t.note_id, g.ord) AS first, CASE WHEN g.c % 2 = 0 THEN 'find' ELSE 'proc' END AS cls FROM tokens t JOIN gold g ON g.note_id = t.note_id AND greatest(t.s, g.s) < least(t.e, g.e)),
 q AS (SELECT note_id, ord, arg_max(CASE WHEN first THEN 'B-' ELSE 'I-' END || cls, g) AS tag FROM p GROUP BY note_id, ord)
-SELECT note_id, ord, coalesce(tag, 'O') AS tag FROM tokens LEFT JOIN q USING (note_id, ord) WHERE doc_id % 5 = 0"""))
+SELECT note_id, ord, coalesce(tag, 'O') AS tag FROM tokens LEFT JOIN q USING (note_id, ord)"""))
 def bio_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tagged(spark, sf_dir).select("note_id", "ord", "tag")
 
@@ -59,8 +59,8 @@ def bio_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _tagged(spark, sf_dir):
     from ..operators import dictionary as D
 
-    g = I.gold(spark, sf_dir, "doc_id % 5 = 0").withColumn("cls", F.when(F.col("concept_id") % 2 == 0, "find").otherwise("proc"))
-    return N.bio_encode(D.token_table(I.test_notes(spark, sf_dir)), g)
+    g = I.gold(spark, sf_dir).withColumn("cls", F.when(F.col("concept_id") % 2 == 0, "find").otherwise("proc"))
+    return N.bio_encode(D.token_table(I.notes(spark, sf_dir)), g)
 
 
 @query("bio_decode")

@@ -63,33 +63,33 @@ def dict_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.system_d(spark, sf_dir).select("note_id", "start", "end", "concept_id", "term")
 
 
-@query("longest_wins", I.sql("system_d", "SELECT note_id, count(*) AS n_kept, sum(e - s)::BIGINT AS n_chars FROM system_d GROUP BY note_id"))
+@query("longest_wins", I.sql("all_taken", "SELECT note_id, count(*) AS n_kept, sum(k.e - k.s)::BIGINT AS n_chars FROM all_taken GROUP BY note_id"))
 def longest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = D.term_hits(I.test_notes(spark, sf_dir), I.lexicon(spark, sf_dir), 2)
+    hits = D.term_hits(I.notes(spark, sf_dir), I.lexicon(spark, sf_dir), 2)
     return S.longest_wins(hits).groupBy("note_id").agg(F.count("*").alias("n_kept"), F.sum(F.col("end") - F.col("start")).alias("n_chars"))
 
 
-@query("alternation_scan", I.sql("chains", """,
-firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY note_id, s ORDER BY term) AS r FROM hits) WHERE r = 1),
+@query("alternation_scan", I.sql("all_hits", """,
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY note_id, s ORDER BY term) AS r FROM all_hits) WHERE r = 1),
 af AS (SELECT *, CASE WHEN s >= coalesce(max(e) OVER (PARTITION BY note_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN 1 ELSE 0 END AS f FROM firsts),
 ac AS (SELECT *, sum(f) OVER (PARTITION BY note_id ORDER BY s) AS island FROM af),
 al AS (SELECT note_id, list([{'s': s, 'e': e, 'c': c, 't': term}] ORDER BY s) AS items FROM ac GROUP BY note_id, island),
 ak AS (SELECT note_id, unnest(list_reduce(items, lambda kept, x: CASE WHEN kept[-1].e <= x[1].s THEN list_concat(kept, x) ELSE kept END)) AS k FROM al)
 SELECT note_id, k.s AS start, k.e AS "end", k.c AS concept_id, k.t AS term FROM ak""".lstrip()))
 def alternation_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = D.term_hits(I.test_notes(spark, sf_dir), I.lexicon(spark, sf_dir), 2).withColumn("dict_ord", F.col("term"))
+    hits = D.term_hits(I.notes(spark, sf_dir), I.lexicon(spark, sf_dir), 2).withColumn("dict_ord", F.col("term"))
     return S.alternation_scan(hits).select("note_id", "start", "end", "concept_id", "term")
 
 
 @query("remove_overlaps")
 def remove_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = D.term_hits(I.test_notes(spark, sf_dir), I.lexicon(spark, sf_dir), 2)
+    hits = D.term_hits(I.notes(spark, sf_dir), I.lexicon(spark, sf_dir), 2)
     return S.remove_overlaps(hits.withColumn("any_section", F.length("term") % 2 == 0)).select("note_id", "start", "end", "concept_id", "term")
 
 
-@query("overlap_pairs", I.sql("hits", "SELECT note_id, s1 AS start1, e1 AS end1, s2 AS start2, e2 AS end2 FROM (SELECT a.note_id, a.s AS s1, a.e AS e1, b.s AS s2, b.e AS e2, row_number() OVER (PARTITION BY a.note_id ORDER BY a.s, a.ord, a.e, b.s, b.ord, b.e) AS r FROM hits a JOIN hits b ON a.note_id = b.note_id AND a.s <= b.s AND b.s < a.e AND a.ord <> b.ord) WHERE r = 1"))
+@query("overlap_pairs", I.sql("all_hits", "SELECT note_id, s1 AS start1, e1 AS end1, s2 AS start2, e2 AS end2 FROM (SELECT a.note_id, a.s AS s1, a.e AS e1, b.s AS s2, b.e AS e2, row_number() OVER (PARTITION BY a.note_id ORDER BY a.s, a.ord, a.e, b.s, b.ord, b.e) AS r FROM all_hits a JOIN all_hits b ON a.note_id = b.note_id AND a.s <= b.s AND b.s < a.e AND a.ord <> b.ord) WHERE r = 1"))
 def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.first_overlaps(D.term_hits(I.test_notes(spark, sf_dir), I.lexicon(spark, sf_dir), 2))
+    return S.first_overlaps(D.term_hits(I.notes(spark, sf_dir), I.lexicon(spark, sf_dir), 2))
 
 
 @query("static_merge", I.sql("system_s", 'SELECT note_id, s AS start, e AS "end", c AS concept_id FROM system_s UNION ALL SELECT note_id, s, e, c FROM system_d d WHERE note_id IN (SELECT note_id FROM system_s) AND NOT EXISTS (SELECT 1 FROM system_s x WHERE x.note_id = d.note_id AND greatest(x.s, d.s) <= least(x.e, d.e))'))
@@ -102,10 +102,14 @@ def neural_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.neural_residual(I.system_s(spark, sf_dir), I.test_notes(spark, sf_dir), I.lexicon(spark, sf_dir))
 
 
-@query("offset_check", I.sql("named", "SELECT note_id, count(*) AS n_spans, count(*) FILTER (substring(text, s + 1, e - s) <> substring(lower(text), s + 1, e - s)) AS n_cased FROM named JOIN notes USING (note_id) GROUP BY note_id"))
+@query("offset_check", I.sql("named", "SELECT note_id, count(*) AS n_spans, count(*) FILTER (ord % 10 = 3) AS n_wrong FROM named JOIN notes USING (note_id) WHERE substring(text, s + 1, e - s) <> '' GROUP BY note_id"))
 def offset_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = S.with_surface(I.gold(spark, sf_dir), I.notes(spark, sf_dir))
-    return named.groupBy("note_id").agg(F.count("*").alias("n_spans"), F.count_if(F.col("surface") != F.lower("surface")).alias("n_cased"))
+    """Of every ten stored surfaces one is planted that isn't the note's text."""
+    notes = I.notes(spark, sf_dir)
+    stored = S.with_surface(I.gold(spark, sf_dir), notes, "span").withColumn("span", F.when(F.col("ord") % 10 == 3, F.concat("span", F.lit("\u00a7"))).otherwise(F.col("span")))
+    wrong = S.wrong_offsets(stored, notes).groupBy("note_id").agg(F.count("*").alias("n_wrong"))
+    counted = stored.groupBy("note_id").agg(F.count("*").alias("n_spans")).join(wrong, "note_id", "left")
+    return counted.select("note_id", "n_spans", F.coalesce("n_wrong", F.lit(0)).alias("n_wrong"))
 
 
 @query("levenshtein_sim", "SELECT a.item_id AS left_id, b.item_id AS right_id, round(CASE WHEN x = y THEN 1.0 WHEN x = '' OR y = '' THEN 0.0 ELSE 1 - levenshtein(x, y)::DOUBLE / greatest(length(x), length(y)) END, 6) AS similarity FROM (SELECT item_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS x FROM benchmark) a JOIN (SELECT item_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS y FROM benchmark) b ON b.item_id = a.item_id + 1")
