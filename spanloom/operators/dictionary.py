@@ -196,23 +196,30 @@ def remove_bad_keys(dictionary: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def greedy_keys(scores: DataFrame, annotation_counts: DataFrame) -> DataFrame:
-    """concept_id, section, dict_entry, bad: keys of a concept by falling ratio, accepted while they beat the running score
-    or aren't naively removable. scores: concept_id and key counts; annotation_counts: concept_id, n."""
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(ratio=rows.n_correct / (rows.n_incorrect + 0.01)).sort_values(["ratio", "section", "dict_entry"], ascending=[False, True, True])
-        correct = incorrect = 0
-        bad = []
-        for i, r in enumerate(rows.itertuples()):
-            share = (ANY_FRACTION if r.section == ANY else SECTION_FRACTION) * (2 if i > 2 else 1)
-            removable = r.n_correct < (1 if r.n_correct == 1 else share) * r.n_incorrect
-            keep = correct / (incorrect + r.n) < r.ratio or not removable
-            bad.append(not keep)
-            if keep:
-                correct, incorrect = correct + r.n_correct, incorrect + r.n_incorrect
-        return rows.assign(bad=bad)[["concept_id", "section", "dict_entry", "bad"]]
-
-    return scores.join(annotation_counts, "concept_id").groupBy("concept_id").applyInPandas(choose, "concept_id long, section string, dict_entry string, bad boolean")
+    """concept_id, section, dict_entry, bad: a concept's keys, by falling ratio of correct to incorrect, are kept while their
+    ratio beats that of all kept so far (missed annotations count as incorrect) or naive_remove() would keep them; from the
+    fourth key on its share is doubled. scores: concept_id and key counts; annotation_counts: concept_id, n.
+
+    A concept's keys are folded in order with array functions; the state holds the sums of the keys kept.
+    """
+    ratio = F.col("n_correct") / (F.col("n_incorrect") + 0.01)
+    key = F.struct((-ratio).alias("by"), "section", "dict_entry", "n_correct", "n_incorrect")
+    keys = scores.join(annotation_counts, "concept_id").groupBy("concept_id", "n").agg(F.array_sort(F.collect_list(key)).alias("keys"))
+    start = F.struct(F.lit(0).cast("long").alias("right"), F.lit(0).cast("long").alias("wrong"), F.array().cast("array<boolean>").alias("bad"))
+
+    def step(state: Column, k: Column) -> Column:
+        beats = state["right"] / (state["wrong"] + F.col("n")) < -k["by"]
+        keep = beats | ~naive_remove(k["n_correct"], k["n_incorrect"], k["section"], doubled=F.size(state["bad"]) > 2)
+        counted = lambda c: F.when(keep, c).otherwise(F.lit(0))
+        return F.struct(
+            (state["right"] + counted(k["n_correct"])).alias("right"),
+            (state["wrong"] + counted(k["n_incorrect"])).alias("wrong"),
+            F.concat(state["bad"], F.array(~keep)).alias("bad"),
+        )
+
+    folded = keys.select("concept_id", "keys", F.aggregate("keys", start, step)["bad"].alias("bad"))
+    each = folded.select("concept_id", F.explode(F.arrays_zip("keys", "bad")).alias("x"))
+    return each.select("concept_id", F.col("x.keys.section").alias("section"), F.col("x.keys.dict_entry").alias("dict_entry"), F.col("x.bad").alias("bad"))
 
 
 # --- growing a dictionary --------------------------------------------------------------------------------------------

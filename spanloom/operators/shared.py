@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+def shared_path(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share. Only a local master, where there is one machine, may name none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or "/tmp/checkpoints"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() in the folder that the cluster names. Only a local master, where there is one machine, may name none."""
+    """checkpoint() in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not re.match(r"local(\[|$)", context.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or "/tmp/checkpoints")
+        context.setCheckpointDir(shared_path(df.sparkSession))
     return df.checkpoint()
 
 

@@ -74,7 +74,7 @@ def mapped_synonyms(concept: DataFrame, relationship: DataFrame, valid: list[str
     concept: concept_id, concept_name, vocabulary_id, concept_code; relationship: concept_id_1, concept_id_2,
     relationship_id. Codes must be unique per concept_id.
     """
-    ours = concept.where(F.col("vocabulary_id") == vocabulary).select(F.col("concept_id").alias("concept_id_2"), F.col("concept_code").cast("bigint").alias("code"))
+    ours = concept.where(F.col("vocabulary_id") == vocabulary).select(F.col("concept_id").alias("concept_id_2"), F.col("concept_code").try_cast("bigint").alias("code"))
     others = concept.where(F.col("vocabulary_id").isin(*valid)).select(F.col("concept_id").alias("concept_id_1"), "concept_name")
     maps = relationship.where("relationship_id = 'Maps to'").select("concept_id_1", "concept_id_2")
     return many_to_one(many_to_one(maps, ours, ["concept_id_2"]), others, ["concept_id_1"]).select(F.col("code").alias("concept_id"), "concept_name").distinct()
@@ -104,9 +104,9 @@ def abbreviations(abbr: DataFrame, synonyms: DataFrame) -> DataFrame:
 
 
 def abbreviation_dictionary(abbr: DataFrame, min_length: int = 4) -> DataFrame:
-    """section (any), mention, concept_id: the first concept of each abbreviation that is long enough."""
-    kept = abbr.where(F.length("abbreviation") >= min_length)
-    return kept.groupBy(F.col("abbreviation").alias("mention")).agg(F.min("concept_id").alias("concept_id")).select(F.lit("any").alias("section"), "mention", "concept_id")
+    """section (any), mention, concept_id: of each abbreviation that is long enough the first row (`ord`)."""
+    first = first_rows(abbr.where(F.length("abbreviation") >= min_length), ["abbreviation"], "ord")
+    return first.select(F.lit("any").alias("section"), F.col("abbreviation").alias("mention"), "concept_id")
 
 
 def edge_names(edges: DataFrame, names: DataFrame) -> DataFrame:

@@ -163,3 +163,9 @@ def label_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("value_counts", "SELECT lang, count(*) AS n FROM documents GROUP BY lang")
 def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.value_counts(I.table(spark, sf_dir, "documents"), "lang")
+
+
+@query("scores_where_predicted", I.sql("test_gold", _IOU.replace("test_gold", "(SELECT * FROM test_gold WHERE note_id IN (SELECT note_id FROM system_d))") + ", j AS (SELECT note_id, len(list_intersect(g, p)) / len(list_distinct(list_concat(g, p))) AS jaccard FROM (SELECT note_id, list(DISTINCT c) AS g FROM test_gold GROUP BY note_id) JOIN (SELECT note_id, list(DISTINCT c) AS p FROM system_d GROUP BY note_id) USING (note_id)) SELECT (SELECT round(avg(coalesce(n_both / nullif(n_either, 0), 0)), 6) FROM ious) AS mean_iou, (SELECT round(coalesce(avg(jaccard), 0), 6) FROM j) AS mean_jaccard"))
+def scores_where_predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = E.scores_where_predicted(_gold(spark, sf_dir), _system_d(spark, sf_dir))
+    return found.select(F.round("mean_iou", 6).alias("mean_iou"), F.round("mean_jaccard", 6).alias("mean_jaccard"))

@@ -63,12 +63,25 @@ def _tagged(spark, sf_dir):
     return N.bio_encode(D.token_table(I.notes(spark, sf_dir)), g)
 
 
-@query("bio_decode")
+_TAGS = """, p AS (SELECT t.note_id, t.ord, g.ord AS g, t.ord = min(t.ord) OVER (PARTITION BY t.note_id, g.ord) AS first, CASE WHEN g.c % 2 = 0 THEN 'find' ELSE 'proc' END AS cls FROM tokens t JOIN gold g ON g.note_id = t.note_id AND greatest(t.s, g.s) < least(t.e, g.e)),
+q AS (SELECT note_id, ord, arg_max(CASE WHEN first THEN 'B-' ELSE 'I-' END || cls, g) AS tag FROM p GROUP BY note_id, ord),
+tags AS (SELECT t.note_id, t.ord, t.s, t.e, coalesce(tag, 'O') AS tag, CASE WHEN tag IS NULL THEN 'O' ELSE substring(tag, 3) END AS cls FROM tokens t LEFT JOIN q USING (note_id, ord))
+"""
+
+
+@query("bio_decode", I.sql("gold", _TAGS + """, marked AS (SELECT *, coalesce(tag[1] = 'I' AND lag(cls) OVER w = cls AND s - lag(e) OVER w BETWEEN 0 AND 2, false) AS linked FROM tags WHERE tag <> 'O' WINDOW w AS (PARTITION BY note_id ORDER BY ord)),
+runs AS (SELECT *, sum((NOT linked)::INT) OVER (PARTITION BY note_id ORDER BY ord) AS run FROM marked),
+rooted AS (SELECT *, first_value(tag) OVER (PARTITION BY note_id, run ORDER BY ord) AS root FROM runs)
+SELECT note_id, min(s) AS start, arg_max(e, ord) AS "end", any_value(cls) AS cls FROM rooted GROUP BY note_id, run, CASE WHEN root[1] = 'B' THEN -1 ELSE ord END"""))
 def bio_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.bio_decode(_tagged(spark, sf_dir))
 
 
-@query("bio_decode_fr")
+@query("bio_decode_fr", I.sql("gold", _TAGS + """, same AS (SELECT *, CASE WHEN cls = lag(cls) OVER (PARTITION BY note_id ORDER BY ord) THEN 0 ELSE 1 END AS fresh FROM tags),
+runs AS (SELECT *, sum(fresh) OVER (PARTITION BY note_id ORDER BY ord) AS run FROM same),
+ahead AS (SELECT *, max(e) OVER (PARTITION BY note_id, run ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM runs WHERE cls <> 'O'),
+parts AS (SELECT *, sum(CASE WHEN (tag[1] = 'I' AND s - high <= 2) OR (tag[1] = 'B' AND s <= high) THEN 0 ELSE 1 END) OVER (PARTITION BY note_id, run ORDER BY ord) AS part FROM ahead)
+SELECT note_id, min(s) AS start, max(e) AS "end", any_value(cls) AS cls, round(avg((s % 7 + 1) / 8.0), 6) AS confidence FROM parts GROUP BY note_id, run, part"""))
 def bio_decode_fr(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _tagged(spark, sf_dir).withColumn("conf", (F.col("start") % 7 + 1) / 8.0)
     return N.bio_decode_merging(t).withColumn("confidence", F.round("confidence", 6))

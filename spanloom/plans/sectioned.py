@@ -102,12 +102,13 @@ FROM (SELECT * FROM (SELECT t.*, h.header, row_number() OVER (PARTITION BY t.not
 LEFT JOIN core a ON a.section = t.header AND a.mention = t.tok LEFT JOIN core b ON b.section = 'any' AND b.mention = t.tok WHERE a.c IS NOT NULL OR b.c IS NOT NULL),
 scored AS (SELECT h.*, CASE WHEN EXISTS (SELECT 1 FROM sgold g WHERE g.note_id = h.note_id AND g.s = h.s AND g.e = h.e AND g.c = h.c) THEN 1 ELSE -1 END AS score FROM hits h),
 keys AS (SELECT section, entry, count(*) FILTER (score = 1) AS p, count(*) FILTER (score = -1) AS m FROM scored GROUP BY section, entry)
-SELECT section, entry AS dict_entry, p AS n_correct, m AS n_incorrect, round(p / (p + 0.3 * m), 6) AS confidence FROM keys""")
+SELECT h.note_id, h.s AS start, h.e AS "end", h.c AS concept_id, h.section, h.entry AS dict_entry, round(CASE WHEN p IS NULL THEN 1.0 ELSE p / (p + 0.3 * m) END, 6) AS confidence FROM hits h LEFT JOIN (SELECT section, entry, count(*) FILTER (score = 1) AS p, count(*) FILTER (score = -1) AS m FROM scored WHERE note_id::BIGINT % 2 = 0 GROUP BY section, entry) USING (section, entry)""")
 def confidence_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _notes(spark, sf_dir).select("note_id", "text")
     hits = D.match_sections(n, _headers(spark, sf_dir), section_dictionary(spark, sf_dir), 1)
-    scores = D.key_scores(D.score_hits(hits, _gold(spark, sf_dir)), by_note=False)
-    return scores.withColumn("confidence", F.round(F.col("n_correct") / (F.col("n_correct") + 0.3 * F.col("n_incorrect")), 6))
+    scored = D.score_hits(hits, _gold(spark, sf_dir)).where(F.col("note_id").cast("bigint") % 2 == 0)  # the training notes; other keys have 1
+    found = D.confidence(hits.select("note_id", "start", "end", "concept_id", "section", "dict_entry"), scored)
+    return found.withColumn("confidence", F.round("confidence", 6))
 
 
 _CUT = """WITH base AS (SELECT doc_id::VARCHAR AS note_id, 'intro: ' || text || ' alpha: ' || text || ' omega: ' || text AS text FROM (SELECT item_id AS doc_id, replace(text, ':', ' ') AS text FROM benchmark)),

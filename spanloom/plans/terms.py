@@ -110,3 +110,99 @@ def specialise(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = I.system_d(spark, sf_dir)
     ext = spans.select(F.col("concept_id").alias("general_id")).distinct().select("general_id", (F.col("general_id") + 90000).alias("specific_id"), F.explode(F.array(F.lit("the"), F.lit("de"))).alias("additional_word")).withColumn("ord", F.length("additional_word"))
     return A.specialise(spans, I.test_notes(spark, sf_dir).select("note_id", "text"), ext)
+
+
+# --- the terminology chain: parts are concepts, their names descriptions, suppliers a second vocabulary -----------------
+_KIND = "CASE p_partkey % 4 WHEN 0 THEN ' (finding)' WHEN 1 THEN ' (procedure)' WHEN 2 THEN ' (qualifier value)' ELSE '' END"
+_LOADED = f"""WITH descr AS (SELECT p_partkey AS concept_id, p_name || {_KIND} AS concept_name, CASE p_partkey % 4 WHEN 0 THEN 'finding' WHEN 1 THEN 'procedure' WHEN 2 THEN 'qualifier value' END AS hierarchy, CASE WHEN p_partkey % 3 = 0 THEN 'A' ELSE 'P' END AS name_type FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0),
+loaded AS (SELECT * FROM descr WHERE hierarchy IS NOT NULL),
+kept AS (SELECT concept_id, concept_name, hierarchy FROM loaded WHERE name_type = 'P' AND hierarchy <> 'qualifier value')
+"""
+
+
+def _descriptions(spark, sf_dir):
+    p, key = I.table(spark, sf_dir, "part"), F.col("p_partkey")
+    kind = F.when(key % 4 == 0, " (finding)").when(key % 4 == 1, " (procedure)").when(key % 4 == 2, " (qualifier value)").otherwise("")
+    type_id = F.when(key % 3 == 0, F.lit(A.SYNONYM)).otherwise(F.lit(A.FSN))
+    return p.select(key.alias("conceptId"), F.concat("p_name", kind).alias("term"), type_id.alias("typeId"), F.when(key % 7 == 0, 0).otherwise(1).alias("active"), key.alias("ord"))
+
+
+def _loaded(spark, sf_dir):
+    key = F.col("p_partkey")
+    concepts = I.table(spark, sf_dir, "part").select(key.alias("id"), F.when(key % 5 == 0, 0).otherwise(1).alias("active"))
+    return A.load_terminology(concepts, _descriptions(spark, sf_dir))
+
+
+@query("load_terminology", _LOADED + "SELECT * FROM loaded")
+def load_terminology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _loaded(spark, sf_dir)
+
+
+@query("flattened_terminology", _LOADED + "SELECT * FROM kept")
+def flattened_terminology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.flattened_terminology(_loaded(spark, sf_dir))
+
+
+_MAPPED = _LOADED + """, mapped AS (SELECT DISTINCT p_partkey AS concept_id, s_name AS concept_name FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_suppkey % 2 = 0),
+own AS (SELECT k.concept_id, p_name || """ + _KIND + """ AS concept_name, hierarchy, CASE WHEN p_partkey % 3 = 0 THEN 'SYN' ELSE 'FSN' END AS type, p_partkey AS ord FROM kept k JOIN part ON p_partkey = k.concept_id),
+every AS (SELECT m.concept_id, m.concept_name, hierarchy, 'SYN' AS type, 0 AS part, 0 AS ord FROM mapped m JOIN kept USING (concept_id) UNION ALL SELECT concept_id, concept_name, hierarchy, type, 1, ord FROM own),
+synonyms AS (SELECT concept_id, concept_name, hierarchy, type FROM (SELECT *, row_number() OVER (PARTITION BY concept_id, concept_name ORDER BY part, ord) AS r FROM every) WHERE r = 1)
+"""
+
+
+def _mapped(spark, sf_dir):
+    parts = I.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("concept_id"), F.col("p_name").alias("concept_name"), F.lit("SNOMED").alias("vocabulary_id"), F.col("p_partkey").cast("string").alias("concept_code"))
+    even = F.when(F.col("s_suppkey") % 2 == 0, "MeSH").otherwise("other")
+    more = I.table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 10_000_000).alias("concept_id"), F.col("s_name").alias("concept_name"), even.alias("vocabulary_id"), F.lit("x").alias("concept_code"))
+    relations = I.table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") + 10_000_000).alias("concept_id_1"), F.col("l_partkey").alias("concept_id_2"), F.lit("Maps to").alias("relationship_id"))
+    return A.mapped_synonyms(parts.unionByName(more), relations, ["MeSH"])
+
+
+@query("mapped_synonyms", _MAPPED + "SELECT * FROM mapped")
+def mapped_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mapped(spark, sf_dir)
+
+
+@query("synonym_chain", _MAPPED + "SELECT * FROM synonyms")
+def synonym_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terminology, mapped names, own names and their union as one run."""
+    terms = A.flattened_terminology(_loaded(spark, sf_dir))
+    return A.synonyms_union(_mapped(spark, sf_dir), A.own_synonyms(terms, _descriptions(spark, sf_dir)), terms)
+
+
+@query("abbreviation_dictionary", "SELECT 'any' AS section, 'abb' || (p_partkey % 50) AS mention, arg_min(10000 - p_partkey, p_partkey) AS concept_id FROM part WHERE p_partkey % 50 >= 10 GROUP BY p_partkey % 50")
+def abbreviation_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    rows = I.table(spark, sf_dir, "part").select(F.concat(F.lit("abb"), (key % 50).cast("string")).alias("abbreviation"), (10_000 - key).alias("concept_id"), key.alias("ord"))
+    return A.abbreviation_dictionary(rows, 5)
+
+
+@query("edges_in", "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3) OR l_partkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3)")
+def edges_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = I.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    return A.edges_in(edges, I.table(spark, sf_dir, "supplier").where("s_nationkey = 3").select(F.col("s_suppkey").alias("concept_id")))
+
+
+@query("edge_names", "SELECT s_suppkey + 100 AS src, s_nationkey AS dst, 200 AS type, s_name AS src_name, n_name AS dst_name, 'is in' AS type_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def edge_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, n = I.table(spark, sf_dir, "supplier"), I.table(spark, sf_dir, "nation")
+    named = n.select(F.col("n_nationkey").cast("bigint").alias("concept_id"), F.col("n_name").alias("name"))
+    named = named.unionByName(s.select((F.col("s_suppkey") + 100_000).cast("bigint").alias("concept_id"), F.col("s_name").alias("name")))
+    named = named.unionByName(spark.range(1).select(F.lit(-200).cast("bigint").alias("concept_id"), F.lit("is in").alias("name")))
+    edges = s.select((F.col("s_suppkey") + 100_000).cast("bigint").alias("src"), F.col("s_nationkey").cast("bigint").alias("dst"), F.lit(-200).cast("bigint").alias("type"))
+    out = A.edge_names(edges, named)
+    return out.select((F.col("src") - 99_900).alias("src"), "dst", (-F.col("type")).cast("int").alias("type"), "src_name", "dst_name", "type_name")
+
+
+@query("clean_annotations", I.sql("named", "SELECT note_id, ord, trim(regexp_replace(substring(text, s + 1, e - s), '\\s+', ' ', 'g')) AS source, concept_text FROM named JOIN notes USING (note_id) LEFT JOIN (SELECT n_nationkey * 10 AS c, n_name AS concept_text FROM nation) USING (c)"))
+def clean_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = I.table(spark, sf_dir, "nation").select((F.col("n_nationkey") * 10).cast("bigint").alias("concept_id"), F.col("n_name").alias("concept_name"))
+    return A.clean_annotations(I.gold(spark, sf_dir), I.notes(spark, sf_dir), terms).select("note_id", "ord", "source", "concept_text")
+
+
+@query("concept_class", I.sql("gold", "SELECT note_id, ord, CASE WHEN c % 3 = 0 THEN 'proc' WHEN c % 3 = 1 THEN 'body' ELSE 'find' END AS cls FROM gold WHERE c % 5 <> 4 OR c % 3 <> 2"))
+def concept_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold = I.gold(spark, sf_dir)
+    ids = lambda test: gold.where(test).select("concept_id")
+    found = A.concept_class(gold, ids("concept_id % 3 = 0"), ids("concept_id % 3 <= 1"), ids("concept_id % 5 <> 4"))
+    return found.select("note_id", "ord", "cls")

@@ -91,7 +91,8 @@ def test_nearest_blocks_agree_with_broadcast(spark, monkeypatch):
     monkeypatch.setattr(V, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(V, "BLOCK", 7)
     assert rows(V.nearest(q, c, 3), "query_id", "label", "rank") == a
-    assert V.mixup_factor(0.7, 1.0, V.c_factor(2.0, 0.5, 4)) == pytest.approx(math.sqrt((0.49 / 0.09 - 1) / 2))
+    radius = V.mixup_radius(spark.createDataFrame([(2.0, 0.5, 4)], "r double, v double, d int"), 0.7, 1.0).first().radius
+    assert radius == pytest.approx(2.0 * math.sqrt((0.49 / 0.09 - 1) / 2))
 
 
 def test_invalid_vectors_go(spark):
@@ -115,6 +116,26 @@ def test_pruning(spark):
     assert rows(greedy, "dict_entry", "bad") == [("bad", True), ("good", False)]
 
 
+def test_greedy_keys_in_order(spark):
+    """By falling ratio: 8/0.01, 3/2.01, 2/4.01, 1/4.01, 1/20.01; the running score falls with each key that is kept."""
+    keys = [(1, "any", "a", 8, 0), (1, "any", "b", 3, 2), (1, "x", "c", 2, 4), (1, "any", "d", 1, 4), (1, "any", "e", 1, 20), (2, "any", "f", 0, 5)]
+    scores = spark.createDataFrame(keys, "concept_id long, section string, dict_entry string, n_correct long, n_incorrect long")
+    counts = spark.createDataFrame([(1, 10), (2, 3)], "concept_id long, n long")
+    correct = incorrect = 0
+    want = []
+    for at, (c, section, entry, good, bad) in enumerate(keys[:5]):
+        share = (0.3 if section == "any" else 0.2) * (2 if at > 2 else 1)
+        keep = correct / (incorrect + 10) < good / (bad + 0.01) or good >= (1 if good == 1 else share) * bad
+        correct, incorrect = correct + good * keep, incorrect + bad * keep
+        want.append((entry, not keep))
+    assert rows(D.greedy_keys(scores, counts), "dict_entry", "bad") == sorted([*want, ("f", True)])
+
+
+def test_abbreviation_takes_its_first_row(spark):
+    abbr = spark.createDataFrame([("copd", 9, 0), ("copd", 3, 1), ("mi", 1, 2)], "abbreviation string, concept_id long, ord long")
+    assert rows(A.abbreviation_dictionary(abbr), "section", "mention", "concept_id") == [("any", "copd", 9)]
+
+
 def test_growing(spark):
     k = spark.createDataFrame([("any", "pain of chest", 1, 0), ("any", "a and b", 2, 1)], "section string, mention string, concept_id long, ord long")
     black = spark.createDataFrame([("zz",)], "word string")
