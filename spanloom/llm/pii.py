@@ -52,6 +52,8 @@ _NAME[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-
 SAMPLE_ROWS = 3000
 SAMPLE_CHARS = 4_000
 SURE = 0.9
+#: Added to the score of a token's base label and taken from all its scores.
+CERTAIN = 30.0
 ROUNDS, DAMP, SETTLED = 30, 0.3, 1e-4
 #: Digits at the end that tell a number from others.
 LAST_DIGITS = 7
@@ -257,12 +259,16 @@ class SkipChainCrf:
         alone = np.append(hidden & positive, np.zeros(len(hits), bool)) & (left.sum(1) + right.sum(1) + far.sum(1) == 0)
         target[alone] = y[0] * 0
         target[alone, 0] = 1
+        # a token without a base span that is similar to a hit may be a mention that the patterns miss: it is no example of none
+        told = np.ones((len(x), 1))
+        for a, b in ((0, 1), (1, 0)):
+            told[graph.skip[:, a][positive[graph.skip[:, b]] & ~positive[graph.skip[:, a]]]] = 0
         velocity = [np.zeros_like(p) for p in (self.w, self.chain, self.skip)]
         for step in range(steps):
             scores = x @ self.w + left @ self.chain + right @ self.chain.T + far @ self.skip
             scores = np.exp(scores - scores.max(axis=1, keepdims=True))
             scores /= scores.sum(axis=1, keepdims=True)
-            error = (target - scores) / len(x)
+            error = told * (target - scores) / len(x)
             skip = far.T @ error
             grads = (x.T @ error - 1e-5 * self.w, left.T @ error + (right.T @ error).T - 1e-5 * self.chain, (skip + skip.T) / 2 - 1e-5 * self.skip)
             for p, v, g in zip((self.w, self.chain, self.skip), velocity, grads, strict=True):
@@ -272,9 +278,12 @@ class SkipChainCrf:
         return self
 
     def marginals(self, graph: Graph) -> np.ndarray:
-        """Label probabilities of the candidates by loopy sum-product messages."""
+        """Label probabilities of the candidates by loopy sum-product messages. Base spans are given, so their tokens are
+        clamped to their label, as neighbours were in training."""
         k = len(LABELS)
         own = self.inputs(graph) @ self.w
+        own[graph.base > 0] -= CERTAIN
+        own[np.flatnonzero(graph.base), graph.base[graph.base > 0]] += CERTAIN
         edges = np.concatenate([graph.chain, graph.skip])
         if not len(edges):
             p = np.exp(own - own.max(axis=1, keepdims=True))

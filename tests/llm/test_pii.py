@@ -113,3 +113,51 @@ def test_marginals_do_not_depend_on_the_batch():
     p, doc = model.marginals(whole), np.array(whole.doc)
     for i, t in enumerate(texts):
         assert np.allclose(p[doc == i], model.marginals(P.Graph([t], [spans[i]])), atol=1e-12)
+
+
+def luhn_card(rng):
+    d = [rng.randrange(10) for _ in range(15)]
+    return next("".join(map(str, [*d, c])) for c in range(10) if P.luhn(bytes(48 + x for x in [*d, c])))
+
+
+def labelled_documents(seed, n=300):
+    """Prose with numbers, a mention that a pattern may find, and the same one altered later: text, kind, start and end of the
+    latter."""
+    rng, out = random.Random(seed), []
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(2, 9)))
+    prose = lambda k: " ".join(word() if rng.random() > 0.04 else str(rng.randrange(10 ** rng.randint(1, 7))) for _ in range(k))
+    for _ in range(n):
+        kind = rng.choice(P.KINDS)
+        if kind == "email":
+            name = word() + rng.choice("._") + word() + str(rng.randrange(99))
+            first, again = f"{name}@{word()}.{word()[:3]}x", rng.choice((name, name.upper()))
+        elif kind == "card":
+            c = luhn_card(rng)
+            groups = [c[i : i + 4] for i in range(0, 16, 4)]
+            first, again = rng.choice((c, " ".join(groups))), rng.choice((".".join(groups), c[-8:]))
+        elif kind == "phone":
+            c = "".join(rng.choice("123456789") for _ in range(11))
+            first, again = f"+{c[:2]} {c[2:5]} {c[5:]}", rng.choice(("0" + c[2:], c[2:], f"{c[2:5]}-{c[5:]}"))
+        else:
+            first = ".".join(str(rng.randrange(1, 256)) for _ in range(4))
+            again = first.replace(".", "-")
+        text = f"{prose(40)} {first} {prose(60)} "
+        out.append((f"{text}{again} {prose(40)}", kind, len(text), len(text) + len(again)))
+    return out
+
+
+def test_added_spans_of_altered_mentions():
+    """Precision and recall beyond the base spans, on other documents than those learned from."""
+    train = [t.encode() for t, *_ in labelled_documents(1)]
+    model = P.SkipChainCrf().fit(P.Graph(train, [P.base_spans(t) for t in train], variants=True))
+    test = labelled_documents(2)
+    texts = [t.encode() for t, *_ in test]
+    base = [P.base_spans(t) for t in texts]
+    right = wrong = found = hidden = 0
+    for (_, kind, s, e), known, added in zip(test, base, P.added_spans(texts, base, model), strict=True):
+        good = [x for x in added if x[0] == f"x_{kind}" and x[1] < e and s < x[2]]
+        right, wrong = right + len(good), wrong + len(added) - len(good)
+        if not any(x < e and s < y for _, x, y in known):
+            hidden, found = hidden + 1, found + bool(good)
+    print(f"precision {right / (right + wrong):.3f}, recall {found / hidden:.3f} of {hidden}")
+    assert right / (right + wrong) >= 0.9 and found / hidden >= 0.5
