@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from ..functions import text as T
 from . import spans as S
 from . import tokens
+from .sections import CLINICAL_HEADERS
 from .tokens import ngram_table
 
 # Mentions that are never learned, the any-section key, thresholds, case-sensitive entries.
@@ -19,7 +20,15 @@ BLACKLIST = ("other", "negative", "follow up", "mild", "normal", "inr", "changes
 ANY = "any"
 SECTION_FRACTION, ANY_FRACTION = 0.2, 0.3
 COMMON_WORD_COUNT = 2000
-CASE_SENSITIVE = ("K", "T", "Mg", "RA", "Plt", "MR")
+# mentions that count in this spelling only, their sections (none: any) and concepts
+CASE_SENSITIVE = (
+    (("other", "Pertinent Results:"), "K", 312468003),
+    (None, "T", 105723007),
+    (("other", "Pertinent Results:"), "Mg", 271285000),
+    (("Physical Exam:",), "RA", 722742002),
+    (("other", "Pertinent Results:"), "Plt", 61928009),
+    (("other", "Pertinent Results:"), "MR", 48724000),
+)
 
 
 def token_table(notes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -106,9 +115,9 @@ def section_counts(annotations: DataFrame, notes: DataFrame, blacklist: DataFram
     return named.select("mention", "concept_id", "seen", F.explode(sections).alias("section")).groupBy("section", "mention", "concept_id").agg(F.count("*").alias("n"), F.min("seen").alias("first_seen"))
 
 
-def section_dictionary(annotations: DataFrame, notes: DataFrame, min_count: int = 1) -> DataFrame:
+def section_dictionary(annotations: DataFrame, notes: DataFrame, min_count: int = 1, blacklist: DataFrame | None = None) -> DataFrame:
     """section, mention, concept_id by majority; rare keys go, and any-section keys whose majority holds less than half."""
-    top = majority(section_counts(annotations, notes), ["section", "mention"])
+    top = majority(section_counts(annotations, notes, blacklist), ["section", "mention"])
     return top.where((F.col("total") >= min_count) & ((F.col("section") != ANY) | (F.col("n") / F.col("total") >= 0.5))).select("section", "mention", "concept_id")
 
 
@@ -142,8 +151,9 @@ def join_predictions(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def case_sensitive_entries(spark) -> DataFrame:
-    """The fixed entries that count in this spelling only."""
-    return spark.createDataFrame([(x,) for x in CASE_SENSITIVE], "mention string")
+    """The fixed entries that count in this spelling only: section, mention, concept_id, sections."""
+    rows = [(sections[0] if sections else ANY, mention, concept, list(sections) if sections else None) for sections, mention, concept in CASE_SENSITIVE]
+    return spark.createDataFrame(rows, "section string, mention string, concept_id long, sections array<string>")
 
 
 # --- pruning by training notes ---------------------------------------------------------------------------------------
@@ -262,11 +272,17 @@ def word_permutations(dictionary: DataFrame, blacklist: DataFrame) -> DataFrame:
     return found.groupBy("section", "mention").agg(F.max_by("concept_id", "ord").alias("concept_id")).join(dictionary.select("section", "mention"), ["section", "mention"], "left_anti")
 
 
-def uppercase_mentions(annotations: DataFrame, dictionary: DataFrame, share: float = 0.99) -> DataFrame:
+def cased_section(section: Column, headers: tuple[str, ...]) -> Column:
+    """The spelling that a lower-case section has in raw text: its header's; other and any stay, unknown ones become any."""
+    known = F.create_map(*(F.lit(x) for h in headers for x in (h.lower() + ":", h + ":")))
+    return F.when(section.isin("other", ANY), section).otherwise(F.coalesce(F.try_element_at(known, section), F.lit(ANY)))
+
+
+def uppercase_mentions(annotations: DataFrame, dictionary: DataFrame, share: float = 0.99, headers: tuple[str, ...] = CLINICAL_HEADERS) -> DataFrame:
     """Keys whose training surfaces (source_orig, by mention) are upper case in more than `share`; unseen ones don't move."""
     upper = annotations.groupBy(T.mention_key("source_orig").alias("mention")).agg(F.avg((F.col("source_orig") == F.upper("source_orig")).cast("int")).alias("u")).where(F.col("u") > share)
     moved = dictionary.join(upper.select("mention"), "mention", "left_semi")
-    return moved.select(F.initcap("section").alias("section"), F.upper("mention").alias("mention"), "concept_id")
+    return moved.select(cased_section(F.col("section"), headers).alias("section"), F.upper("mention").alias("mention"), "concept_id")
 
 
 def blocked_mentions(test: DataFrame, train: DataFrame) -> DataFrame:
@@ -293,11 +309,22 @@ def confidence(hits: DataFrame, scored: DataFrame, tau: float = 0.3) -> DataFram
     return hits.join(key_scores(scored, by_note=False), ["section", "dict_entry"], "left").withColumn("confidence", value).drop("n_correct", "n_incorrect")
 
 
+def precision_view(hits: DataFrame, scored: DataFrame, digits: int = 2) -> DataFrame:
+    """Add score, the share of correct ones among a key's training scores (1 for a key without any), rounded, and
+    seen_in_train. Keys are looked up in lower case and trimmed, then as they are."""
+    history = key_scores(scored, by_note=False).select("section", "dict_entry", F.bround(F.col("n_correct") / (F.col("n_correct") + F.col("n_incorrect")), digits).alias("p"))
+    clean = lambda c: F.trim(F.lower(c))
+    near = history.select(F.col("section").alias("__s"), F.col("dict_entry").alias("__e"), F.col("p").alias("__near"))
+    own = hits.withColumns({"__s": clean("section"), "__e": clean("dict_entry")}).join(near, ["__s", "__e"], "left").drop("__s", "__e")
+    found = own.join(history, ["section", "dict_entry"], "left").withColumn("__p", F.coalesce("__near", "p"))
+    return found.withColumns({"score": F.coalesce("__p", F.lit(1.0)), "seen_in_train": F.col("__p").isNotNull()}).drop("__p", "__near", "p")
+
+
 class DictionaryModel:
     """fit() learns a section dictionary and prunes it on its own notes; transform() predicts spans of other notes."""
 
-    def __init__(self, max_n: int = 5, min_count: int = 1, prune: bool = True):
-        self.max_n, self.min_count, self.prune = max_n, min_count, prune
+    def __init__(self, max_n: int = 5, min_count: int = 1, prune: bool = True, blacklist: DataFrame | None = None):
+        self.max_n, self.min_count, self.prune, self.blacklist = max_n, min_count, prune, blacklist
         self.entries: DataFrame | None = None
 
     def fit(self, notes: DataFrame, annotations: DataFrame, headers: DataFrame) -> DictionaryModel:
@@ -305,7 +332,7 @@ class DictionaryModel:
         from .sections import at_section
 
         placed = at_section(annotations, headers).withColumnRenamed("header", "section")
-        self.entries = section_dictionary(placed, notes, self.min_count)
+        self.entries = section_dictionary(placed, notes, self.min_count, self.blacklist)
         if self.prune:
             hits = match_sections(notes, headers, self.entries, self.max_n)
             self.entries = remove_bad_keys(self.entries, key_scores(score_hits(hits, annotations)))
@@ -331,9 +358,9 @@ def _fold(gram: Column) -> Column:
 def _pattern(mention: Column) -> Column:
     """An anchored expression: special characters escaped; spaces any white space; hyphens and slashes also as spaces; s*."""
     escaped = F.regexp_replace(F.regexp_replace(mention, r"([.^$|?*+(){}\[\]\\])", r"\\$1"), r"\s+", " ")
-    for a, b in ((" ", r"\s+"), ("-", "[- ]"), ("/", "[/ ]")):
-        escaped = F.replace(escaped, F.lit(a), F.lit(b)) if a != "-" else F.regexp_replace(escaped, "-", "[- ]")
-    return F.concat(F.lit("^"), escaped, F.lit("s*$"))
+    spaced = F.replace(escaped, F.lit(" "), F.lit(r"\s+"))
+    hyphens = F.replace(spaced, F.lit("-"), F.lit("[- ]"))
+    return F.concat(F.lit("^"), F.replace(hyphens, F.lit("/"), F.lit("[/ ]")), F.lit("s*$"))
 
 
 def annotate(notes: DataFrame, headers: DataFrame, dictionary: DataFrame, max_n: int, keep_overlaps: bool = False, skip_prefix: int = 100, case_sensitive: bool = False) -> DataFrame:

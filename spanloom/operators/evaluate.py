@@ -229,6 +229,26 @@ def pair_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     return u.select(F.when(F.col("p") * F.col("n") > 0, F.col("u") / (F.col("p") * F.col("n"))).alias("auc"))
 
 
+def one_vs_one_auc(df: DataFrame, label: str, scores: str, classes: int) -> DataFrame:
+    """auc: the mean over ordered pairs (a, b) of classes of the AUC of a's score among rows of a and b. label: 0 to classes - 1;
+    scores: an array with one number a class. Null where a pair has no rows of either class.
+
+    A row counts in 2 (classes - 1) pairs; equal scores are counted first, and sums run over all pairs in one order, so that
+    no pair is a task of its own.
+    """
+    k = F.col(label)
+    other = F.filter(F.sequence(F.lit(0), F.lit(classes - 1)), lambda c: c != k)
+    own = F.transform(other, lambda c: F.struct(k.cast("int").alias("a"), c.alias("b"), F.get(scores, k.cast("int")).alias("s"), F.lit(1).alias("y")))
+    far = F.transform(other, lambda c: F.struct(c.alias("a"), k.cast("int").alias("b"), F.get(scores, c).alias("s"), F.lit(0).alias("y")))
+    rows = df.where(k.isNotNull() & F.col(scores).isNotNull()).select(F.explode(F.concat(own, far)).alias("x")).select("x.*")
+    by = rows.groupBy("a", "b", "s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    summed = running_sum(by, ["a", "b", "s"], F.col("neg"), "upto")
+    first = summed.groupBy("a", "b").agg(F.min(F.col("upto") - F.col("neg")).alias("before"), F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum(F.col("pos") * (F.col("upto") - F.col("neg") / 2)).alias("u"))
+    pairs = classes * (classes - 1)
+    each = first.select(((F.col("u") - F.col("p") * F.col("before")) / (F.col("p") * F.col("n"))).alias("auc")).where(F.col("auc").isNotNull())
+    return each.agg(F.when(F.count("*") == pairs, F.avg("auc")).alias("auc"))
+
+
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)
 

@@ -161,25 +161,38 @@ def concept_class(spans: DataFrame, procedures: DataFrame, bodies: DataFrame, fi
     return out.withColumn("cls", F.coalesce("__proc", "__body", "__find")).drop("__proc", "__body", "__find").where("cls is not null")
 
 
-def specialise(spans: DataFrame, notes: DataFrame, extensions: DataFrame, max_words: int = 2, max_chars: int = 20) -> DataFrame:
-    """Spans whose concept has an extension with its word before them take the specific concept.
+def specialise(spans: DataFrame, notes: DataFrame, extensions: DataFrame, max_words: int = 2, max_chars: int = 20, before: bool = True, after: bool = False) -> DataFrame:
+    """Spans whose concept has an extension with its word before them (or behind them) take the specific concept.
 
-    Up to max_words words within max_chars characters, not reaching into the span before, are looked at; the first
-    extension (`ord`) with a word among them wins; a word also counts capitalised or in capitals, left and right also as L,
-    R, left-sided and right-sided. The span's start moves only over the word directly before it. Other columns stay.
+    Up to max_words words within max_chars characters on a side, not reaching into the neighbouring span, are looked at; the
+    first extension (`ord`) with a word among them wins, words before a span first; a word also counts capitalised or in
+    capitals, left and right also as L, R, left-sided and right-sided. The span grows only over a word directly beside it.
+    Other columns stay.
     """
     w = W.partitionBy("note_id").orderBy("start", "end", "ord")
-    s = spans.withColumn("__left", F.greatest(F.coalesce(F.lag("end").over(w) + 1, F.lit(0)), F.col("start") - max_chars)).join(notes.select("note_id", "text"), "note_id")
-    before = F.when(F.col("start") > F.col("__left"), T.slice_text("text", F.col("__left"), F.col("start"))).otherwise("")
-    s = s.withColumn("__before", before).withColumn("__words", F.filter(F.split("__before", r"\s+"), lambda x: x != "")).withColumn("__words", F.slice("__words", F.greatest(F.size("__words") - max_words + 1, F.lit(1)), F.lit(max_words))).drop("text")
+    start, end, size = F.col("start"), F.col("end"), F.length("text")
+    left = F.greatest(F.coalesce(F.lag("end").over(w) + 1, F.lit(0)), start - max_chars)
+    s = spans.withColumns({"__left": left, "__next": F.lead("start").over(w)}).join(notes.select("note_id", "text"), "note_id")
+    right = F.least(F.coalesce(F.col("__next") - 1, size - 1), end + max_chars)
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda x: x != "")
+    s = s.withColumns({"__before": F.when(start > F.col("__left"), T.slice_text("text", F.col("__left"), start)).otherwise(""), "__after": F.when(right > end, T.slice_text("text", end, right)).otherwise("")}).drop("text")
+    s = s.withColumns({"__b": F.reverse(F.slice(F.reverse(words("__before")), 1, max_words)) if before else F.array().cast("array<string>"), "__a": F.slice(words("__after"), 1, max_words) if after else F.array().cast("array<string>")})
     a = F.col("additional_word")
     sides = F.when(a.isin("left", "right"), F.array(F.upper(F.substring(a, 1, 1)), F.concat(a, F.lit("-sided")))).otherwise(F.array().cast("array<string>"))
     e = extensions.select(F.col("general_id").alias("concept_id"), F.col("specific_id"), F.concat(F.array(a, F.initcap(a), F.upper(a)), sides).alias("forms"), F.col("ord").alias("e_ord"))
-    hit = s.join(e, "concept_id").where(F.arrays_overlap("__words", "forms"))
-    best = hit.groupBy("note_id", "ord").agg(F.min_by(F.struct("specific_id", "forms"), F.struct("e_ord", "specific_id")).alias("b"))
+    hit = s.join(e, "concept_id").where(F.arrays_overlap("__b", "forms") | F.arrays_overlap("__a", "forms"))
+    best = hit.groupBy("note_id", "ord").agg(F.min_by(F.struct("specific_id", "forms"), F.struct("e_ord", "specific_id")).alias("__hit"))
     found = s.join(best, ["note_id", "ord"], "left")
-    last = F.element_at("__words", -1)
-    first_at = F.array_min(F.transform(F.filter(F.sequence(F.lit(0), F.size("__words") - 1), lambda i: F.array_contains(F.col("b.forms"), F.get("__words", i))), lambda i: i))
-    adjacent = F.col("b").isNotNull() & (first_at == F.size("__words") - 1)
-    gap = F.length("__before") - F.length(F.rtrim("__before"))
-    return found.withColumns({"start": F.when(adjacent, F.col("start") - F.length(last) - gap).otherwise(F.col("start")).cast("int"), "concept_id": F.coalesce("b.specific_id", "concept_id")}).drop("__left", "__before", "__words", "b")
+    is_form = lambda x: F.array_contains(F.col("__hit.forms"), x)
+    # the first hit is the word directly before the span only if no earlier one is a hit
+    ahead, behind = F.exists("__b", is_form), F.size("__b") - F.size(F.filter("__b", is_form))
+    beside = ahead & is_form(F.element_at("__b", -1)) & (behind == F.size("__b") - 1)
+    grown = ~ahead & is_form(F.get("__a", F.lit(0)))
+    left_gap = F.length("__before") - F.length(F.regexp_replace("__before", r"\s+$", ""))
+    right_gap = F.length("__after") - F.length(F.regexp_replace("__after", r"^\s+", ""))
+    moved = {
+        "start": F.when(beside, start - F.length(F.element_at("__b", -1)) - left_gap).otherwise(start).cast("int"),
+        "end": F.when(grown, end + F.length(F.get("__a", F.lit(0))) + right_gap).otherwise(end).cast("int"),
+        "concept_id": F.coalesce("__hit.specific_id", "concept_id"),
+    }
+    return found.withColumns(moved).drop("__left", "__next", "__before", "__after", "__b", "__a", "__hit")

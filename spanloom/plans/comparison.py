@@ -169,3 +169,11 @@ def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scores_where_predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = E.scores_where_predicted(_gold(spark, sf_dir), _system_d(spark, sf_dir))
     return found.select(F.round("mean_iou", 6).alias("mean_iou"), F.round("mean_jaccard", 6).alias("mean_jaccard"))
+
+
+@query("ovo_auc", """WITH x AS (SELECT vec_id, label % 4 AS y, list_transform(embedding[1:4], lambda v: round(v::DOUBLE, 2)) AS p FROM embeddings),
+pairs AS (SELECT a.y AS a, b.y AS b, avg(CASE WHEN a.p[a.y + 1] > b.p[a.y + 1] THEN 1.0 WHEN a.p[a.y + 1] = b.p[a.y + 1] THEN 0.5 ELSE 0 END) AS auc FROM x a JOIN x b ON a.y <> b.y GROUP BY a.y, b.y)
+SELECT round(avg(auc), 6) AS auc FROM pairs""")
+def ovo_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = I.table(spark, sf_dir, "embeddings").select((F.col("label") % 4).alias("y"), F.transform(F.slice("embedding", 1, 4), lambda x: F.round(x.cast("double"), 2)).alias("p"))
+    return E.one_vs_one_auc(v, "y", "p", 4).select(F.round("auc", 6).alias("auc"))

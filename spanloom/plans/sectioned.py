@@ -89,7 +89,15 @@ def section_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.predict_sections(n, _headers(spark, sf_dir), section_dictionary(spark, sf_dir), 1).select("note_id", "start", "end", "concept_id", "section")
 
 
-@query("dictionary_pruned")
+_SCORED = _CORE + """, hits AS (SELECT t.note_id, t.s, t.e, coalesce(a.c, b.c) AS c, CASE WHEN a.c IS NOT NULL THEN header ELSE 'any' END AS section, tok AS entry
+FROM (SELECT * FROM (SELECT t.*, h.header, row_number() OVER (PARTITION BY t.note_id, t.o ORDER BY h.s DESC) AS r FROM toks t JOIN headers h ON h.note_id = t.note_id AND h.s <= t.s WHERE t.s >= 100) WHERE r = 1) t
+LEFT JOIN core a ON a.section = t.header AND a.mention = t.tok LEFT JOIN core b ON b.section = 'any' AND b.mention = t.tok WHERE a.c IS NOT NULL OR b.c IS NOT NULL),
+scored AS (SELECT h.*, CASE WHEN EXISTS (SELECT 1 FROM sgold g WHERE g.note_id = h.note_id AND g.s = h.s AND g.e = h.e AND g.c = h.c) THEN 1 ELSE -1 END AS score FROM hits h)
+"""
+
+
+@query("dictionary_pruned", _SCORED + """, keys AS (SELECT section, entry, count(DISTINCT CASE WHEN score = 1 THEN note_id END) AS p, count(DISTINCT CASE WHEN score = -1 THEN note_id END) AS m FROM scored GROUP BY section, entry)
+SELECT section, mention, c AS concept_id FROM core WHERE (section, mention) NOT IN (SELECT (section, entry) FROM keys WHERE p < CASE WHEN p = 1 THEN 1.0 WHEN section = 'any' THEN 0.3 ELSE 0.2 END * m)""")
 def dictionary_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full learner: majority keys pruned by how often they err on their own notes."""
     n = _notes(spark, sf_dir).select("note_id", "text")
@@ -131,3 +139,13 @@ def cut_section_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = b.select("note_id", F.concat(F.lit("intro: "), "t", F.lit(" alpha: "), "t", F.lit(" omega: "), "t").alias("text"))
     s = n.where(F.length("text") > 9).select("note_id", F.explode(F.sequence(F.lit(0), F.length("text") - 10, F.lit(10))).alias("start")).withColumn("end", F.col("start") + 5)
     return H.cut_sections(n, s, ("intro:", "alpha:", "omega:"), ("alpha:",))[1]
+
+
+@query("precision_view", _SCORED + """, keys AS (SELECT section, entry, count(*) FILTER (score = 1) AS p, count(*) AS n FROM scored WHERE note_id::BIGINT % 2 = 0 GROUP BY section, entry)
+SELECT note_id, s AS start, e AS "end", section, entry AS dict_entry, coalesce(p / n, 1.0) AS score, n IS NOT NULL AS seen_in_train FROM hits LEFT JOIN keys USING (section, entry)""")
+def precision_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores to 12 digits, since SQL and Spark round halves differently."""
+    n = _notes(spark, sf_dir).select("note_id", "text")
+    hits = D.match_sections(n, _headers(spark, sf_dir), section_dictionary(spark, sf_dir), 1)
+    scored = D.score_hits(hits, _gold(spark, sf_dir)).where(F.col("note_id").cast("bigint") % 2 == 0)
+    return D.precision_view(hits.select("note_id", "start", "end", "section", "dict_entry"), scored, 12)

@@ -105,11 +105,31 @@ def process_term(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.table(spark, sf_dir, "part").select("p_partkey", T.process_term(F.concat("p_name", F.lit(" ("), "p_type", F.lit(")"))).alias("term"))
 
 
-@query("specialise")
+_SIDES = """, sided AS (SELECT note_id, ord, s, e, c, greatest(coalesce(lag(e) OVER w + 1, 0), s - 20) AS l, lead(s) OVER w AS nx FROM system_d WINDOW w AS (PARTITION BY note_id ORDER BY s, e, ord)),
+cut AS (SELECT x.*, CASE WHEN s > l THEN substring(text, l + 1, s - l) ELSE '' END AS bef, CASE WHEN least(coalesce(nx - 1, length(text) - 1), e + 20) > e THEN substring(text, e + 1, least(coalesce(nx - 1, length(text) - 1), e + 20) - e) ELSE '' END AS aft FROM sided x JOIN notes USING (note_id)),
+split AS (SELECT *, list_filter(regexp_split_to_array(bef, '[ \\t\\n\\r\\f\\x0B]+'), lambda x: x <> '')[-2:] AS b, list_filter(regexp_split_to_array(aft, '[ \\t\\n\\r\\f\\x0B]+'), lambda x: x <> '')[1:2] AS a FROM cut),
+tried AS (SELECT *, [len(list_filter(b, lambda x: x IN ('de', 'De', 'DE'))), len(list_filter(b, lambda x: x IN ('the', 'The', 'THE')))] AS nb, [len(list_filter(a, lambda x: x IN ('de', 'De', 'DE'))), len(list_filter(a, lambda x: x IN ('the', 'The', 'THE')))] AS na FROM split)
+"""
+
+
+@query("specialise", I.sql("system_d", _SIDES + """, won AS (SELECT *, CASE WHEN nb[1] > 0 THEN 1 WHEN nb[2] > 0 THEN 2 ELSE 0 END AS k FROM tried),
+seen AS (SELECT *, k > 0 AND nb[k] = 1 AND CASE k WHEN 1 THEN b[-1] IN ('de', 'De', 'DE') ELSE b[-1] IN ('the', 'The', 'THE') END AS beside FROM won)
+SELECT note_id, ord, (CASE WHEN beside THEN s - length(b[-1]) - (length(bef) - length(regexp_replace(bef, '[ \\t\\n\\r\\f\\x0B]+$', ''))) ELSE s END)::INT AS start, e AS "end", CASE WHEN k > 0 THEN c + 90000 ELSE c END AS concept_id FROM seen"""))
 def specialise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _specialised(spark, sf_dir, False)
+
+
+@query("specialise_after", I.sql("system_d", _SIDES + """, won AS (SELECT *, CASE WHEN nb[1] + na[1] > 0 THEN 1 WHEN nb[2] + na[2] > 0 THEN 2 ELSE 0 END AS k FROM tried),
+seen AS (SELECT *, k > 0 AND nb[k] = 1 AND CASE k WHEN 1 THEN b[-1] IN ('de', 'De', 'DE') ELSE b[-1] IN ('the', 'The', 'THE') END AS beside, k > 0 AND nb[k] = 0 AND CASE k WHEN 1 THEN a[1] IN ('de', 'De', 'DE') ELSE a[1] IN ('the', 'The', 'THE') END AS behind FROM won)
+SELECT note_id, ord, (CASE WHEN beside THEN s - length(b[-1]) - (length(bef) - length(regexp_replace(bef, '[ \\t\\n\\r\\f\\x0B]+$', ''))) ELSE s END)::INT AS start, (CASE WHEN behind THEN e + length(a[1]) + (length(aft) - length(regexp_replace(aft, '^[ \\t\\n\\r\\f\\x0B]+', ''))) ELSE e END)::INT AS "end", CASE WHEN k > 0 THEN c + 90000 ELSE c END AS concept_id FROM seen"""))
+def specialise_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _specialised(spark, sf_dir, True)
+
+
+def _specialised(spark, sf_dir, after):
     spans = I.system_d(spark, sf_dir)
     ext = spans.select(F.col("concept_id").alias("general_id")).distinct().select("general_id", (F.col("general_id") + 90000).alias("specific_id"), F.explode(F.array(F.lit("the"), F.lit("de"))).alias("additional_word")).withColumn("ord", F.length("additional_word"))
-    return A.specialise(spans, I.test_notes(spark, sf_dir).select("note_id", "text"), ext)
+    return A.specialise(spans, I.test_notes(spark, sf_dir).select("note_id", "text"), ext, after=after).select("note_id", "ord", "start", "end", "concept_id")
 
 
 # --- the terminology chain: parts are concepts, their names descriptions, suppliers a second vocabulary -----------------

@@ -1,11 +1,13 @@
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import pytest
 from spanloom.functions import text as T
 from spanloom.operators import corpus as C
 from spanloom.operators import dictionary as D
+from spanloom.operators import evaluate as E
 from spanloom.operators import graph as G
 from spanloom.operators import sections as H
 from spanloom.operators import tags as N
@@ -143,7 +145,9 @@ def test_growing(spark):
     assert made["chest pain"] == 1 and made["b a and"] == 2
     assert ("a with b", 2) in rows(D.word_replacements(k), "mention", "concept_id")
     upper = D.uppercase_mentions(spark.createDataFrame([("COPD",), ("COPD",), ("Pain",)], "source_orig string"), spark.createDataFrame([("any", "copd", 1), ("any", "pain", 2)], "section string, mention string, concept_id long"))
-    assert rows(upper, "mention") == [("COPD",)]
+    assert rows(upper, "section", "mention") == [("any", "COPD")]
+    sections = spark.createDataFrame([("history of present illness:",), ("other",), ("nonsense:",)], "section string")
+    assert rows(sections.select("section", D.cased_section(F.col("section"), H.CLINICAL_HEADERS).alias("cased")), "section", "cased") == [("history of present illness:", "History of Present Illness:"), ("nonsense:", "any"), ("other", "other")]
     assert rows(D.merge_external(k.select("section", "mention", "concept_id"), spark.createDataFrame([("any", "new", 5), ("any", "held", 6)], "section string, mention string, concept_id long"), spark.createDataFrame([("held",)], "mention string")), "mention") == [("a and b",), ("new",), ("pain of chest",)]
 
 
@@ -242,3 +246,33 @@ def test_windowed_hits(spark, tmp_path):
     q.awaitTermination(60)
     got = spark.sql("SELECT date_format(window.start, 'HH:mm') AS w, concept_id, n FROM hit_windows")
     assert rows(got) == [("00:00", 1, 2), ("00:05", 2, 1)]
+
+
+def test_specialise_behind(spark):
+    text = "knee left, Left\nknee  right knee L"
+    notes = spark.createDataFrame([("n", text)], "note_id string, text string")
+    spans = [("n", 0, 4, 1, 0), ("n", 16, 20, 1, 1), ("n", 28, 32, 1, 2)]
+    s = spark.createDataFrame(spans, "note_id string, start int, end int, concept_id long, ord int")
+    e = spark.createDataFrame([(1, 2, "left", 0), (1, 3, "right", 1)], "general_id long, specific_id long, additional_word string, ord int")
+    assert rows(A.specialise(s, notes, e), "start", "end", "concept_id") == [(0, 4, 1), (11, 20, 2), (22, 32, 3)]
+    # behind the first span "left," is no form and "Left", the second word, is one: the concept changes, the span doesn't grow
+    assert rows(A.specialise(s, notes, e, after=True), "start", "end", "concept_id") == [(0, 4, 2), (11, 20, 2), (22, 32, 3)]
+    one = spark.createDataFrame([("n", 22, 26, 1, 0)], "note_id string, start int, end int, concept_id long, ord int")
+    behind = spark.createDataFrame([("n", "chest and abdomen right side")], "note_id string, text string")
+    at = one.withColumns({"start": F.lit(10), "end": F.lit(17)})
+    assert rows(A.specialise(at, behind, e, before=False, after=True), "start", "end", "concept_id") == [(10, 23, 3)]
+
+
+def test_precision_view(spark):
+    scored = spark.createDataFrame([("plan:", "pain", 1), ("plan:", "pain", -1), ("plan:", "pain", 1)], "section string, dict_entry string, score int").withColumn("note_id", F.lit("n"))
+    hits = spark.createDataFrame([("Plan: ", "PAIN", 0), ("any", "pain", 1)], "section string, dict_entry string, at int")
+    assert rows(D.precision_view(hits, scored), "at", "score", "seen_in_train") == [(0, 0.67, True), (1, 1.0, False)]
+
+
+def test_one_vs_one_auc(spark):
+    random = np.random.default_rng(3)
+    data = [(int(y), [round(float(v), 1) for v in random.random(3)]) for y in random.integers(0, 3, 60)]
+    df = spark.createDataFrame(data, "y int, p array<double>")
+    pairs = [[float((p[a] > q[a]) + (p[a] == q[a]) / 2) for y, p in data if y == a for z, q in data if z == b] for a in range(3) for b in range(3) if a != b]
+    assert E.one_vs_one_auc(df, "y", "p", 3).first().auc == pytest.approx(np.mean([np.mean(x) for x in pairs]))
+    assert E.one_vs_one_auc(df.where("y < 2"), "y", "p", 3).first().auc is None
