@@ -312,7 +312,7 @@ def confidence(hits: DataFrame, scored: DataFrame, tau: float = 0.3) -> DataFram
 def precision_view(hits: DataFrame, scored: DataFrame, digits: int = 2) -> DataFrame:
     """Add score, the share of correct ones among a key's training scores (1 for a key without any), rounded, and
     seen_in_train. Keys are looked up in lower case and trimmed, then as they are."""
-    history = key_scores(scored, by_note=False).select("section", "dict_entry", F.bround(F.col("n_correct") / (F.col("n_correct") + F.col("n_incorrect")), digits).alias("p"))
+    history = key_scores(scored, by_note=False).select("section", "dict_entry", F.bround(F.try_divide(F.col("n_correct"), F.col("n_correct") + F.col("n_incorrect")), digits).alias("p"))
     clean = lambda c: F.trim(F.lower(c))
     near = history.select(F.col("section").alias("__s"), F.col("dict_entry").alias("__e"), F.col("p").alias("__near"))
     own = hits.withColumns({"__s": clean("section"), "__e": clean("dict_entry")}).join(near, ["__s", "__e"], "left").drop("__s", "__e")

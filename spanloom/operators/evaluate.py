@@ -111,8 +111,9 @@ def queue_by_regime(aligned: DataFrame) -> DataFrame:
 
 
 def sample_examples(aligned: DataFrame, per_regime: int = 2, seed: int = 0) -> DataFrame:
-    """A few rows of each regime, the first by a seeded hash; reproducible, without replacement."""
-    by = F.xxhash64("note_id", "ord", F.lit(seed))
+    """A few rows of each regime, the first by md5("note_id|ord|seed"); reproducible, without replacement. Rows are ranked with
+    a limit, so each task sends on no more than that of a regime."""
+    by = F.md5(F.concat_ws("|", "note_id", F.col("ord").cast("string"), F.lit(str(seed))).cast("binary"))
     return aligned.withColumn("__r", F.row_number().over(W.partitionBy("regime").orderBy(by, "note_id", "ord"))).where(F.col("__r") <= per_regime).drop("__r")
 
 
@@ -245,7 +246,7 @@ def one_vs_one_auc(df: DataFrame, label: str, scores: str, classes: int) -> Data
     summed = running_sum(by, ["a", "b", "s"], F.col("neg"), "upto")
     first = summed.groupBy("a", "b").agg(F.min(F.col("upto") - F.col("neg")).alias("before"), F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum(F.col("pos") * (F.col("upto") - F.col("neg") / 2)).alias("u"))
     pairs = classes * (classes - 1)
-    each = first.select(((F.col("u") - F.col("p") * F.col("before")) / (F.col("p") * F.col("n"))).alias("auc")).where(F.col("auc").isNotNull())
+    each = first.select(F.try_divide(F.col("u") - F.col("p") * F.col("before"), F.col("p") * F.col("n")).alias("auc")).where(F.col("auc").isNotNull())
     return each.agg(F.when(F.count("*") == pairs, F.avg("auc")).alias("auc"))
 
 

@@ -58,7 +58,7 @@ def queue_by_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.queue_by_regime(_aligned(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("p_error", "share_of_all_errors")})
 
 
-@query("sample_examples")
+@query("sample_examples", I.sql("regimes", "SELECT regime, note_id, ord, gs AS gold_start, ge AS gold_end, gc AS gold_concept_id FROM (SELECT *, row_number() OVER (PARTITION BY regime ORDER BY md5(note_id || '|' || ord || '|0'), note_id, ord) AS r FROM regimes) WHERE r <= 2"))
 def sample_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.sample_examples(_aligned(spark, sf_dir), 2, 0).select("regime", "note_id", "ord", "gold_start", "gold_end", "gold_concept_id")
 

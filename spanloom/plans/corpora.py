@@ -50,7 +50,7 @@ def one_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.md5(T.one_line("text").cast("binary")).alias("flat"), F.md5(T.restore_lines(T.one_line("text")).cast("binary")).alias("restored"))
 
 
-@query("folds")
+@query("folds", "SELECT doc_id::VARCHAR AS note_id, (('0x' || substring(md5(doc_id::VARCHAR || '|42'), 1, 8))::BIGINT % 4)::INT AS fold FROM documents")
 def folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.folds(I.notes(spark, sf_dir).select("note_id"), "note_id")
 

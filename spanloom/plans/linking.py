@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..operators import spans as S
 from ..operators import tags as N
@@ -113,7 +114,47 @@ def mixup_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("batch", "n", F.round("r", 6).alias("r"), F.round("v", 6).alias("v"), "d", F.round("radius", 6).alias("radius"))
 
 
-@query("mixup")
+_ROLL = """WITH v AS (SELECT vec_id, vec_id // 16 AS batch, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+p AS (SELECT *, coalesce(lag(e) OVER w, last_value(e) OVER a) AS pe, coalesce(lag(label) OVER w, last_value(label) OVER a) AS pl, count(*) OVER (PARTITION BY batch) AS n FROM v WINDOW w AS (PARTITION BY batch ORDER BY vec_id), a AS (PARTITION BY batch ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+"""
+
+
+@query("mixup", _ROLL + "SELECT vec_id, len(e)::INT AS d, 1.0::DOUBLE AS mass, true AS valid, CASE WHEN n = 1 OR label = pl THEN 1 ELSE 2 END AS n_labels, CASE WHEN n = 1 OR label = pl THEN NULL ELSE 0.5::DOUBLE END AS radius, true AS in_range FROM p")
 def mixup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weight is read back from the labels, and the noise from the vectors: its length must be the radius."""
     v = I.table(spark, sf_dir, "embeddings").withColumn("batch", F.floor(F.col("vec_id") / 16))
-    return V.mixup(v, "vec_id", 0.5, 10, "batch").select("vec_id", F.size("embedding").alias("d"), F.round(F.aggregate("targets", F.lit(0.0), lambda s, x: s + x), 6).alias("mass"), "valid")
+    m = V.mixup(v, "vec_id", 0.5, 10, "batch")
+    w, whole = W.partitionBy("batch").orderBy("vec_id"), W.partitionBy("batch").orderBy("vec_id").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    rolled = V.partners(v, "vec_id", "batch").withColumn("other", F.coalesce(F.lag("label").over(w), F.last("label").over(whole)))
+    both = m.select("vec_id", F.col("embedding").alias("mixed"), "targets", "valid").join(rolled, "vec_id")
+    lam = F.when(F.col("label") != F.col("other"), F.get("targets", F.col("label")))
+    noise = F.zip_with(F.zip_with("mixed", "embedding", lambda x, a: (x - F.col("lam") * a.cast("double")) / (1 - F.col("lam"))), "partner", lambda x, p: x - p.cast("double"))
+    found = both.withColumn("lam", lam).withColumn("radius", F.round(V.norm(noise), 6))
+    mass = F.round(F.aggregate("targets", F.lit(0.0), lambda s, x: s + x), 6)
+    return found.select("vec_id", F.size("mixed").alias("d"), mass.alias("mass"), "valid", F.size(F.filter("targets", lambda x: x > 0)).alias("n_labels"), "radius", F.coalesce(F.col("lam").between(0.3, 0.7), F.lit(True)).alias("in_range"))
+
+
+_CLASSED = """, dict AS (SELECT key, c FROM (SELECT key, c, row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, min(seen), c) AS r FROM (SELECT *, regexp_replace(term, '[^a-z]', '', 'g') AS key FROM named WHERE doc_id % 5 <> 0) GROUP BY key, c) WHERE r = 1),
+size AS (SELECT count(*) AS n FROM embeddings),
+q AS (SELECT note_id, ord, s, e, c, regexp_replace(term, '[^a-z]', '', 'g') AS key, seen % n AS vec FROM named, size WHERE doc_id % 5 = 0 AND s % 13 <> 0),
+mine AS (SELECT q.*, c0.label AS top, row_number() OVER (PARTITION BY note_id, ord ORDER BY round(list_dot_product(u.u, c0.e), 12) DESC, c0.label) AS r, list_dot_product(u.u, c0.e) AS score FROM q JOIN u ON u.vec_id = vec JOIN c c0 ON c0.label % 2 = q.c % 2),
+scored AS (SELECT *, score + CASE WHEN top IN (SELECT c FROM named WHERE doc_id % 5 <> 0) THEN 0.05 ELSE 0 END AS total FROM mine WHERE r = 1),
+linked AS (SELECT x.note_id, x.s, x.e, CASE WHEN d.c IS NOT NULL AND total < 1.0 THEN d.c ELSE top END AS c FROM scored x LEFT JOIN dict d USING (key)
+WHERE key NOT IN ('left', 'right', 'your', 'of', 'with', 'in', 'the', 'and', 'to', 'or', 'no', 'person', 'date', 'for', 'on', 'was', 'a', 'is', 'at', 'were') AND x.e - x.s > 1 AND ((d.c IS NOT NULL AND total < 1.0) OR (total > 0.90 AND x.e - x.s > 2)))
+SELECT note_id, s AS start, e AS "end", c AS concept_id FROM linked UNION ALL SELECT note_id, s, e, c FROM system_d d WHERE note_id IN (SELECT note_id FROM linked) AND NOT EXISTS (SELECT 1 FROM linked x WHERE x.note_id = d.note_id AND greatest(x.s, d.s) <= least(x.e, d.e))"""
+
+
+@query("link_run", I.sql("system_d", ", " + _UNIT.removeprefix("WITH ").rstrip() + _CLASSED))
+def link_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The linker as one run: header filter, nearest concept of the mention's class, choice, union with dictionary spans."""
+    from ..operators import dictionary as D
+    from ..operators.shared import cut_lineage
+
+    vectors = _vectors(spark, sf_dir)
+    concepts = V.centroids(vectors).select(F.col("label").cast("bigint").alias("label"), (F.col("label") % 2).cast("int").alias("class"), "embedding")
+    gold = cut_lineage(I.gold(spark, sf_dir))
+    test, train = gold.where("doc_id % 5 = 0"), gold.where("doc_id % 5 <> 0")
+    size = I.table(spark, sf_dir, "embeddings").agg(F.count("*").alias("size"))
+    m = S.with_surface(test, I.test_notes(spark, sf_dir).select("note_id", "text")).crossJoin(size).withColumn("vec_id", F.col("seen") % F.col("size"))
+    m = m.join(vectors.select("vec_id", "embedding"), "vec_id").withColumn("class", (F.col("concept_id") % 2).cast("int")).withColumn("header", F.when(F.col("start") % 13 == 0, "medication:"))
+    return V.link(m, concepts, train, D.linker_dictionary(train, I.train_notes(spark, sf_dir)), I.system_d(spark, sf_dir), ("medication:",))
