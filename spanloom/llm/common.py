@@ -44,6 +44,12 @@ def shared_folder(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_path(spark))
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that an operator wrote, on whatever file system Spark knows."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def tokenizer_path(name: str) -> str:
     """Where the installed package of public tokenizers has its file `name`."""
     import public_tokenizers

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from spanloom.llm import decontaminate as D
 from spanloom.llm.fm_index import FmIndex, suffix_array
 
@@ -50,6 +51,19 @@ def test_documents_against_brute_force(spark, monkeypatch, block):
         assert (r.n_words, r.n_hit, r["items"]) == brute(dict(docs)[r.doc_id], items)
         cut = [dict(docs)[r.doc_id][int(s) : int(e)] for s, e in (x.split(":") for x in r.spans.split(",") if x)]
         assert sum(len(words(x)) for x in cut) == r.n_hit
+    # the rounds of a benchmark beyond the broadcast bound give what one round gives, spans and cut texts too
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"clean": F.lit("c"), "n_hit": F.lit(7)}), spark.createDataFrame(items, "item_id long, text string")
+    carry = ("text", "clean", "n_hit")
+    one = [sorted(map(str, x.collect())) for x in (D.decontaminate(df, bench, carry=carry), D.without_contamination(df, bench, carry=("clean", "n_hit")))]
+    monkeypatch.setattr(D, "BLOCK_BYTES", 4 << 20)
+    whole = [sorted(map(str, x.collect())) for x in (D.decontaminate(df, bench, carry=carry), D.without_contamination(df, bench, carry=("clean", "n_hit")))]
+    assert one == whole
+
+
+def test_runs_of_rounds_are_merged():
+    runs = np.array([[5, 8, 20, 30], [0, 3, 0, 9], [3, 4, 10, 14], [6, 7, 23, 26], [9, 10, 35, 40]])
+    assert D.merged(runs).tolist() == [[0, 4, 0, 14], [5, 8, 20, 30], [9, 10, 35, 40]]
+    assert D.merged(np.zeros((0, 4), np.int64)).tolist() == []
 
 
 def test_edges(spark, edge_docs, no_docs):
