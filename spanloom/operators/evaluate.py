@@ -110,6 +110,15 @@ def queue_by_regime(aligned: DataFrame) -> DataFrame:
     return g.withColumn("p_error", F.col("n_errors") / F.col("n")).withColumn("share_of_all_errors", F.col("n_errors") / total).orderBy(regime_rank())
 
 
+def queue_report(metrics: DataFrame, by_regime: DataFrame) -> str:
+    """A Markdown section of the one row of queue_metrics() and the rows, a regime each, of queue_by_regime()."""
+    m = metrics.first()
+    lines = ["## Review queue", "", "| metric | value |", "|---|---:|", *(f"| {k} | {v:.4f} |" for k, v in m.asDict().items()), ""]
+    lines += ["| regime | in queue | n | errors | P(error) | share of errors |", "|---|---|---:|---:|---:|---:|"]
+    rows = by_regime.limit(len(REGIMES)).collect()
+    return "\n".join([*lines, *(f"| {r.regime} | {'yes' if r.in_queue else 'no'} | {r.n} | {r.n_errors} | {r.p_error:.3f} | {100 * r.share_of_all_errors:.1f} |" for r in rows)]) + "\n"
+
+
 def sample_examples(aligned: DataFrame, per_regime: int = 2, seed: int = 0) -> DataFrame:
     """A few rows of each regime, the first by md5("note_id|ord|seed"); reproducible, without replacement. Rows are ranked with
     a limit, so each task sends on no more than that of a regime."""

@@ -119,7 +119,7 @@ def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], force
 
 def write_report(text: str, path: str, spark: SparkSession) -> None:
     """A Markdown report as one text file in a folder."""
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    spark.createDataFrame([(text.rstrip("\n"),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 class Paths:
