@@ -19,7 +19,6 @@ those handed on.
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 
@@ -38,7 +37,8 @@ BLOCK_BYTES = 4 << 20
 BROADCAST_BLOCKS = 4
 #: Bytes of a word: digits, letters a to z, all of 80 and above; A to Z become small; others become spaces.
 WORD_BYTES = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
-WORD = re.compile(rb"[^ ]+")
+#: Bytes of a text that are cut into words at once.
+PIECE = 1 << 20
 MARK, FIRST = 1, 2
 
 
@@ -46,6 +46,16 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORD_BYTES).split()
 
 
+def word_pieces(text: bytes) -> Iterator[list[bytes]]:
+    """words_of() a text, a piece at a time."""
+    low, at = text.translate(WORD_BYTES), 0
+    while at < len(low):
+        blank = low.find(b" ", at + PIECE)
+        end = blank if blank >= 0 else len(low)
+        yield low[at:end].split()
+        at = end
+
+
 class Phrases:
     """The windows of a block of items as rows of word numbers, and the items each comes from."""
 
@@ -101,10 +111,15 @@ def occurrences(phrases: Phrases, numbers: np.ndarray, doc: np.ndarray) -> tuple
 
 def hit_runs(text: bytes, hit: np.ndarray) -> np.ndarray:
     """Rows (first word, word behind the last one, first code point, code point behind the last one) of runs of hit words."""
-    places = [m.span() for m in WORD.finditer(text.translate(WORD_BYTES))]
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-    at = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
-    return np.array([(a, b, at[places[a][0]], at[places[b - 1][1]]) for a, b in edges.reshape(-1, 2).tolist()], np.int64).reshape(-1, 4)
+    low = np.frombuffer(text.translate(WORD_BYTES), np.uint8) != 32
+    places = np.flatnonzero(low ^ np.append(False, low[:-1]))
+    starts, ends = places[::2], np.append(places[1::2], [len(low)] * (len(places) % 2)).astype(np.int64)
+    runs = np.flatnonzero(hit ^ np.append(False, hit[:-1]))
+    first, behind = runs[::2], np.append(runs[1::2], [len(hit)] * (len(runs) % 2)).astype(np.int64)
+    bounds = np.stack([starts[first], ends[behind - 1]], 1).ravel().tolist()
+    lead = (np.frombuffer(text, np.uint8) & 0xC0) != 0x80
+    chars = np.cumsum([np.count_nonzero(lead[x:y]) for x, y in zip([0, *bounds], bounds, strict=False)]).reshape(-1, 2)
+    return np.concatenate([np.stack([first, behind], 1), chars], 1).astype(np.int64)
 
 
 def spans_of(runs: np.ndarray) -> str:
@@ -123,18 +138,18 @@ def merged(runs: np.ndarray) -> np.ndarray:
 
 
 def find_hits(texts: list[bytes], blocks: list) -> tuple[np.ndarray, list[np.ndarray], list[set[str]]]:
-    """Of the texts of a shard: words, which of them are hit, and the items found."""
-    words = [words_of(t) for t in texts]
-    counts = np.array([len(w) for w in words], np.int64)
-    base = np.append(0, np.cumsum(counts))
-    doc = np.repeat(np.arange(len(texts)), counts)
-    cover = np.zeros(base[-1] + 1, np.int64)
+    """Of the texts of a shard: words, which of them are hit, and the items found. Words are held as numbers alone."""
     names: list[set[str]] = [set() for _ in texts]
+    counts = cover = doc = None
     for block in blocks:
         phrases: Phrases = block.value
         get = phrases.numbers.get
-        numbers = np.fromiter((get(w, 0) for ws in words for w in ws), np.int64, int(base[-1]))
-        at, phrase = occurrences(phrases, numbers, doc)
+        each = [np.fromiter((get(w, 0) for ws in word_pieces(t) for w in ws), np.int32) for t in texts]
+        if cover is None:
+            counts = np.array([len(x) for x in each], np.int64)
+            doc = np.repeat(np.arange(len(texts), dtype=np.int32), counts)
+            cover = np.zeros(len(doc) + 1, np.int32)
+        at, phrase = occurrences(phrases, np.concatenate(each), doc)
         np.add.at(cover, at, 1)
         np.add.at(cover, at + phrases.sizes[phrase], -1)
         pair = np.unique(np.stack([doc[at], phrase], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
@@ -142,6 +157,7 @@ def find_hits(texts: list[bytes], blocks: list) -> tuple[np.ndarray, list[np.nda
             names[d].update(phrases.names[i] for i in phrases.items[phrases.bound[p] : phrases.bound[p + 1]].tolist())
         if len(blocks) > 1:
             block.__dict__.pop("_value", None)  # one block in memory at a time
+    base = np.append(0, np.cumsum(counts))
     hit = np.cumsum(cover)[:-1] > 0
     return counts, [hit[base[i] : base[i + 1]] for i in range(len(texts))], names
 

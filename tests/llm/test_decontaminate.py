@@ -83,3 +83,18 @@ def test_clashing_columns_and_items_without_an_id(spark, edge_docs):
     assert got.clean.split() == ["x", "y"] and got.clean_carried == "c"
     assert D.decontaminate(docs, bench).collect()[0].items == [""]
     assert D.without_contamination(edge_docs, bench, carry=("clean", "spans")).count() == 9
+
+
+@pytest.mark.parametrize("piece", [1, 5, 1 << 20])
+def test_pieces(monkeypatch, piece):
+    monkeypatch.setattr(D, "PIECE", piece)
+    rng = random.Random(piece)
+    items = [("a", "é b c9"), ("b", "x " * 12)]
+    block = type("Block", (), {"value": D.Phrases([(n, t.encode()) for n, t in items])})()
+    texts = ["", " ", "é", "É b c9", "x" * 30] + ["".join(rng.choice(["é b c9", " x", " ", "_", "x x ", "ü"]) for _ in range(rng.randint(0, 40))) for _ in range(80)]
+    columns = D.scan_shard([t.encode() for t in texts], [block])
+    for text, n, hit, found, spans in zip(texts, *columns, strict=True):
+        assert (n, hit, found) == brute(text, items)
+        cut = [text[int(s) : int(e)] for s, e in (x.split(":") for x in spans.split(",") if x)]
+        assert sum(len(words(x)) for x in cut) == hit and all(words(x[0]) and words(x[-1]) for x in cut)
+        assert words(D.without_spans(text, spans)) == words(text) if not hit else True
