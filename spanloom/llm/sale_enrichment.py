@@ -32,7 +32,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .common import remove_folder, shared_path
 from .crc_sql import crc32_sql
@@ -47,6 +47,7 @@ HOT_CLIENTS = 10_000
 
 ROW = "bucket int, kind string, id bigint, client bigint, us bigint, seq bigint, cents bigint, op string"
 RESULT = "rec string, id bigint, batch bigint, n_held bigint, change_id bigint, balance_cents bigint, op string"
+STATE = "versions binary, waiting binary"
 SALE, VERSION, LATE, TICK = "sale", "version", "late", "tick"
 _DAY_US, _NEVER = 86_400_000_000, -(1 << 63)
 _VERSIONS = ["client", "us", "seq", "id", "cents", "op"]
@@ -90,46 +91,32 @@ def running_maxima(rows: DataFrame, batches: int) -> list[int | None]:
     return out
 
 
-class Enricher(StatefulProcessor):
+class Enricher:
     """One start's step of a bucket: versions in, sales out, versions pruned, the next timer set."""
 
     def __init__(self, batch: int, below_us: int, flush: bool):
         self.batch, self.below_us, self.flush = batch, below_us, flush
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.versions, self.waiting = (handle.getValueState(n, "packed binary") for n in ("versions", "waiting"))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        given = pd.concat(list(rows), ignore_index=True)
-        late = given[given["kind"] == LATE]
-        if len(late):
-            yield self._result("late", late["id"], None, None)
-        yield from self._settle(timerValues, given[given["kind"] == VERSION], given[given["kind"] == SALE])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._settle(timerValues, None, None)
-
-    def close(self) -> None:
-        pass
-
-    def _settle(self, timer_values, new_versions, new_sales) -> Iterator[pd.DataFrame]:
-        h_ms = timer_values.getCurrentWatermarkInMs()
+    def __call__(self, key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        given = None if state.hasTimedOut else pd.concat(list(rows), ignore_index=True)
+        if given is not None and (late := given["kind"] == LATE).any():
+            yield self._result("late", given.loc[late, "id"], None, None)
+        h_ms = state.getCurrentWatermarkMs()
         h = h_ms * 1000 - self.below_us if h_ms > 0 else _NEVER
-        versions, waiting = _unpacked(self.versions), _unpacked(self.waiting)
-        held = _joined(versions, new_versions, _VERSIONS, {"client": "int64", "us": "int64", "seq": "Int64", "id": "Int64", "cents": "Int64"})
+        versions, waiting = map(_unpacked, state.get) if state.exists else (None, None)
+        new = {k: None if given is None else given[given["kind"] == k] for k in (VERSION, SALE)}
+        held = _joined(versions, new[VERSION], _VERSIONS, {"client": "int64", "us": "int64", "seq": "Int64", "id": "Int64", "cents": "Int64"})
         held = held.sort_values(["client", "us", "seq", "id"], kind="stable", na_position="first", ignore_index=True)
-        sales = _joined(waiting, new_sales, _WAITING, {"id": "Int64", "client": "Int64", "us": "Int64"})
-        ready = sales["us"].isna() | (sales["us"].fillna(0) < h) if not self.flush else pd.Series(True, sales.index)
+        sales = _joined(waiting, new[SALE], _WAITING, {"id": "Int64", "client": "Int64", "us": "Int64"})
+        ready = pd.Series(True, sales.index) if self.flush else sales["us"].isna() | (sales["us"].fillna(0) < h)
         out, rest = sales[ready], sales[~ready]
         if len(out):
             yield self._emitted(out, held)
         settled = held["us"] <= h
         last = settled & ~held["client"].where(settled).duplicated(keep="last")
         kept = held[~settled | last].reset_index(drop=True)
-        _pack(self.versions, versions, kept)
-        _pack(self.waiting, waiting, rest)
-        self._set_timer(kept, rest, h_ms)
+        state.update((_packed(kept), _packed(rest)))
+        self._set_timer(state, kept, rest, h_ms)
 
     def _emitted(self, out: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         """Sales with the last of their client's held versions up to the time sold."""
@@ -147,18 +134,13 @@ class Enricher(StatefulProcessor):
         whole = {c: "Int64" for c in ("id", "n_held", "change_id", "balance_cents")}
         return pd.DataFrame(columns, index=ids.index).astype(whole).astype({"op": object}).replace({"op": {pd.NA: None, np.nan: None}})
 
-    def _set_timer(self, kept: pd.DataFrame, rest: pd.DataFrame, h_ms: int) -> None:
+    def _set_timer(self, state: GroupState, kept: pd.DataFrame, rest: pd.DataFrame, h_ms: int) -> None:
         """At the first waiting sale, or just before the first version that would displace another; never in the past."""
         at = [] if rest.empty else [int(rest["us"].min()) // 1000]
         displacing = kept.loc[kept["client"].duplicated(keep="first"), "us"]
         at += [] if displacing.empty else [(int(displacing.min()) - 1) // 1000]
-        due = max(min(at), h_ms) if at else None
-        set_already = list(self.handle.listTimers())
-        for t in set_already:
-            if t != due:
-                self.handle.deleteTimer(t)
-        if due is not None and due not in set_already:
-            self.handle.registerTimer(due)
+        if at:
+            state.setTimeoutTimestamp(max(min(at), h_ms, 1))
 
 
 def _joined(stored: pd.DataFrame | None, new: pd.DataFrame | None, columns: list[str], kinds: dict[str, str]) -> pd.DataFrame:
@@ -166,24 +148,22 @@ def _joined(stored: pd.DataFrame | None, new: pd.DataFrame | None, columns: list
     return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c: pd.Series(dtype=kinds.get(c, object)) for c in columns})
 
 
-def _unpacked(state) -> pd.DataFrame | None:
-    """The rows of a state: an Arrow stream."""
-    if not state.exists():
+def _unpacked(packed: bytes | None) -> pd.DataFrame | None:
+    """The rows that _packed() gave."""
+    if packed is None:
         return None
     whole = {pa.int64(): pd.Int64Dtype()}
-    return pa.ipc.open_stream(state.get()[0]).read_all().to_pandas(types_mapper=whole.get)
+    return pa.ipc.open_stream(packed).read_all().to_pandas(types_mapper=whole.get)
 
 
-def _pack(state, before: pd.DataFrame | None, rows: pd.DataFrame) -> None:
+def _packed(rows: pd.DataFrame) -> bytes | None:
+    """Rows as an Arrow stream."""
     if rows.empty:
-        if before is not None:
-            state.clear()
-        return
-    table = pa.Table.from_pandas(rows, preserve_index=False)
-    sink = pa.BufferOutputStream()
+        return None
+    table, sink = pa.Table.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as writer:
         writer.write_table(table)
-    state.update((sink.getvalue().to_pybytes(),))
+    return sink.getvalue().to_pybytes()
 
 
 def enrich_sales(sales: DataFrame, changes: DataFrame, batches: int = BATCHES, delay_hours: int = DELAY_HOURS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -264,11 +244,10 @@ def _feed(spark: SparkSession, folder: str, name: str, batch: int | None, at_ms:
     rows.withColumn("at", F.timestamp_millis(F.lit(at_ms))).write.mode("append").parquet(f"{folder}/in/{name}")
 
 
-#: Settings of a start: the smallest watermark counts, timers wait for the next batch, state lives in RocksDB.
+#: Settings of a start: the smallest watermark counts, and timers wait for the next batch.
 _SETTINGS = {
     "spark.sql.streaming.multipleWatermarkPolicy": "min",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -279,7 +258,7 @@ def _start(spark: SparkSession, folder: str, step: Enricher, delay_hours: int) -
         spark.conf.set(k, v)
     try:
         streams = [spark.readStream.schema(f"{ROW}, at timestamp").parquet(f"{folder}/in/{n}").withWatermark("at", f"{delay_hours} hours") for n in ("sales", "changes")]
-        out = streams[0].unionByName(streams[1]).groupBy("bucket").transformWithStateInPandas(step, RESULT, "Append", "EventTime")
+        out = streams[0].unionByName(streams[1]).groupBy("bucket").applyInPandasWithState(step, RESULT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
         query = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
