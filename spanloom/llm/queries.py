@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, language_id, license_scan, lm_score, media, pii, sale_enrichment, secret_scan, simhash_dedup
+from . import bpe, chat_format, decontaminate, importance_resampling, language_id, license_scan, lm_score, media, pii, sale_enrichment, secret_scan, simhash_dedup, url_filter
 from .common import table, tokenizer_path
 
 
@@ -59,10 +59,18 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_turns(rows.unionByName(hostile), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op12_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sale_enrichment.enrich_sales(table(spark, sf_dir, "sales"), table(spark, sf_dir, "client_changes"))
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,8 +78,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_simhash, op3_decontaminate, op4_licenses, op5_language, op6_media, op7_secrets, op8_bpe, op9_chat, op10_pii, op12_enrichment, pipeline)}
+    return {f.__name__: f for f in (op1_lm_score, op2_simhash, op3_decontaminate, op4_licenses, op5_language, op6_media, op7_secrets, op8_bpe, op9_chat, op10_pii, op11_url_filter, op12_enrichment, op13_resample, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_lm_score": lm_score.scores_sql(), "op4_licenses": license_scan.scan_sql(), "op12_enrichment": sale_enrichment.enrichment_sql()}
+    return {"op1_lm_score": lm_score.scores_sql(), "op4_licenses": license_scan.scan_sql(), "op12_enrichment": sale_enrichment.enrichment_sql(), "op13_resample": importance_resampling.resample_sql()}
