@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,21 +69,6 @@ def slice_text(text, start, end) -> Column:
     return F.substring(_c(text), _c(start) + 1, _c(end) - _c(start))
 
 
-def at_word_boundary(text, start, end) -> Column:
-    """No letter or digit stands directly before start or at end; the text's ends count as boundaries."""
-    word = r"^[\p{L}\p{N}]$"
-    before = F.when(_c(start) > 0, F.substring(_c(text), _c(start), F.lit(1))).otherwise("")
-    after = F.substring(_c(text), _c(end) + 1, F.lit(1))
-    return ~before.rlike(word) & ~after.rlike(word)
-
-
-def in_header_line(text, pos) -> Column:
-    """Whether the text up to the next line feed behind pos, trimmed, ends with a colon; without one, up to the end."""
-    feed = F.locate("\n", F.substring(_c(text), _c(pos) + 1, F.length(_c(text))))
-    upto = F.when(feed > 0, F.substring(_c(text), F.lit(1), _c(pos) + feed - 1)).otherwise(_c(text))
-    return F.rtrim(F.regexp_replace(upto, r"\s+$", "")).endswith(":")
-
-
 def levenshtein_similarity(a, b) -> Column:
     """1 - distance / longer length of the trimmed lower-cased strings; 1 for equal ones, 0 if one is empty. Not rounded."""
     x, y = (F.trim(F.lower(F.coalesce(_c(v), F.lit("")))) for v in (a, b))
@@ -131,25 +114,3 @@ def one_line(text) -> Column:
 def restore_lines(text) -> Column:
     """The inverse for line ends; null becomes empty."""
     return F.replace(F.coalesce(_c(text), F.lit("")), F.lit("\\n"), F.lit("\n"))
-
-
-def tokens(text) -> Column:
-    """array<struct<tok, start, end>> of the runs of a-z and 0-9 in the lower-cased text.
-
-    Offsets come from the places where such a run begins, found in one pass over the characters of the row, so no shuffle
-    and no window is needed. Lower-casing must keep the length, as it does but for a few letters such as a dotted capital I.
-    """
-    low = F.lower(_c(text))
-    chars = F.split(low, "")
-    word = lambda c: c.rlike("^[a-z0-9]$")
-    # a run begins where its character is one of a word and the one before isn't; each lambda sees its own items alone
-    begins = F.zip_with(chars, F.slice(F.concat(F.array(F.lit("")), chars), F.lit(1), F.size(chars)), lambda c, before: word(c) & ~word(before))
-    starts = F.filter(F.transform(begins, lambda b, i: F.when(b, i)), lambda i: i.isNotNull())
-    return F.transform(F.arrays_zip(starts.alias("s"), F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0)).alias("t")), lambda x: F.struct(x["t"].alias("tok"), x["s"].cast("int").alias("start"), (x["s"] + F.length(x["t"])).cast("int").alias("end")))
-
-
-def mention_pattern(mention: str) -> re.Pattern | None:
-    """A mention as an expression: white space of any length, hyphens and slashes also as spaces, an optional plural s.
-    All special characters stand for themselves."""
-    parts = [re.escape(w).replace("\\-", "[- ]").replace("/", "[/ ]") for w in mention.split()]
-    return re.compile(r"\s+".join(parts) + "s*") if parts else None

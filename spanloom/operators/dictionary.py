@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as T
+from . import lexicon, tokens
 from . import spans as S
-from . import tokens
 from .sections import CLINICAL_HEADERS
 from .tokens import ngram_table
 
@@ -72,9 +72,9 @@ def linker_dictionary(annotations: DataFrame, notes: DataFrame) -> DataFrame:
 
 
 def term_hits(notes: DataFrame, dictionary: DataFrame, max_n: int) -> DataFrame:
-    """note_id, start, end, concept_id, term, ord: every n-gram that is a term. The join's side is Catalyst's choice."""
-    grams = ngram_table(notes, max_n)
-    return S.with_order(grams.join(dictionary.select(F.col("term").alias("gram"), "concept_id"), "gram").select("note_id", "start", "end", "concept_id", F.col("gram").alias("term")), "start", "end")
+    """note_id, start, end, concept_id, term, ord: every run of up to max_n tokens that is a term."""
+    terms = dictionary.where(F.size(F.split("term", " ")) <= max_n).select("term", "concept_id")
+    return S.with_order(lexicon.match_terms(notes, terms).select("note_id", "start", "end", "concept_id", "term"), "start", "end")
 
 
 def predict_with_dictionary(notes: DataFrame, dictionary: DataFrame, max_n: int, ignored: DataFrame | None = None, prefer_longer: bool = True) -> DataFrame:
@@ -350,24 +350,11 @@ class DictionaryModel:
 
 
 # --- matching by pattern ---------------------------------------------------------------------------------------------
-def _fold(gram: Column) -> Column:
-    """The key that a mention and its matches share: runs of a-z and 0-9 joined by spaces, without a plural's last s."""
-    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(gram), "[^a-z0-9]+", " ")), "s+$", "")
-
-
-def _pattern(mention: Column) -> Column:
-    """An anchored expression: special characters escaped; spaces any white space; hyphens and slashes also as spaces; s*."""
-    escaped = F.regexp_replace(F.regexp_replace(mention, r"([.^$|?*+(){}\[\]\\])", r"\\$1"), r"\s+", " ")
-    spaced = F.replace(escaped, F.lit(" "), F.lit(r"\s+"))
-    hyphens = F.replace(spaced, F.lit("-"), F.lit("[- ]"))
-    return F.concat(F.lit("^"), F.replace(hyphens, F.lit("/"), F.lit("[/ ]")), F.lit("s*$"))
-
-
-def annotate(notes: DataFrame, headers: DataFrame, dictionary: DataFrame, max_n: int, keep_overlaps: bool = False, skip_prefix: int = 100, case_sensitive: bool = False) -> DataFrame:
+def annotate(notes: DataFrame, headers: DataFrame, dictionary: DataFrame, max_n: int | None = None, keep_overlaps: bool = False, skip_prefix: int = 100, case_sensitive: bool = False) -> DataFrame:
     """Matches of section mentions as patterns: note_id, start, end, concept_id, section, dict_entry, any_section, ord.
 
-    dictionary: section, mention, concept_id and optionally sections (an array; null means any). Candidates come from an
-    equal join of folded n-grams, so a note is never scanned for each mention; the pattern then decides on the text itself.
+    dictionary: section, mention, concept_id and optionally sections (an array; null means any). A trie over the lexicon's
+    tokens finds the candidates in one narrow pass a shard, and the text decides there (see lexicon.match_mentions).
     A match must stand at word boundaries, not in the first skip_prefix characters, not in a header line (unless overlaps
     are kept), nor under an excluded header or before the first one. A key counts where its section contains the header's
     name, equals it, or is any. keep_overlaps leaves overlaps unresolved.
@@ -375,16 +362,9 @@ def annotate(notes: DataFrame, headers: DataFrame, dictionary: DataFrame, max_n:
     from .sections import at_section, excluded_section
 
     d = dictionary if "sections" in dictionary.columns else dictionary.withColumn("sections", F.when(F.col("section") != ANY, F.array("section")))
-    lead = F.length("mention") - F.length(F.regexp_replace("mention", "^[^A-Za-z0-9]+", ""))
-    trail = F.length("mention") - F.length(F.regexp_replace("mention", "[^A-Za-z0-9]+$", ""))
-    d = d.select("section", "sections", "mention", "concept_id", _fold(F.col("mention")).alias("fold"), _pattern(F.col("mention")).alias("pattern"), lead.alias("lead"), trail.alias("trail")).where("fold <> ''")
-    grams = ngram_table(notes, max_n).withColumn("fold", _fold(F.col("gram"))).select("note_id", "fold", "start", "end")
-    found = grams.join(d, "fold").withColumn("start", F.col("start") - F.col("lead")).withColumn("end", F.col("end") + F.col("trail")).where(F.col("start") >= skip_prefix)
-    text = F.col("text") if case_sensitive else F.lower("text")
-    found = found.join(notes.select("note_id", "text"), "note_id").withColumn("text", text)
-    found = found.where(F.rlike(T.slice_text("text", F.col("start"), F.col("end")), F.col("pattern")) & T.at_word_boundary("text", F.col("start"), F.col("end")))
+    found = lexicon.match_mentions(notes, d.select("section", "sections", "mention", "concept_id"), max_n, skip_prefix, case_sensitive)
     if not keep_overlaps:
-        found = found.where(~T.in_header_line("text", F.col("start")))
+        found = found.where(~F.col("in_header"))
     flat = found.select("note_id", "start", "end", "concept_id", "section", "sections", F.col("mention").alias("dict_entry"))
     placed = at_section(flat, headers).where(F.col("header").isNotNull() & ~excluded_section(F.col("header")))
     fits = F.col("sections").isNull() | F.exists("sections", lambda s: F.contains(s, F.col("header")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -117,37 +118,35 @@ def alternation_scan(hits: DataFrame) -> DataFrame:
 
 
 def sweep(rows: list[tuple[int, int, float]]) -> list[int]:
-    """Which of (start, end, weight), sorted, survive: a pairwise sweep drops the lighter of two overlapping spans (the later
-    one at a tie); then dropped spans with both ends outside all kept ones come back."""
-    gone: set[int] = set()
-    for i, (_, end, weight) in enumerate(rows):
-        if i in gone:
-            continue
-        for j in range(i + 1, len(rows)):
-            if rows[j][0] >= end:
-                break
-            if weight < rows[j][2]:
-                gone.add(i)
-                break
-            gone.add(j)
-    kept = [i for i in range(len(rows)) if i not in gone]
-    longest = max((e - s for s, e, _ in rows), default=0)
-    starts = [rows[i][0] for i in kept]
-
-    def inside(p: int) -> bool:
-        at = bisect.bisect_right(starts, p)
-        while at > 0 and starts[at - 1] > p - longest:
-            at -= 1
-            if rows[kept[at]][1] > p:
-                return True
-        return False
-
-    for i in sorted(gone):
-        if not inside(rows[i][0]) and not inside(rows[i][1]):
-            at = bisect.bisect_right(starts, rows[i][0])
-            starts.insert(at, rows[i][0])
-            kept.insert(at, i)
-    return sorted(kept)
+    """Which of (start, end, weight), in this order, survive: a fold over the arriving spans, then one over those that fell.
+
+    The state holds the open spans: those that stand, reach beyond the arriving one and have not met a heavier one yet. An open
+    span that is lighter than the arriving one falls and is closed; if any is not, the arriving one falls, else it becomes
+    open. Every span meets the arriving one, whether that falls or not. Of the fallen, in order, those come back whose start and end
+    lie within none that stands by then; an end counts as outside.
+    """
+    fallen: list[int] = []
+    opened: list[int] = []
+    for i, (start, _, weight) in enumerate(rows):
+        reaching = [o for o in opened if rows[o][1] > start]
+        heavier = [o for o in reaching if rows[o][2] >= weight]
+        fallen += [o for o in reaching if rows[o][2] < weight]
+        if heavier:
+            fallen.append(i)
+        opened = heavier + [i] * (not heavier)
+    standing = sorted(set(range(len(rows))) - set(fallen))
+    widest = max((e - s for s, e, _ in rows), default=0)
+    spans = [rows[i][:2] for i in standing]
+
+    def covered(at: int) -> bool:
+        near = range(bisect.bisect_left(spans, (at - widest + 1,)), bisect.bisect_right(spans, (at, math.inf)))
+        return any(spans[k][1] > at for k in near)
+
+    for i in sorted(fallen):
+        if not covered(rows[i][0]) and not covered(rows[i][1]):
+            bisect.insort(spans, rows[i][:2])
+            standing.append(i)
+    return sorted(standing)
 
 
 def remove_overlaps(df: DataFrame) -> DataFrame:
