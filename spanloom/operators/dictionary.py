@@ -13,6 +13,7 @@ from ..functions import text as T
 from . import lexicon, tokens
 from . import spans as S
 from .sections import CLINICAL_HEADERS
+from .shared import cut_lineage
 from .tokens import ngram_table
 
 # Mentions that are never learned, the any-section key, thresholds, case-sensitive entries.
@@ -334,6 +335,7 @@ class DictionaryModel:
         placed = at_section(annotations, headers).withColumnRenamed("header", "section")
         self.entries = section_dictionary(placed, notes, self.min_count, self.blacklist)
         if self.prune:
+            self.entries = cut_lineage(self.entries)  # read three times below
             hits = match_sections(notes, headers, self.entries, self.max_n)
             self.entries = remove_bad_keys(self.entries, key_scores(score_hits(hits, annotations)))
         return self
@@ -387,6 +389,7 @@ def add_external(dictionary: DataFrame, sources: list[DataFrame], names: DataFra
     """cond_update() with each source, then with word replacements, then with permutations of what is there by then."""
     for more in sources:
         dictionary = cond_update(dictionary, more, names, blacklist)
-    numbered = lambda d: d.withColumn("ord", F.xxhash64("section", "mention"))  # noqa: E731  # any fixed order of keys
-    dictionary = cond_update(dictionary, word_replacements(numbered(dictionary)), names, blacklist)
+    numbered = lambda d: d.withColumn("ord", F.struct("section", "mention"))  # noqa: E731  # any fixed order of keys
+    dictionary = cut_lineage(dictionary)
+    dictionary = cut_lineage(cond_update(dictionary, word_replacements(numbered(dictionary)), names, blacklist))
     return cond_update(dictionary, word_permutations(numbered(dictionary), blacklist), names, blacklist)

@@ -102,7 +102,7 @@ for _name in ("hits", "fresh", "chains", "listed", "taken"):
     _T[f"all_{_name}"] = re.sub(r"\b(hits|fresh|chains|listed)\b", r"all_\1", _T[_name]).replace(" WHERE doc_id % 5 = 0", "")
 
 
-def sql(last: str, body: str) -> str:
+def sql(last: str, body: str, recursive: bool = False) -> str:
     """body with the common tables that it or they need before it, each computed once. last: the table that body is about."""
     wanted, names = set(), list(_T)
     todo = [last, *re.findall(r"\w+", body)]
@@ -111,4 +111,22 @@ def sql(last: str, body: str) -> str:
         if name in _T and name not in wanted:
             wanted.add(name)
             todo += re.findall(r"\w+", _T[name])
-    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({_T[n]})" for n in names if n in wanted) + "\n" + body
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(f"{n} AS MATERIALIZED ({_T[n]})" for n in names if n in wanted) + "\n" + body
+
+
+def sweep_sql(hits: str, name: str) -> str:
+    """Common tables that end in `name`: what the weighted sweep leaves of `hits` (note_id, s, e, av: 1 where the entry holds
+    for any section, ord, and more). Two recursions over the chains of spans that touch: who falls, and who comes back."""
+    meets = lambda sign: f"list_filter(opened, lambda o: items[o].e > items[i + 1].s AND items[o].w {sign} items[i + 1].w)"
+    covered = lambda at: f"len(list_filter(standing, lambda t: items[t].s <= items[fell[i + 1]].{at} AND items[fell[i + 1]].{at} < items[t].e)) > 0"
+    return f"""{name}_o AS (SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY s, e, ord) AS rn FROM {hits}),
+{name}_f AS (SELECT *, CASE WHEN s > coalesce(max(e) OVER (PARTITION BY note_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN 1 ELSE 0 END AS fresh FROM {name}_o),
+{name}_g AS (SELECT *, sum(fresh) OVER (PARTITION BY note_id ORDER BY rn) AS island FROM {name}_f),
+{name}_l AS (SELECT note_id, island, list({{'s': s, 'e': e, 'w': 10 * (e - s) - av, 'rn': rn}} ORDER BY rn) AS items FROM {name}_g GROUP BY note_id, island),
+{name}_s AS (SELECT note_id, island, items, 0::BIGINT AS i, []::BIGINT[] AS opened, []::BIGINT[] AS fallen FROM {name}_l WHERE len(items) > 1
+UNION ALL SELECT note_id, island, items, i + 1, CASE WHEN len({meets(">=")}) > 0 THEN {meets(">=")} ELSE [i + 1] END,
+list_concat(list_concat(fallen, {meets("<")}), CASE WHEN len({meets(">=")}) > 0 THEN [i + 1] ELSE []::BIGINT[] END) FROM {name}_s WHERE i < len(items)),
+{name}_b AS (SELECT note_id, items, 0::BIGINT AS i, list_sort(fallen) AS fell, list_filter(range(1, len(items) + 1), lambda t: NOT list_contains(fallen, t)) AS standing FROM {name}_s WHERE i = len(items)
+UNION ALL SELECT note_id, items, i + 1, fell, CASE WHEN {covered("s")} OR {covered("e")} THEN standing ELSE list_concat(standing, [fell[i + 1]]) END FROM {name}_b WHERE i < len(fell)),
+{name}_r AS (SELECT note_id, items[1].rn AS rn FROM {name}_l WHERE len(items) = 1 UNION ALL SELECT note_id, items[t].rn FROM (SELECT note_id, items, unnest(standing) AS t FROM {name}_b WHERE i = len(fell))),
+{name} AS (SELECT g.* FROM {name}_g g JOIN {name}_r r ON r.note_id = g.note_id AND r.rn = g.rn)"""

@@ -81,7 +81,7 @@ def alternation_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.alternation_scan(hits).select("note_id", "start", "end", "concept_id", "term")
 
 
-@query("remove_overlaps")
+@query("remove_overlaps", I.sql("all_hits", ", weighed AS (SELECT *, CASE WHEN length(term) % 2 = 0 THEN 1 ELSE 0 END AS av FROM all_hits),\n" + I.sweep_sql("weighed", "left_over") + ' SELECT note_id, s AS start, e AS "end", c AS concept_id, term FROM left_over', recursive=True))
 def remove_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = D.term_hits(I.notes(spark, sf_dir), I.lexicon(spark, sf_dir), 2)
     return S.remove_overlaps(hits.withColumn("any_section", F.length("term") % 2 == 0)).select("note_id", "start", "end", "concept_id", "term")

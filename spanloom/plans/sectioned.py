@@ -7,6 +7,7 @@ from ..functions import text as T
 from ..operators import dictionary as D
 from ..operators import sections as H
 from ..operators import spans as S
+from ..operators.shared import cut_lineage
 from . import inputs as I
 from .registry import query
 
@@ -31,17 +32,36 @@ def _headers(spark, sf_dir):
     return H.section_headers(_notes(spark, sf_dir).select("note_id", "text"), I.HEADERS)
 
 
-def _gold(spark, sf_dir):
-    n = _notes(spark, sf_dir)
-    t = D.token_table(n, ("conv_id",)).where((F.length("tok") >= 5) & ((F.col("conv_id") + F.col("ord")) % 3 == 0))
+def _gold_of(notes):
+    t = D.token_table(notes, ("conv_id",)).where((F.length("tok") >= 5) & ((F.col("conv_id") + F.col("ord")) % 3 == 0))
     g = t.select("note_id", "start", "end", (F.length("tok") * 10 + F.col("conv_id") % 3).cast("bigint").alias("concept_id"), "conv_id")
     return S.with_order(g, "start").withColumn("seen", F.col("conv_id") * 1000000 + F.col("ord"))
 
 
+def _gold(spark, sf_dir):
+    return _gold_of(_notes(spark, sf_dir))
+
+
 def _placed(spark, sf_dir):
     return H.at_section(_gold(spark, sf_dir), _headers(spark, sf_dir))
 
 
+class Study:
+    """What several steps of a query read, each written to the shared folder once: notes, headers, gold, dictionary."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.sf_dir = sf_dir
+        self.whole = cut_lineage(_notes(spark, sf_dir))
+        self.notes = self.whole.select("note_id", "text")
+        self.headers = cut_lineage(H.section_headers(self.notes, I.HEADERS))
+        self.gold = cut_lineage(_gold_of(self.whole))
+        self.placed = H.at_section(self.gold, self.headers).withColumnRenamed("header", "section")
+        self.core = cut_lineage(D.section_dictionary(self.placed, self.notes))
+
+    def hits(self) -> DataFrame:
+        return cut_lineage(D.match_sections(self.notes, self.headers, self.core, 1))
+
+
 @query("header_spans", _LINES + 'SELECT note_id, s AS start, e AS "end", header FROM headers')
 def header_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _headers(spark, sf_dir)
@@ -78,15 +98,15 @@ core AS (SELECT section, mention, c FROM top WHERE r = 1 AND (section <> 'any' O
 
 @query("section_dictionary", _CORE + "SELECT section, mention, c AS concept_id FROM core")
 def section_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.section_dictionary(_placed(spark, sf_dir).withColumnRenamed("header", "section"), _notes(spark, sf_dir).select("note_id", "text"))
+    return Study(spark, sf_dir).core
 
 
 @query("section_match", _CORE + """SELECT t.note_id, t.s AS start, t.e AS "end", coalesce(a.c, b.c) AS concept_id, CASE WHEN a.c IS NOT NULL THEN header ELSE 'any' END AS section
 FROM (SELECT * FROM (SELECT t.*, h.header, row_number() OVER (PARTITION BY t.note_id, t.o ORDER BY h.s DESC) AS r FROM toks t JOIN headers h ON h.note_id = t.note_id AND h.s <= t.s WHERE t.s >= 100) WHERE r = 1) t
 LEFT JOIN core a ON a.section = t.header AND a.mention = t.tok LEFT JOIN core b ON b.section = 'any' AND b.mention = t.tok WHERE a.c IS NOT NULL OR b.c IS NOT NULL""")
 def section_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _notes(spark, sf_dir).select("note_id", "text")
-    return D.predict_sections(n, _headers(spark, sf_dir), section_dictionary(spark, sf_dir), 1).select("note_id", "start", "end", "concept_id", "section")
+    study = Study(spark, sf_dir)
+    return D.predict_sections(study.notes, study.headers, study.core, 1).select("note_id", "start", "end", "concept_id", "section")
 
 
 _SCORED = _CORE + """, hits AS (SELECT t.note_id, t.s, t.e, coalesce(a.c, b.c) AS c, CASE WHEN a.c IS NOT NULL THEN header ELSE 'any' END AS section, tok AS entry
@@ -100,8 +120,8 @@ scored AS (SELECT h.*, CASE WHEN EXISTS (SELECT 1 FROM sgold g WHERE g.note_id =
 SELECT section, mention, c AS concept_id FROM core WHERE (section, mention) NOT IN (SELECT (section, entry) FROM keys WHERE p < CASE WHEN p = 1 THEN 1.0 WHEN section = 'any' THEN 0.3 ELSE 0.2 END * m)""")
 def dictionary_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full learner: majority keys pruned by how often they err on their own notes."""
-    n = _notes(spark, sf_dir).select("note_id", "text")
-    model = D.DictionaryModel(max_n=1).fit(n, _gold(spark, sf_dir), _headers(spark, sf_dir))
+    study = Study(spark, sf_dir)
+    model = D.DictionaryModel(max_n=1).fit(study.notes, study.gold, study.headers)
     return model.entries.select("section", "mention", "concept_id")
 
 
@@ -112,9 +132,9 @@ scored AS (SELECT h.*, CASE WHEN EXISTS (SELECT 1 FROM sgold g WHERE g.note_id =
 keys AS (SELECT section, entry, count(*) FILTER (score = 1) AS p, count(*) FILTER (score = -1) AS m FROM scored GROUP BY section, entry)
 SELECT h.note_id, h.s AS start, h.e AS "end", h.c AS concept_id, h.section, h.entry AS dict_entry, round(CASE WHEN p IS NULL THEN 1.0 ELSE p / (p + 0.3 * m) END, 6) AS confidence FROM hits h LEFT JOIN (SELECT section, entry, count(*) FILTER (score = 1) AS p, count(*) FILTER (score = -1) AS m FROM scored WHERE note_id::BIGINT % 2 = 0 GROUP BY section, entry) USING (section, entry)""")
 def confidence_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _notes(spark, sf_dir).select("note_id", "text")
-    hits = D.match_sections(n, _headers(spark, sf_dir), section_dictionary(spark, sf_dir), 1)
-    scored = D.score_hits(hits, _gold(spark, sf_dir)).where(F.col("note_id").cast("bigint") % 2 == 0)  # the training notes; other keys have 1
+    study = Study(spark, sf_dir)
+    hits = study.hits()
+    scored = D.score_hits(hits, study.gold).where(F.col("note_id").cast("bigint") % 2 == 0)  # the training notes; other keys have 1
     found = D.confidence(hits.select("note_id", "start", "end", "concept_id", "section", "dict_entry"), scored)
     return found.withColumn("confidence", F.round("confidence", 6))
 
@@ -145,7 +165,7 @@ def cut_section_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT note_id, s AS start, e AS "end", section, entry AS dict_entry, coalesce(p / n, 1.0) AS score, n IS NOT NULL AS seen_in_train FROM hits LEFT JOIN keys USING (section, entry)""")
 def precision_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores to 12 digits, since SQL and Spark round halves differently."""
-    n = _notes(spark, sf_dir).select("note_id", "text")
-    hits = D.match_sections(n, _headers(spark, sf_dir), section_dictionary(spark, sf_dir), 1)
-    scored = D.score_hits(hits, _gold(spark, sf_dir)).where(F.col("note_id").cast("bigint") % 2 == 0)
+    study = Study(spark, sf_dir)
+    hits = study.hits()
+    scored = D.score_hits(hits, study.gold).where(F.col("note_id").cast("bigint") % 2 == 0)
     return D.precision_view(hits.select("note_id", "start", "end", "section", "dict_entry"), scored, 12)
