@@ -13,7 +13,8 @@ inside such a turn's text. Text under the mask and the turns are read back from
 Rows stream through a worker in the order of conversations, and a worker holds one segment of at most SEGMENT characters
 (or one turn) at a time: a boundary between turns is a token boundary, so segments encode as the whole does. A conversation
 of any length thus needs bounded memory; its digests grow turn by turn. Null text or role counts as empty, a null turn
-comes first, null conv_id is a conversation. Repeated rows are turns of their own. No rows, no conversations.
+comes first, null conv_id is a conversation. Repeated rows are turns of their own, equal turn numbers go by
+role and text. No rows, no conversations. Other columns are not read and may have any name.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ folder and taken in rounds: a round's hits are written with the documents, its b
 rounds are merged per row, without a shuffle. So the benchmark may have any size; a round costs one pass over the documents.
 One item longer than BLOCK_BYTES is a block of its own size. Null or empty text has no words, and an item without words has no phrase. Repeated
 documents get a result each; items that repeat an item_id count once. An item without an item_id removes what it covers and
-is listed as an empty string. Very long texts are read whole, alone in their shard. An empty table gives an empty result; an
+is listed as an empty string. Very long texts are read whole, alone in their shard. Spans that touch are merged, so
+there are no ties. An empty table gives an empty result; an
 empty benchmark leaves all documents clean. Other columns are not read and may have any name; see common.carried() for
 those handed on.
 """

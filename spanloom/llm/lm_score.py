@@ -15,8 +15,8 @@ At the empty context a word that no other document has counts ALPHA once more an
 white space after A to Z are lowered. An n-gram doesn't reach over a document's start; there is no start mark.
 
 Hashes of 64 bits: among n distinct n-grams about n * n / 2**65 pairs fall together and share their counts.
-A message holds the hashes of a block in a range, so there are at most as many messages as such hashes: a number that
-grows with the input. Packing them is what keeps the shuffle small: a row of its own for each (hash, block, count) takes
+A message holds the hashes of a block in a range. Their number grows with the square of the input until messages hold few
+hashes each, and in proportion to the hashes from there on, of which it can't be more. Packing them is what keeps the shuffle small: a row of its own for each (hash, block, count) takes
 some three times the bytes, on disk twice a round.
 
 Null text counts as empty: no tokens, score and mean 0. Repeated rows are documents of their own, each scored with the

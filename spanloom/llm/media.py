@@ -7,7 +7,8 @@ each output cell's mean from an integral image, with fractions of cells at its b
 Null media has no row in tiles(); media that isn't an image of these formats (sides of 0, samples missing or above the
 largest value included) gives one row with the reason. Null text counts as empty. A text of n bytes is padded with bytes 0
 to a positive multiple of 64. Equal texts give equal values, so repeated rows give equal rows. Very long texts are taken
-whole, alone in their batch; resizing holds slabs of SLAB rows. An empty table gives an empty result. Other columns are not
+whole, alone in their batch; resizing holds slabs of SLAB rows. Nothing is ranked, so
+there are no ties. An empty table gives an empty result. Other columns are not
 read and may have any name.
 """
 

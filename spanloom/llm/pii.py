@@ -13,7 +13,8 @@ The weights are learned here by pseudo-likelihood in numpy, on passages of SAMPL
 rows of the table that have a digit or an at sign (the bounds are arguments of train()), with half of the base hits hidden
 so that skip edges must carry labels.
 
-Null text counts as empty; an empty text has no span. Repeated rows get equal spans. Offsets are code points. Without a
+Null text counts as empty; an empty text has no span. Repeated rows get equal spans. Spans that start
+together are listed by kind; of equally likely labels the first listed wins. Offsets are code points. Without a
 base span in the sample nothing is learned and only base spans are given. Very long texts are taken whole, alone in their
 batch. An empty table gives an empty result. Other columns are not read and may have any name; see common.carried() for
 those handed on.
@@ -54,6 +55,7 @@ SAMPLE_CHARS = 4_000
 SURE = 0.9
 #: Added to the score of a token's base label and taken from all its scores.
 CERTAIN = 30.0
+#: Rounds of messages beyond two for each of a document's edges, damping, and the change below which they rest.
 ROUNDS, DAMP, SETTLED = 30, 0.3, 1e-4
 #: Digits at the end that tell a number from others.
 LAST_DIGITS = 7
@@ -178,12 +180,14 @@ class Graph:
                     continue
                 while at < len(found) and found[at][2] <= s:
                     at += 1
-                over = [k for k, a, b in found[at : at + 8] if a < e and s < b]
+                over, j = None, at
+                while over is None and j < len(found) and found[j][1] < e:
+                    over, j = found[j][0] if s < found[j][2] else None, j + 1
                 me = len(self.doc)
                 self.doc.append(d)
                 self.start.append(s + len(token) - len(token.lstrip(EDGE)))
                 self.end.append(s + len(token.rstrip(EDGE)))
-                self.base.append(LABELS.index(over[0]) if over else 0)
+                self.base.append(LABELS.index(over) if over else 0)
                 rows.append(features(token, text[slice(*tokens[i - 1])] if i else b"", text[slice(*tokens[i + 1])] if i + 1 < len(tokens) else b""))
                 if variants and over:
                     self.varied.append(features(variant(token), b"", b""))
@@ -295,9 +299,10 @@ class SkipChainCrf:
         m = np.zeros((len(source), k))
         twin = np.roll(np.arange(len(source)), len(edges))
         doc = np.asarray(graph.doc)[source]
-        # a document's messages rest when they have settled: what else is in the batch doesn't show in its result
-        live = np.ones(len(source), bool)
-        for _ in range(ROUNDS):
+        # a document's messages rest when they have settled: what else is in the batch doesn't show in its result. They may
+        # travel along all its edges; damped, an edge takes less than two rounds
+        live, longest = np.ones(len(source), bool), ROUNDS + np.bincount(doc)
+        for step in range(int(longest.max())):
             belief = own.copy()
             np.add.at(belief, goal, m)
             at = np.flatnonzero(live)
@@ -308,7 +313,7 @@ class SkipChainCrf:
             change = np.zeros(int(doc.max()) + 1)
             np.maximum.at(change, doc[at], np.abs(new - m[at]).max(axis=1))
             m[at] = DAMP * m[at] + (1 - DAMP) * new
-            live = change[doc] >= SETTLED
+            live = (change[doc] >= SETTLED) & (longest[doc] > step + 1)
             if not live.any():
                 break
         belief = own.copy()

@@ -1,5 +1,6 @@
 import random
 import re
+import types
 
 import numpy as np
 import pytest
@@ -161,3 +162,21 @@ def test_added_spans_of_altered_mentions():
             hidden, found = hidden + 1, found + bool(good)
     print(f"precision {right / (right + wrong):.3f}, recall {found / hidden:.3f} of {hidden}")
     assert right / (right + wrong) >= 0.9 and found / hidden >= 0.5
+
+
+def test_messages_travel_along_all_repeats():
+    """Eighty repeats that hang together as a path alone: the last one is as sure as the first, so no round was missing."""
+    graph = types.SimpleNamespace(n=81, doc=[0] * 81, base=np.array([1] + [0] * 80), chain=np.zeros((0, 2), int), skip=np.array([(i, i + 1) for i in range(80)]))
+    k = len(P.LABELS)
+    model = P.SkipChainCrf.__new__(P.SkipChainCrf)
+    model.w, model.chain, model.skip = np.zeros((1, k)), np.zeros((k, k)), np.eye(k) * 12
+    model.inputs = lambda graph: np.ones((graph.n, 1))
+    p = model.marginals(graph)
+    assert p.argmax(axis=1).tolist() == [1] * 81 and p[-1, 1] > 0.99
+
+
+def test_a_token_behind_many_short_hits_keeps_its_base():
+    text = b",".join(b"a%d@b.cc" % i for i in range(30)) + b" x 4111111111111111"
+    spans = P.base_spans(text)
+    graph = P.Graph([text], [spans])
+    assert graph.base[-1] == P.LABELS.index("card")
