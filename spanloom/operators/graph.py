@@ -1,7 +1,7 @@
 """Concept graphs as node and edge tables: neighbours, closures, neighbourhoods, shortest paths by frontiers.
 
-Edges have src, dst, type and optionally group. Frontier loops carry (start, node) pairs, so that many starts run at once;
-each round anti-joins what is known and is cut off by checkpoint() in the shared folder.
+Edges have src, dst, type and optionally group. Loops carry (start, node) pairs, so that many starts run at once; each round is
+cut off by checkpoint() in the shared folder. No loop has a bound but that nothing new is found.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from .shared import cut_lineage
 
 # Type of Is-A, the root concept, fully specified names and synonyms.
 IS_A, ROOT, FSN, SYNONYM = 116680003, 138875005, 900000000000003001, 900000000000013009
-MAX_DEPTH = 10_000
+#: Hops that are taken one by one before jumps double.
+FRONTIER = 8
 
 
 def from_tables(descriptions: DataFrame, relationships: DataFrame, collapse: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -60,18 +61,41 @@ def concept_details(nodes: DataFrame, edges: DataFrame, ids: DataFrame, is_a=IS_
 
 def reachable(steps: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
     """start, node, hops: what can be reached from each start along (src, dst), with the fewest hops; a start isn't its own
-    result, even on a cycle. depth bounds the hops and must be positive."""
+    result, even on a cycle. depth bounds the hops and must be positive; without it everything reachable is found.
+
+    Up to FRONTIER hops go one by one. What lies farther is found by jumps that double: after n rounds of them a jump covers
+    up to 2 ** n hops, so a chain of h hops takes about log2(h) rounds.
+    """
     if depth is not None and depth <= 0:
         raise ValueError("steps must be positive")
     seen = cut_lineage(starts.select(F.col("node").alias("start"), "node").distinct().withColumn("hops", F.lit(0)))
     front = seen
-    for hop in range(1, (depth or MAX_DEPTH) + 1):
+    for hop in range(1, (depth or FRONTIER) + 1):
         ahead = front.join(steps.withColumnRenamed("src", "node"), "node").select("start", F.col("dst").alias("node")).distinct()
         front = cut_lineage(ahead.join(seen, ["start", "node"], "left_anti").withColumn("hops", F.lit(hop)))
         if front.isEmpty():
-            break
+            return seen.where("hops > 0")
         seen = cut_lineage(seen.unionByName(front))
-    return seen.where("hops > 0")
+    return (seen if depth else _doubled(steps, seen)).where("hops > 0")
+
+
+def _fewest(rows: DataFrame, *keys: str) -> DataFrame:
+    return cut_lineage(rows.groupBy(*keys).agg(F.min("hops").alias("hops")))
+
+
+def _doubled(steps: DataFrame, seen: DataFrame) -> DataFrame:
+    """seen (start, node, hops), complete up to some hops, with all that jumps of doubling length reach from it.
+
+    A round without a new pair ends it: jumps cover every number of hops up to theirs, so nothing lies beyond either."""
+    jumps, pairs = cut_lineage(steps.select("src", "dst").distinct().withColumn("hops", F.lit(1))), seen.count()
+    while True:
+        far = seen.join(jumps.select(F.col("src").alias("node"), "dst", F.col("hops").alias("more")), "node")
+        seen = _fewest(seen.unionByName(far.select("start", F.col("dst").alias("node"), (F.col("hops") + F.col("more")).alias("hops"))), "start", "node")
+        before, pairs = pairs, seen.count()
+        if pairs == before:
+            return seen
+        twice = jumps.join(jumps.select(F.col("src").alias("dst"), F.col("dst").alias("goal"), F.col("hops").alias("more")), "dst")
+        jumps = _fewest(jumps.unionByName(twice.select("src", F.col("goal").alias("dst"), (F.col("hops") + F.col("more")).alias("hops"))), "src", "dst")
 
 
 def descendants(edges: DataFrame, starts: DataFrame, depth: int | None = None, is_a=IS_A) -> DataFrame:
@@ -95,7 +119,7 @@ def shortest_path(edges: DataFrame, start, goal) -> DataFrame:
     steps = edges.select("src", "dst").distinct()
     for a, b in ((start, goal), (goal, start)):
         front = seen = cut_lineage(spark.range(1).select(F.lit(a).cast("bigint").alias("node"), F.array(F.lit(a).cast("bigint")).alias("path")))
-        for _ in range(MAX_DEPTH):
+        while True:
             found = front.where(F.col("node") == b).select("path")
             if not found.isEmpty():
                 return found
