@@ -12,6 +12,7 @@ from .operators import evaluate as E
 from .operators import sections as H
 from .operators import spans as S
 from .operators import training as R
+from .operators.shared import cut_lineage
 from .sources import files
 
 KEYS = "section string, mention string, concept_id bigint"
@@ -62,6 +63,28 @@ def predict(spark: SparkSession, notes: str, dictionaries: str, out: str, abbrev
     files.write_csv(S.submission_view(found), out)
 
 
+def holdout(spark: SparkSession, notes: str, gold: str, dictionary: str, linker: str, static: str, out: str) -> str:
+    """Both pairs of the comparison study: the dictionary against the linker, and against what the linker finds beyond the
+    static vocabulary. gold, dictionary, linker: span files of the held-out notes; static: term, concept_id.
+
+    Writes, for each pair, the alignments with regime and queue flag, the regime table, the metrics and the review queue's,
+    and a Markdown report of both; returns the report.
+    """
+    texts = files.read_notes(spark, notes)
+    held = [cut_lineage(S.with_order(S.submission_view(spans(spark, p)), "start", "end", "concept_id")) for p in (gold, dictionary, linker)]
+    vocabulary = files.read_csv(spark, static, "term string, concept_id bigint")
+    residual = S.with_order(S.neural_residual(held[2], texts, vocabulary), "start", "end", "concept_id")
+    report = []
+    for name, title, second in (("a", "Dictionary and linker", held[2]), ("b", "Dictionary and residual", cut_lineage(residual))):
+        metrics, aligned, table = E.compare(held[0], held[1], second)
+        rows = spark.createDataFrame(list(metrics.items()), "metric string, value double")
+        for part, df in (("aligned", E.add_queue_flag(aligned)), ("regimes", table), ("metrics", rows), ("queue", E.queue_metrics(aligned))):
+            files.write_csv(df, f"{out}/{name}/{part}")
+        report.append(E.study_report(title, metrics, table))
+    files.write_report("\n".join(report), f"{out}/report", spark)
+    return "\n".join(report)
+
+
 def main(arguments: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="spanloom")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -70,6 +93,7 @@ def main(arguments: list[str] | None = None) -> None:
         "review-queue": (("aligned", "out"), ()),
         "train": (("notes", "annotations", "out", "names", "types"), ()),
         "predict": (("notes", "dictionaries", "out"), ("abbreviations", "extensions")),
+        "holdout": (("notes", "gold", "dictionary", "linker", "static", "out"), ()),
     }
     for name, (needed, optional) in options.items():
         command = commands.add_parser(name)
@@ -80,7 +104,7 @@ def main(arguments: list[str] | None = None) -> None:
         if name in ("train", "predict"):
             command.add_argument("--max-n", type=int, default=5)
     given = vars(parser.parse_args(arguments))
-    run = {"score": score, "review-queue": review_queue, "train": train, "predict": predict}[given.pop("command")]
+    run = {"score": score, "review-queue": review_queue, "train": train, "predict": predict, "holdout": holdout}[given.pop("command")]
     result = run(SparkSession.builder.appName("spanloom").getOrCreate(), **given)
     if isinstance(result, dict):
         print("\n".join(f"{k}: {v:.4f}" for k, v in result.items()))

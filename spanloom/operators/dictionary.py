@@ -118,7 +118,11 @@ def section_counts(annotations: DataFrame, notes: DataFrame, blacklist: DataFram
 
 def section_dictionary(annotations: DataFrame, notes: DataFrame, min_count: int = 1, blacklist: DataFrame | None = None) -> DataFrame:
     """section, mention, concept_id by majority; rare keys go, and any-section keys whose majority holds less than half."""
-    top = majority(section_counts(annotations, notes, blacklist), ["section", "mention"])
+    return kept_majorities(majority(section_counts(annotations, notes, blacklist), ["section", "mention"]), min_count)
+
+
+def kept_majorities(top: DataFrame, min_count: int = 1) -> DataFrame:
+    """section, mention, concept_id of majority() that are frequent enough; any-section keys need half of their annotations."""
     return top.where((F.col("total") >= min_count) & ((F.col("section") != ANY) | (F.col("n") / F.col("total") >= 0.5))).select("section", "mention", "concept_id")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import spans as S
-from .shared import running_sum
+from .shared import cut_lineage, running_sum
 
 # Regimes in their order, and those that go to review.
 REGIMES = ("ACCORD", "CONFLIT", "D_SEUL", "S_SEUL", "AUCUN")
@@ -74,6 +74,12 @@ def pair_metrics(gold: DataFrame, d_pred: DataFrame, s_pred: DataFrame) -> dict[
     return {"recall_d": r[0], "recall_s": r[1], "recall_oracle": r[2], "miou_d": m[0], "miou_s": m[1], "miou_oracle": m[2], "delta_recall": complementarity_delta(*r), "delta_miou": complementarity_delta(*m)}
 
 
+def compare(gold: DataFrame, d_pred: DataFrame, s_pred: DataFrame) -> tuple[dict[str, float], DataFrame, DataFrame]:
+    """Metrics of a pair of systems, their alignments with regimes (written once), and the regime table."""
+    aligned = cut_lineage(add_regimes(attach_hits(gold, d_pred, s_pred)))
+    return pair_metrics(gold, d_pred, s_pred), aligned, regime_table(aligned)
+
+
 # --- regimes and review queue ----------------------------------------------------------------------------------------
 def add_regimes(aligned: DataFrame) -> DataFrame:
     d, s = F.col("d_concept_id"), F.col("s_concept_id")

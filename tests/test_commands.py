@@ -46,3 +46,20 @@ def test_train_and_predict(spark, tmp_path):
     M.main(["predict", "--notes", fresh_notes, "--dictionaries", str(tmp_path / "d"), "--out", str(tmp_path / "p")])
     got = sorted(tuple(map(int, r[1:])) for r in spark.read.csv(str(tmp_path / "p"), header=True).collect())
     assert got == [(fresh.index("knee"), fresh.index("knee") + 9, 2), (fresh.index("chest"), len(fresh) - 1, 1)]
+
+
+def test_holdout(spark, tmp_path):
+    header = ["note_id", "start", "end", "concept_id"]
+    text = "chest pain with cough and fever"
+    notes = write(tmp_path / "n.csv", ["note_id", "text"], [("a", text)])
+    at = lambda m, c: ("a", text.index(m), text.index(m) + len(m), c)
+    gold = write(tmp_path / "g.csv", header, [at("chest pain", 1), at("cough", 2), at("fever", 3)])
+    d = write(tmp_path / "d.csv", header, [at("chest pain", 1), at("cough", 9)])
+    s = write(tmp_path / "s.csv", header, [at("cough", 2), at("fever", 3)])
+    static = write(tmp_path / "t.csv", ["term", "concept_id"], [("fever", 3)])
+    report = M.holdout(spark, notes, gold, d, s, static, str(tmp_path / "out"))
+    # the residual lacks fever, which the static vocabulary knows
+    assert report.count("| recall_oracle | 1.0000 |") == 1 and report.count("| recall_oracle | 0.6667 |") == 1
+    assert "| CONFLIT | 1 | 33.3 | 0.000 |" in report and "| AUCUN | 1 | 33.3 | 1.000 |" in report
+    rows = {r.metric: float(r.value) for r in spark.read.csv(str(tmp_path / "out/b/metrics"), header=True).collect()}
+    assert rows["recall_d"] == rows["recall_s"] and abs(rows["delta_recall"] - 1 / 3) < 1e-9
