@@ -148,7 +148,8 @@ def synonym_dictionary(synonyms: DataFrame, names: DataFrame, min_words: int = 2
     both = synonyms.select("concept_id", "concept_name", F.lit(0).alias("part"), "ord").unionByName(names.select("concept_id", "concept_name", F.lit(1).alias("part"), "ord"))
     low = F.col("concept_name")
     fine = (F.length(low) >= 3) & ~F.contains(low, F.lit("machine translation")) & ~(F.contains(low, F.lit("]")) & (F.locate("[", low) > 6))
-    m = both.where(fine).withColumn("mention", T.process_term("concept_name")).withColumn("n", F.size(F.split("mention", r"\s+")))
+    # a generator keeps the name's long expression from being repeated in each condition
+    m = both.where(fine).withColumn("mention", F.explode(F.array(T.process_term("concept_name")))).withColumn("n", F.size(F.split("mention", r"\s+")))
     m = m.where(F.col("n").between(min_words, max_words) & F.substring("mention", 1, 1).rlike(r"[\p{L}\p{N}]") & (F.length("mention") > 1))
     return m.groupBy("mention").agg(F.max_by("concept_id", F.struct("part", "ord")).alias("concept_id")).select(F.lit("any").alias("section"), "mention", "concept_id")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import corpus as C
-from ..operators.shared import shared_path
+from ..operators.shared import cut_lineage, shared_path
 from ..sources import files as S
 from . import inputs as I
 from .registry import query
@@ -60,22 +60,16 @@ def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.cross_validation(I.table(spark, sf_dir, "benchmark"), "item_id", 5).groupBy("fold").agg(F.count("*").alias("n"))
 
 
-def _stored(spark: SparkSession, write, name: str) -> str:
-    """A folder of the shared one that `write` has filled, named for this query run."""
-    path = f"{shared_path(spark)}/round-trip-{uuid.uuid4().hex}/{name}"
-    write(path)
-    return path
-
-
 @query("file_round_trips", """WITH s AS (SELECT l_orderkey::VARCHAR AS note_id, l_linenumber::INT AS s, (l_linenumber + 5)::INT AS e, l_partkey AS c FROM lineitem)
 SELECT 'spans' AS format, count(*) AS n, sum(c)::BIGINT AS total FROM s UNION ALL SELECT 'notes', count(*), sum(length(text))::BIGINT FROM documents UNION ALL SELECT 'lines', count(*), sum(length(replace(replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(9), ' '), '\\n', chr(10))))::BIGINT FROM documents
 UNION ALL SELECT 'json', count(*), sum(p_partkey)::BIGINT FROM part UNION ALL SELECT 'embeddings', count(*), sum(label)::BIGINT FROM embeddings UNION ALL SELECT 'graph', count(*), sum(s_nationkey)::BIGINT FROM supplier UNION ALL SELECT 'parts', count(*), sum(n_nationkey)::BIGINT FROM nation
 UNION ALL SELECT 'rf2', count(*), sum(p_partkey)::BIGINT FROM part WHERE p_partkey % 5 <> 0 UNION ALL SELECT 'omop', count(*), sum(p_partkey)::BIGINT FROM part""")
 def file_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each format written, read back, and summed up; one row a format."""
+    """Each format written, read back, and summed up; one row a format. The files go at the end."""
+    root = f"{shared_path(spark)}/round-trip-{uuid.uuid4().hex}"
     table = lambda name: I.table(spark, sf_dir, name)
     total = lambda df, name, value: df.agg(F.count("*").alias("n"), F.sum(value).cast("bigint").alias("total")).select(F.lit(name).alias("format"), "n", "total")
-    place = lambda write, name: _stored(spark, write, name)
+    place = lambda write, name: write(f"{root}/{name}") or f"{root}/{name}"
     spans = table("lineitem").select(F.col("l_orderkey").cast("string").alias("note_id"), F.col("l_linenumber").cast("int").alias("start"), (F.col("l_linenumber") + 5).cast("int").alias("end"), F.col("l_partkey").alias("concept_id"))
     notes = I.notes(spark, sf_dir).select("note_id", "text")
     synonyms = table("part").select(F.col("p_partkey").alias("sctid"), F.array("p_name", "p_brand").alias("synonyms"))
@@ -95,4 +89,6 @@ def file_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
         total(S.read_rf2(spark, place(tabbed(rf2), "rf2"), S.CONCEPT), "rf2", "id"),
         total(S.read_omop(spark, place(tabbed(omop), "omop"), S.OMOP_CONCEPT, ["concept_id"]), "omop", "concept_id"),
     ]
-    return functools.reduce(DataFrame.unionByName, read)
+    found = cut_lineage(functools.reduce(DataFrame.unionByName, read))
+    S.remove(spark, root)
+    return found

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = ("matching", "comparison", "sectioned", "runs", "modelled", "studies", "terms", "graphs", "linking", "corpora")
+_MODULES = ("matching", "comparison", "sectioned", "runs", "modelled", "studies", "details", "terms", "graphs", "linking", "corpora")
 
 
 def query(name: str, sql: str | None = None):

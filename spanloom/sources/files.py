@@ -117,6 +117,48 @@ def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], force
     return spark.read.parquet(path)
 
 
+def _place(spark: SparkSession, path: str):
+    """A path and its file system, whatever Spark knows."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def first_existing(spark: SparkSession, paths: list[str]) -> str:
+    """The first of the paths that exists; none of them is an error."""
+    for path in paths:
+        place, files = _place(spark, path)
+        if files.exists(place):
+            return path
+    raise FileNotFoundError(f"none of {paths}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place, files = _place(spark, path)
+    files.delete(place, True)
+
+
+def rewrite_oneline(spark: SparkSession, folder: str, schemas: dict[str, str]) -> None:
+    """CSV folders below `folder`, by name with their schemas, rewritten with each row on one line. The new files are written
+    beside the old ones and take their name when they are whole."""
+    for name, schema in schemas.items():
+        write_csv_oneline(read_csv(spark, f"{folder}/{name}", schema), f"{folder}/{name}.new")
+        remove(spark, f"{folder}/{name}")
+        place, files = _place(spark, f"{folder}/{name}.new")
+        files.rename(place, _place(spark, f"{folder}/{name}")[0])
+
+
+def checkpoints(spark: SparkSession, root: str, kind: str | None = None) -> list[str]:
+    """Folders of stored models below root, by name: those with `kind` in their name, all where no name has it; without a
+    kind those of no other kind (mixup). None is an error."""
+    place, files = _place(spark, root)
+    found = sorted(x.getPath().toString() for x in files.listStatus(place) if x.isDirectory())
+    has = lambda path, word: word in path.rsplit("/", 1)[-1].lower()
+    chosen = [p for p in found if has(p, kind.lower())] or found if kind else [p for p in found if not has(p, "mixup")]
+    if not chosen:
+        raise FileNotFoundError(f"no model of kind {kind or 'baseline'} below {root}")
+    return chosen
+
+
 def write_report(text: str, path: str, spark: SparkSession) -> None:
     """A Markdown report as one text file in a folder."""
     spark.createDataFrame([(text.rstrip("\n"),)], "value string").coalesce(1).write.mode("overwrite").text(path)
