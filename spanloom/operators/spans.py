@@ -174,8 +174,13 @@ def first_overlaps(df: DataFrame) -> DataFrame:
 
 
 def with_surface(spans: DataFrame, notes: DataFrame, name: str = "surface") -> DataFrame:
-    """Add text[start:end] of each span; null for a null text. A note's text meets all its spans at once, in an Arrow kernel,
-    so that it is neither shuffled nor searched from its start for each of them."""
+    """Add text[start:end] of each span; null for a null text. Spans that carry the column already keep it.
+
+    A note's text meets all its spans at once, in an Arrow kernel, so it isn't searched from its start for each of them. The
+    join by note shuffles the texts unless the planner broadcasts the spans or the notes are bucketed by note_id; spans
+    that are made of tokens should carry their surface instead (tokens.token_table(pairs=True))."""
+    if name in spans.columns:
+        return spans
     rest = [c for c in spans.columns if c != "note_id"]
     grouped = spans.groupBy("note_id").agg(F.collect_list(F.struct(*rest)).alias("__spans"))
     joined = grouped.join(notes.select("note_id", F.col("text").alias("__text")), "note_id").select("note_id", "__text", "__spans")

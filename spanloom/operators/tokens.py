@@ -32,8 +32,18 @@ def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         start = end
 
 
-def _scan(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """Row, start, end and string of each token of lower-cased texts."""
+def _pairs(flat: np.ndarray, row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The text from each token to the end of the row's next one; null for a row's last token."""
+    last = np.append(row[1:] != row[:-1], True)[: len(row)]
+    size = np.where(last, 0, np.append(end[1:], 0)[: len(row)] - begin)
+    bound = np.append(0, np.cumsum(size))
+    at = np.arange(bound[-1]) + np.repeat(begin - bound[:-1], size)
+    valid = pa.array(~last).buffers()[1]
+    return pa.LargeStringArray.from_buffers(len(row), pa.py_buffer(bound), pa.py_buffer(flat[at].tobytes()), valid).cast(pa.string())
+
+
+def _scan(texts: pa.Array, pairs: bool = False) -> tuple:
+    """Row, start, end and string of each token of lower-cased texts; with `pairs` also what _pairs() gives."""
     texts = pa.concat_arrays([pc.fill_null(texts, "").cast(pa.large_string())])
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
@@ -49,14 +59,15 @@ def _scan(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array
     if len(begin):
         bound = np.append(0, np.cumsum(end - begin)).astype(np.int32)
         strings = pa.StringArray.from_buffers(len(begin), pa.py_buffer(bound), pa.py_buffer(flat[word].tobytes()))
+    more = (_pairs(flat, row, begin, end),) if pairs else ()
     if len(flat) and flat.max() >= 128:
         place = np.append(0, np.cumsum((flat & 0xC0) != 0x80))
         first = place[offsets[row]]
-        return row, (place[begin] - first).astype(np.int32), (place[end] - first).astype(np.int32), strings
-    return row, (begin - offsets[row]).astype(np.int32), (end - offsets[row]).astype(np.int32), strings
+        return row, (place[begin] - first).astype(np.int32), (place[end] - first).astype(np.int32), strings, *more
+    return row, (begin - offsets[row]).astype(np.int32), (end - offsets[row]).astype(np.int32), strings, *more
 
 
-def _map(notes: DataFrame, keep: tuple[str, ...], more: list[tuple[str, T.DataType]], kernel) -> DataFrame:
+def _map(notes: DataFrame, keep: tuple[str, ...], more: list[tuple[str, T.DataType]], kernel, pairs: bool = False) -> DataFrame:
     """note_id and `keep` of a token's row before the columns that kernel(row, start, end, strings) gives in runs."""
     chosen = notes.select("note_id", *keep, F.lower("text").alias("text"))
     given = chosen.schema.fields[:-1]
@@ -65,25 +76,27 @@ def _map(notes: DataFrame, keep: tuple[str, ...], more: list[tuple[str, T.DataTy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _pieces(whole, len(given)):
-                for row, columns in kernel(*_scan(batch.column(len(given)))):
+                for row, columns in kernel(*_scan(batch.column(len(given)), pairs)):
                     of = [batch.column(i).take(pa.array(row)) for i in range(len(given))]
                     yield pa.RecordBatch.from_arrays([*of, *columns], names=out.names)
 
     return chosen.mapInArrow(run, out)
 
 
-def token_table(notes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def token_table(notes: DataFrame, keep: tuple[str, ...] = (), pairs: bool = False) -> DataFrame:
     """note_id, the columns of `keep`, ord (from 0), tok, start, end of each token, and next_end: the end of the note's next
-    token, null behind the last one."""
+    token, null behind the last one. With `pairs` also `pair`, the lower-cased text up to there: spans made of tokens have
+    their surface from the pass that finds them, and need no text again."""
 
-    def kernel(row, start, end, strings):
+    def kernel(row, start, end, strings, *more):
         order = np.arange(len(row)) - np.searchsorted(row, row)
         last = np.append(row[1:] != row[:-1], True)[: len(row)]
         following = pa.array(np.append(end[1:], 0)[: len(row)].astype(np.int32), mask=last)
-        yield row, [pa.array(order.astype(np.int32)), strings, pa.array(start), pa.array(end), following]
+        yield row, [pa.array(order.astype(np.int32)), strings, pa.array(start), pa.array(end), following, *more]
 
     integer = T.IntegerType()
-    return _map(notes, keep, [("ord", integer), ("tok", T.StringType()), ("start", integer), ("end", integer), ("next_end", integer)], kernel)
+    columns = [("ord", integer), ("tok", T.StringType()), ("start", integer), ("end", integer), ("next_end", integer)]
+    return _map(notes, keep, columns + [("pair", T.StringType())] * pairs, kernel, pairs)
 
 
 def ngram_table(notes: DataFrame, max_n: int, lengths: list[int] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:

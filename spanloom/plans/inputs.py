@@ -34,25 +34,27 @@ def train_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes(spark, sf_dir).where("doc_id % 5 <> 0")
 
 
-def gold(spark: SparkSession, sf_dir: str, which: str = "true") -> DataFrame:
-    """note_id, start, end, concept_id, ord, seen, doc_id; made in the row, without a shuffle but for ord."""
-    flat = token_table(notes(spark, sf_dir).where(which), ("doc_id",))
+def gold(spark: SparkSession, sf_dir: str, which: str = "true", named: bool = False) -> DataFrame:
+    """note_id, start, end, concept_id, ord, seen, doc_id; made in the row, without a shuffle but for ord. named: also
+    `surface`, the span's lower-cased text, from the same pass."""
+    flat = token_table(notes(spark, sf_dir).where(which), ("doc_id",), named)
     at = F.col("doc_id") + F.col("ord")
     length = F.length("tok")
-    first = F.struct("start", "end", (length * 10 + F.col("doc_id") % 3).cast("bigint").alias("concept_id"))
-    both = F.struct("start", F.col("next_end").alias("end"), (5000 + F.col("doc_id") % 5).cast("bigint").alias("concept_id"))
+    first = F.struct("start", "end", (length * 10 + F.col("doc_id") % 3).cast("bigint").alias("concept_id"), *([F.col("tok").alias("surface")] * named))
+    both = F.struct("start", F.col("next_end").alias("end"), (5000 + F.col("doc_id") % 5).cast("bigint").alias("concept_id"), *([F.col("pair").alias("surface")] * named))
     one = F.when((length >= 6) & (at % 4 == 0), first)
     two = F.when((at % 9 == 0) & F.col("next_end").isNotNull(), both)
     spans = flat.select("note_id", "doc_id", F.explode(F.array_compact(F.array(one, two))).alias("s")).select("note_id", "doc_id", "s.*")
     return S.with_order(spans, "start", "end", "concept_id").withColumn("seen", F.col("doc_id") * 1000000 + F.col("ord"))
 
 
-def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.most_common_concept(gold(spark, sf_dir, "doc_id % 5 <> 0"), train_notes(spark, sf_dir))
+def lexicon(spark: SparkSession, sf_dir: str, train: DataFrame | None = None) -> DataFrame:
+    """train: gold() of the training notes with names, where the caller has it."""
+    return D.most_common_concept(train if train is not None else gold(spark, sf_dir, "doc_id % 5 <> 0", named=True), train_notes(spark, sf_dir))
 
 
-def system_d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = D.predict_with_dictionary(test_notes(spark, sf_dir), lexicon(spark, sf_dir), 2)
+def system_d(spark: SparkSession, sf_dir: str, train: DataFrame | None = None) -> DataFrame:
+    found = D.predict_with_dictionary(test_notes(spark, sf_dir), lexicon(spark, sf_dir, train), 2)
     return found.select("note_id", "start", "end", "concept_id", "term", "ord")
 
 
