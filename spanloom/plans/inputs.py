@@ -93,8 +93,14 @@ _T = {
     "test_gold": "SELECT * FROM gold WHERE doc_id % 5 = 0",
     "snotes": "SELECT conv_id::VARCHAR AS note_id, conv_id, string_agg(coalesce(role, '') || ':' || chr(10) || chr(10) || coalesce(text, '') || chr(10), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
 }
+def bucketed(table: str, columns: str = "*") -> str:
+    """A subquery of `table` with a row for each bucket of 64 positions that its span (s, e) lies in. Spans that overlap meet in the
+    bucket where the later of both begins, so a join on (note_id, b) finds each pair once and never pairs whole notes."""
+    return f"(SELECT {columns}, unnest(range(s // 64, (e - 1) // 64 + 1)) AS b FROM {table} WHERE s < e)"
+
+
 for _sys in ("d", "s"):
-    _T[f"pairs_{_sys}"] = f"SELECT g.note_id, g.ord, p.s AS ps, p.e AS pe, p.c AS pc, p.ord AS po, greatest(0, least(g.e, p.e) - greatest(g.s, p.s))::DOUBLE / ((g.e - g.s) + (p.e - p.s) - greatest(0, least(g.e, p.e) - greatest(g.s, p.s))) AS iou FROM test_gold g JOIN system_{_sys} p ON g.note_id = p.note_id AND greatest(g.s, p.s) < least(g.e, p.e)"
+    _T[f"pairs_{_sys}"] = f"SELECT g.note_id, g.ord, p.s AS ps, p.e AS pe, p.c AS pc, p.ord AS po, greatest(0, least(g.e, p.e) - greatest(g.s, p.s))::DOUBLE / ((g.e - g.s) + (p.e - p.s) - greatest(0, least(g.e, p.e) - greatest(g.s, p.s))) AS iou FROM {bucketed('test_gold')} g JOIN {bucketed(f'system_{_sys}')} p ON g.note_id = p.note_id AND g.b = p.b AND g.b = greatest(g.s, p.s) // 64 AND greatest(g.s, p.s) < least(g.e, p.e)"
     _T[f"best_{_sys}"] = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY note_id, ord ORDER BY iou DESC, po) AS r FROM pairs_{_sys} WHERE iou >= 0.5) WHERE r = 1"
 _T["aligned"] = "SELECT g.note_id, g.ord, g.s AS gs, g.e AS ge, g.c AS gc, d.ps AS ds, d.pe AS de, d.pc AS dc, coalesce(d.iou, 0) AS di, s.ps AS ss, s.pe AS se, s.pc AS sc, coalesce(s.iou, 0) AS si, coalesce(d.pc = g.c, false) AS dh, coalesce(s.pc = g.c, false) AS sh FROM test_gold g LEFT JOIN best_d d USING (note_id, ord) LEFT JOIN best_s s USING (note_id, ord)"
 _T["regimes"] = "SELECT *, dh OR sh AS oh, CASE WHEN dc IS NOT NULL AND sc IS NOT NULL THEN CASE WHEN dc = sc THEN 'ACCORD' ELSE 'CONFLIT' END WHEN dc IS NOT NULL THEN 'D_SEUL' WHEN sc IS NOT NULL THEN 'S_SEUL' ELSE 'AUCUN' END AS regime FROM aligned"

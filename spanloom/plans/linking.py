@@ -50,7 +50,7 @@ def choose_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.withColumn("score", F.round("score", 6))
 
 
-@query("bio_encode", I.sql("gold", """, p AS (SELECT t.note_id, t.ord, g.ord AS g, t.ord = min(t.ord) OVER (PARTITION BY t.note_id, g.ord) AS first, CASE WHEN g.c % 2 = 0 THEN 'find' ELSE 'proc' END AS cls FROM tokens t JOIN gold g ON g.note_id = t.note_id AND greatest(t.s, g.s) < least(t.e, g.e)),
+@query("bio_encode", I.sql("gold", """, p AS (SELECT t.note_id, t.ord, g.ord AS g, t.ord = min(t.ord) OVER (PARTITION BY t.note_id, g.ord) AS first, CASE WHEN g.c % 2 = 0 THEN 'find' ELSE 'proc' END AS cls FROM """ + I.bucketed("tokens") + """ t JOIN """ + I.bucketed("gold") + """ g ON g.note_id = t.note_id AND g.b = t.b AND g.b = greatest(g.s, t.s) // 64 AND greatest(t.s, g.s) < least(t.e, g.e)),
 q AS (SELECT note_id, ord, arg_max(CASE WHEN first THEN 'B-' ELSE 'I-' END || cls, g) AS tag FROM p GROUP BY note_id, ord)
 SELECT note_id, ord, coalesce(tag, 'O') AS tag FROM tokens LEFT JOIN q USING (note_id, ord)"""))
 def bio_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def _tagged(spark, sf_dir):
     return N.bio_encode(D.token_table(I.notes(spark, sf_dir)), g)
 
 
-_TAGS = """, p AS (SELECT t.note_id, t.ord, g.ord AS g, t.ord = min(t.ord) OVER (PARTITION BY t.note_id, g.ord) AS first, CASE WHEN g.c % 2 = 0 THEN 'find' ELSE 'proc' END AS cls FROM tokens t JOIN gold g ON g.note_id = t.note_id AND greatest(t.s, g.s) < least(t.e, g.e)),
+_TAGS = """, p AS (SELECT t.note_id, t.ord, g.ord AS g, t.ord = min(t.ord) OVER (PARTITION BY t.note_id, g.ord) AS first, CASE WHEN g.c % 2 = 0 THEN 'find' ELSE 'proc' END AS cls FROM """ + I.bucketed("tokens") + """ t JOIN """ + I.bucketed("gold") + """ g ON g.note_id = t.note_id AND g.b = t.b AND g.b = greatest(g.s, t.s) // 64 AND greatest(t.s, g.s) < least(t.e, g.e)),
 q AS (SELECT note_id, ord, arg_max(CASE WHEN first THEN 'B-' ELSE 'I-' END || cls, g) AS tag FROM p GROUP BY note_id, ord),
 tags AS (SELECT t.note_id, t.ord, t.s, t.e, coalesce(tag, 'O') AS tag, CASE WHEN tag IS NULL THEN 'O' ELSE substring(tag, 3) END AS cls FROM tokens t LEFT JOIN q USING (note_id, ord))
 """
