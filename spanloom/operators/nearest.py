@@ -54,7 +54,7 @@ def _distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def _valid(df: DataFrame, columns: list) -> DataFrame:
-    """Rows with a vector free of nulls, NaN and infinities; `c` is the class as a hash, so that any type will do."""
+    """Rows with a vector free of nulls, NaN and infinities; `kind` is the class as a hash, so that any type will do."""
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     rows = df.select(*columns, F.col("embedding").cast("array<double>").alias("v"))
     return rows.where(F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", fine))
@@ -79,10 +79,13 @@ def _meet(k: int):
     def meet(queries: pd.DataFrame, concepts: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or concepts.empty:
             return pd.DataFrame({"query_id": [], "label": [], "score": []})
-        concepts = concepts.sort_values("label")
-        labels, scores = concepts["label"].to_numpy(), _unpacked(queries["v"]) @ _unpacked(concepts["v"]).T
-        row, col = best_of(scores, labels, k)
-        return pd.DataFrame({"query_id": queries["query_id"].to_numpy()[row], "label": labels[col], "score": scores[row, col]})
+        parts, of = [], dict(list(concepts.sort_values("label").groupby("kind")))
+        for kind, asked in queries.groupby("kind"):
+            if kind in of:
+                labels, scores = of[kind]["label"].to_numpy(), _unpacked(asked["v"]) @ _unpacked(of[kind]["v"]).T
+                row, col = best_of(scores, labels, k)
+                parts.append(pd.DataFrame({"query_id": asked["query_id"].to_numpy()[row], "label": labels[col], "score": scores[row, col]}))
+        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "label": [], "score": []})
 
     return meet
 
@@ -107,7 +110,7 @@ class _Cells:
 
 
 def _assigned(concepts: DataFrame, pivots: np.ndarray, dim: int) -> DataFrame:
-    """c, cell, label, v (packed), far: each concept in the cell of its nearest pivot."""
+    """c, cell, kind, label, v (packed), far: each concept in the cell of its nearest pivot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,14 +118,14 @@ def _assigned(concepts: DataFrame, pivots: np.ndarray, dim: int) -> DataFrame:
             for at in range(0, len(vectors), BLOCK):
                 far = _distances(vectors[at : at + BLOCK], pivots)
                 cell, part = far.argmin(axis=1), batch.slice(at, BLOCK)
-                columns = [part.column("c"), pa.array(cell.astype(np.int32)), part.column("label"), _packed(vectors[at : at + BLOCK]), pa.array(far.min(axis=1))]
-                yield pa.RecordBatch.from_arrays(columns, names=["c", "cell", "label", "v", "far"])
+                columns = [part.column("c"), pa.array(cell.astype(np.int32)), part.column("kind"), part.column("label"), _packed(vectors[at : at + BLOCK]), pa.array(far.min(axis=1))]
+                yield pa.RecordBatch.from_arrays(columns, names=["c", "cell", "kind", "label", "v", "far"])
 
-    return concepts.where(F.size("v") == dim).mapInArrow(run, "c long, cell int, label long, v binary, far double")
+    return concepts.where(F.size("v") == dim).mapInArrow(run, "c long, cell int, kind long, label long, v binary, far double")
 
 
 def _pairs(queries: DataFrame, cells, k: int, dim: int, later: bool) -> DataFrame:
-    """query_id, c, cell, v: the cells that a query meets first, or with its bound `reach` those it has to meet later."""
+    """query_id, kind, c, cell, v: the cells that a query meets first, or with its bound `reach` those it has to meet later."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: _Cells = cells.value
@@ -139,10 +142,10 @@ def _pairs(queries: DataFrame, cells, k: int, dim: int, later: bool) -> DataFram
                         least = np.maximum(np.maximum(far - rows["farthest"].to_numpy(), rows["nearest"].to_numpy() - far), 0)
                         take = ~take & (least <= reach[at][:, None] + SLACK)
                     row, col = np.nonzero(take)
-                    columns = [ids.take(pa.array(at[row])), pa.array(np.full(len(row), c)), pa.array(rows["cell"].to_numpy()[col].astype(np.int32)), _packed(vectors[at[row]])]
-                    yield pa.RecordBatch.from_arrays(columns, names=["query_id", "c", "cell", "v"])
+                    columns = [ids.take(pa.array(at[row])), batch.column("kind").take(pa.array(at[row])), pa.array(np.full(len(row), c)), pa.array(rows["cell"].to_numpy()[col].astype(np.int32)), _packed(vectors[at[row]])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["query_id", "kind", "c", "cell", "v"])
 
-    return queries.where(F.size("v") == dim).mapInArrow(run, "query_id long, c long, cell int, v binary")
+    return queries.where(F.size("v") == dim).mapInArrow(run, "query_id long, kind long, c long, cell int, v binary")
 
 
 def _matched(pairs: DataFrame, index: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
@@ -150,8 +153,8 @@ def _matched(pairs: DataFrame, index: DataFrame, sizes: DataFrame, k: int) -> Da
     pairs = cut_lineage(pairs)
     asked = pairs.groupBy("c", "cell").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     plan = F.broadcast(asked.join(sizes, ["c", "cell"]))
-    left = pairs.join(plan, ["c", "cell"]).select("query_id", "v", "c", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int").alias("chunk"))
-    right = index.join(plan, ["c", "cell"]).select("label", "v", "c", "cell", F.pmod(F.xxhash64("label"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    left = pairs.join(plan, ["c", "cell"]).select("query_id", "kind", "v", "c", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int").alias("chunk"))
+    right = index.join(plan, ["c", "cell"]).select("label", "kind", "v", "c", "cell", F.pmod(F.xxhash64("label"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     key = ("c", "cell", "block", "chunk")
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_meet(k), _FOUND)
 
@@ -164,14 +167,15 @@ def nearest(queries: DataFrame, concepts: DataFrame, k: int = 1, by: str | None
     how many cells to make, else as many as leave some BLOCK concepts to each.
     """
     spark = queries.sparkSession
-    kind = F.xxhash64(by) if by else F.lit(0).cast("bigint")
-    q = _valid(queries, [F.col("query_id").cast("bigint").alias("query_id"), kind.alias("c")])
-    c = _valid(concepts, [F.col("label").cast("bigint").alias("label"), kind.alias("c")])
-    n, classes, dim = c.agg(F.count("*"), F.count_distinct("c"), F.max(F.size("v"))).first()
+    kind = (F.xxhash64(by) if by else F.lit(0).cast("bigint")).alias("kind")
+    q = _valid(queries, [F.col("query_id").cast("bigint").alias("query_id"), kind])
+    c = _valid(concepts, [F.col("label").cast("bigint").alias("label"), kind])
+    n, classes, dim = c.agg(F.count("*"), F.count_distinct("kind"), F.max(F.size("v"))).first()
     if not n:
         return spark.createDataFrame([], f"{_FOUND}, rank int")
-    if classes > MAX_CELLS:
-        raise ValueError(f"{classes} classes; at most {MAX_CELLS}")
+    # more classes than cells share them; a task tells them apart
+    shared = F.col("kind") if classes <= MAX_CELLS else F.pmod("kind", F.lit(MAX_CELLS))
+    q, c, classes = q.withColumn("c", shared), c.withColumn("c", shared), min(classes, MAX_CELLS)
     wanted = pivots or max(1, n // BLOCK)
     many = max(1, min(wanted, MAX_CELLS // classes, PIVOT_BYTES // (8 * dim)))
     chosen = c.where(F.size("v") == dim).orderBy(F.xxhash64("label"), "label").limit(many).select("v").toArrow()
@@ -188,7 +192,7 @@ def nearest(queries: DataFrame, concepts: DataFrame, k: int = 1, by: str | None
         found = cut_lineage(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"))
         # the k-th best so far; with fewer than k all cells remain
         bound = found.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("had"))
-        reach = F.when(F.col("had") < k, F.lit(float("inf"))).otherwise(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("least"))))
-        again = q.join(bound, "query_id").select("query_id", "c", "v", reach.alias("reach"))
+        reach = F.when(F.coalesce("had", F.lit(0)) < k, F.lit(float("inf"))).otherwise(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("least"))))
+        again = q.join(bound, "query_id", "left").select("query_id", "kind", "c", "v", reach.alias("reach"))
         found = found.unionByName(_matched(_pairs(again, cells, k, dim, True), index, sizes, k))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

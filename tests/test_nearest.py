@@ -47,6 +47,13 @@ def test_brute_force(spark, clustered, monkeypatch, k, by):
     assert found(N.nearest(qs, cs, k, "kind" if by else None, pivots=20)) == brute(q, c, k, by)
 
 
+def test_classes_that_share_cells(spark, clustered, monkeypatch):
+    monkeypatch.setattr(N, "MAX_CELLS", 2)
+    monkeypatch.setattr(N, "BLOCK", 50)
+    q, c = clustered
+    assert found(N.nearest(*frames(spark, q, c), 3, "kind", pivots=20)) == brute(q, c, 3, True)
+
+
 def test_more_asked_than_there_are(spark):
     q, c = [(1, "a", [1, 0])], [(5, "a", [1, 0]), (4, "a", [1, 0]), (9, "a", [0, 1])]
     assert found(N.nearest(*frames(spark, q, c), 9)) == brute([(1, "a", np.array([1, 0]))], [(i, k, np.array(v)) for i, k, v in c], 9)
