@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from . import spans as S
 
@@ -19,15 +23,63 @@ def label_ids(classes: list[str]) -> dict[str, int]:
     return {"O": 0} | {f"{p}-{c}": 1 + 2 * i + j for i, c in enumerate(classes) for j, p in enumerate("BI")}
 
 
+def _whole_notes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by note_id, in tables that hold each note as a whole."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        notes = batch.column("note_id")
+        same = pc.fill_null(pc.equal(notes, notes[len(notes) - 1]), notes[len(notes) - 1].as_py() is None).to_numpy(zero_copy_only=False)
+        first = len(notes) - int(np.argmin(same[::-1])) if not same.all() else 0
+        if first or held and held[-1].column("note_id")[0].as_py() != notes[0].as_py():
+            yield pa.Table.from_batches([*held, batch.slice(0, first)])
+            held = []
+        held.append(batch.slice(first))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _painted(note: np.ndarray, start: np.ndarray, end: np.ndarray, order: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens in order (their rows), the row of the last span on each (or -1), and whether it is the span's first token."""
+    wide = int(end.max(initial=0)) + 2
+    begin, stop = note * wide + start, note * wide + end
+    tokens, spans = np.flatnonzero(token), np.flatnonzero(~token)
+    tokens = tokens[np.argsort(begin[tokens], kind="stable")]
+    spans = spans[np.lexsort((order[spans], note[spans]))]
+    first = np.searchsorted(stop[tokens], begin[spans], "right")
+    many = np.maximum(np.searchsorted(begin[tokens], stop[spans], "left") - first, 0)
+    at = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+    last = np.full(len(tokens), -1)
+    np.maximum.at(last, at, np.repeat(np.arange(len(spans)), many))
+    opens = (last >= 0) & (np.append(first, -1)[last] == np.arange(len(tokens)))
+    return tokens, np.append(spans, -1)[last], opens
+
+
 def bio_encode(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     """Tokens (note_id, ord, start, end) with `tag`: B-class at a span's first token, I-class at its others, O elsewhere.
 
-    A token belongs to the span if it overlaps it; of several spans the last one (`ord`) counts. spans carry `cls`.
+    A token belongs to the span if it overlaps it; of several spans the last one (`ord`) counts. spans carry `cls`. Tokens of a
+    note don't overlap. Both tables go through one shuffle by note; many notes are painted at once, and a task holds a batch of rows and
+    what its last note has beyond.
     """
-    pairs = S.overlap_join(tokens.select("note_id", "ord", "start", "end"), spans.select("note_id", "ord", "start", "end", "cls"))
-    first = F.min("l_ord").over(W.partitionBy("l_note_id", "r_ord"))
-    tagged = pairs.withColumn("tag", F.concat(F.when(F.col("l_ord") == first, "B-").otherwise("I-"), F.col("r_cls"))).groupBy(F.col("l_note_id").alias("note_id"), F.col("l_ord").alias("ord")).agg(F.max_by("tag", "r_ord").alias("tag"))
-    return tokens.join(tagged, ["note_id", "ord"], "left").withColumn("tag", F.coalesce("tag", F.lit("O")))
+    kinds = tokens.schema
+    place = ("note_id", F.col("start").alias("__start"), F.col("end").alias("__end"), F.col("ord").alias("__ord"))
+    both = tokens.select(*place, F.lit(None).cast("string").alias("__cls"), F.struct(*tokens.columns).alias("__token"))
+    both = both.unionByName(spans.select(*place, F.col("cls").alias("__cls"), F.lit(None).cast(kinds).alias("__token")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_notes(b for b in batches if len(b)):
+            column = lambda c: rows.column(c).combine_chunks()  # noqa: E731,B023
+            number = lambda c: column(c).to_numpy(zero_copy_only=False).astype(np.int64)  # noqa: E731,B023
+            note = pc.fill_null(column("note_id").dictionary_encode().indices, -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            whole, cls = column("__token"), column("__cls")
+            at, span, opens = _painted(note, number("__start"), number("__end"), number("__ord"), whole.is_valid().to_numpy(zero_copy_only=False))
+            named = cls.take(pa.array(span, mask=span < 0))
+            tag = pc.binary_join_element_wise(pc.if_else(pa.array(opens), "B-", "I-"), named, "")
+            found = whole.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*found.flatten(), pc.fill_null(tag, "O")], names=[*kinds.names, "tag"])
+
+    out = T.StructType([*kinds.fields, T.StructField("tag", T.StringType())])
+    return both.repartition("note_id").sortWithinPartitions("note_id").mapInArrow(run, out)
 
 
 def _field(name: str):
