@@ -53,3 +53,19 @@ def concept_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = n.select((F.col("n_nationkey") + 1000).alias("sctid"), F.col("n_name").alias("fsn"))
     d = G.concept_details(nodes, up.unionByName(down), nodes.select("sctid"))
     return d.select((F.col("sctid") - 1000).alias("sctid"), "fsn", F.get("parents", F.lit(0)).alias("parent"), F.coalesce(F.size("children"), F.lit(0)).cast("bigint").alias("n_children")).withColumn("n_children", F.greatest("n_children", F.lit(0)))
+
+
+_STEPS = """WITH RECURSIVE e AS (SELECT a.p_partkey AS src, b.p_partkey AS dst FROM part a CROSS JOIN (SELECT unnest([1, 2, 3]) AS k) JOIN part b ON b.p_partkey = a.p_partkey + k),
+reach(node, hops) AS (SELECT 1::BIGINT, 0 UNION SELECT e.dst, hops + 1 FROM reach JOIN e ON e.src = node WHERE hops < 11),
+dist AS (SELECT node, min(hops) AS d FROM reach GROUP BY node),
+short AS (SELECT e.src, e.dst FROM e JOIN dist x ON x.node = e.src JOIN dist y ON y.node = e.dst AND y.d = x.d + 1),
+walk(node, path) AS (SELECT 1::BIGINT, [1::BIGINT] UNION ALL SELECT s.dst, list_append(path, s.dst) FROM walk JOIN short s ON s.src = node WHERE s.dst <= 30)
+"""
+
+
+@query("shortest_path_ties", _STEPS + "SELECT array_to_string(min(path), '>') AS path FROM walk WHERE node = 30")
+def shortest_path_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten equally short paths from part 1 to part 30 by steps of one to three: the one with the smallest numbers."""
+    p = I.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("bigint").alias("src"))
+    edges = p.select("src", F.explode(F.array(*(F.col("src") + k for k in (1, 2, 3)))).alias("dst")).join(p.select(F.col("src").alias("dst")), "dst")
+    return G.shortest_path(edges, 1, 30).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
