@@ -121,7 +121,7 @@ def tag_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = I.gold(spark, sf_dir).withColumn("cls", F.when(F.col("concept_id") % 2 == 0, "find").otherwise("proc"))
     ids = N.label_ids(["find", "proc"])
     number = F.create_map(*(F.lit(x) for pair in ids.items() for x in pair))[F.col("tag")]
-    tagged = N.bio_encode(D.token_table(I.notes(spark, sf_dir)), g)
+    tagged = N.bio_encode(D.token_table(I.notes(spark, sf_dir)).select("note_id", "ord", "start", "end"), g)
     return tagged.groupBy("note_id").agg(F.count("*").alias("n"), F.sum(number * (F.col("ord") + 1)).alias("total"))
 
 

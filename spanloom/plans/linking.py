@@ -61,7 +61,7 @@ def _tagged(spark, sf_dir):
     from ..operators import dictionary as D
 
     g = I.gold(spark, sf_dir).withColumn("cls", F.when(F.col("concept_id") % 2 == 0, "find").otherwise("proc"))
-    return N.bio_encode(D.token_table(I.notes(spark, sf_dir)), g)
+    return N.bio_encode(D.token_table(I.notes(spark, sf_dir)).select("note_id", "ord", "start", "end"), g)
 
 
 _TAGS = """, p AS (SELECT t.note_id, t.ord, g.ord AS g, t.ord = min(t.ord) OVER (PARTITION BY t.note_id, g.ord) AS first, CASE WHEN g.c % 2 = 0 THEN 'find' ELSE 'proc' END AS cls FROM """ + I.bucketed("tokens") + """ t JOIN """ + I.bucketed("gold") + """ g ON g.note_id = t.note_id AND g.b = t.b AND g.b = greatest(g.s, t.s) // 64 AND greatest(t.s, g.s) < least(t.e, g.e)),
