@@ -132,8 +132,8 @@ def common_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("greedy_keys", _SCORED.replace("WITH ", "WITH RECURSIVE ", 1) + """, keyed AS (SELECT c, section, entry, count(DISTINCT CASE WHEN score = 1 THEN note_id END) AS p, count(DISTINCT CASE WHEN score = -1 THEN note_id END) AS m FROM scored GROUP BY c, section, entry),
-counts AS (SELECT c, count(*) AS n FROM sgold GROUP BY c),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY -(p / (m + 0.01::DOUBLE)), section, entry) AS i, p / (m + 0.01::DOUBLE) AS ratio FROM keyed JOIN counts USING (c)),
+counts AS MATERIALIZED (SELECT c, count(*) AS n FROM sgold GROUP BY c),
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY c ORDER BY -(p / (m + 0.01::DOUBLE)), section, entry) AS i, p / (m + 0.01::DOUBLE) AS ratio FROM keyed JOIN counts USING (c)),
 fold AS (SELECT c, 0::BIGINT AS i, 0::HUGEINT AS r, 0::HUGEINT AS w, NULL::VARCHAR AS section, NULL::VARCHAR AS entry, false AS bad FROM counts
 UNION ALL SELECT k.c, k.i, f.r + CASE WHEN keep THEN p ELSE 0 END, f.w + CASE WHEN keep THEN m ELSE 0 END, k.section, k.entry, NOT keep FROM fold f, LATERAL (SELECT x.*, coalesce(f.r::DOUBLE / nullif(f.w + n, 0) < ratio, false) OR NOT (p < CASE WHEN p = 1 THEN 1.0 ELSE (CASE WHEN x.section = 'any' THEN 0.3 ELSE 0.2 END) * CASE WHEN f.i > 2 THEN 2 ELSE 1 END END * m) AS keep FROM ranked x WHERE x.c = f.c AND x.i = f.i + 1) k)
 SELECT c AS concept_id, section, entry AS dict_entry, bad FROM fold WHERE i > 0""")
