@@ -266,3 +266,14 @@ def test_one_vs_one_auc(spark):
     pairs = [[float((p[a] > q[a]) + (p[a] == q[a]) / 2) for y, p in data if y == a for z, q in data if z == b] for a in range(3) for b in range(3) if a != b]
     assert E.one_vs_one_auc(df, "y", "p", 3).first().auc == pytest.approx(np.mean([np.mean(x) for x in pairs]))
     assert E.one_vs_one_auc(df.where("y < 2"), "y", "p", 3).first().auc is None
+
+
+def test_abbreviations_are_distinct_without_shuffling_the_result(spark):
+    from spanloom.operators import terminology as A
+
+    abbr = spark.createDataFrame([("BP", "Blood Pressure"), ("BP", "Blood Pressure"), ("HR", "heart rate"), ("XX", "unknown")], "abbreviation string, meaning string")
+    names = [(1, "blood pressure", 0), (2, "blood pressure", 1), (2, "blood pressure", 2), (3, "heart rate (obs)", 3), (4, "heart rate", 4)]
+    found = A.abbreviations(abbr, spark.createDataFrame(names, "concept_id long, concept_name string, ord int"))
+    assert sorted(tuple(r) for r in found.collect()) == [("BP", "Blood Pressure", 1, "blood pressure"), ("BP", "Blood Pressure", 2, "blood pressure"), ("HR", "heart rate", 3, "heart rate (obs)")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")
