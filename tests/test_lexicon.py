@@ -87,3 +87,15 @@ def test_sweep_follows_the_rule():
         rows = sorted((s, s + rng.randint(1, 9), 0.0) for s in (rng.randint(0, 25) for _ in range(rng.randint(0, 14))))
         rows = [(s, e, e - s - 0.1 * rng.randint(0, 1)) for s, e, _ in rows]
         assert S.sweep(rows) == pairwise(rows)
+
+
+def test_large_lexicon_takes_one_pass(spark, notes, monkeypatch):
+    """However many shards the terms would fill, the notes are read once; a map too small for the keys drops no match."""
+    lexicon = spark.createDataFrame([(f"{a} {b}", i) for i, (a, b) in enumerate((a, b) for a in PARTS for b in PARTS)], "term string, id long")
+    whole = L.match_terms(notes, lexicon)
+    monkeypatch.setattr(L, "SHARD_BYTES", 300)
+    for bits in (6, 27):
+        monkeypatch.setattr(L, "SLOT_BITS", bits)
+        parts = L.match_terms(notes, lexicon)
+        assert parts.columns == whole.columns and parts._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+        assert parts.exceptAll(whole).count() == 0 == whole.exceptAll(parts).count() and parts.count() > 500
