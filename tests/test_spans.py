@@ -149,3 +149,35 @@ def test_offset_check_raises(spark):
     bad = spans(spark, [("n", 0, 2, 1)]).withColumn("span", F.lit("bc"))
     with pytest.raises(ValueError, match="1 spans"):
         S.check_offsets(bad, notes)
+
+
+def test_choices_do_not_depend_on_batches(spark):
+    """Chains cut by a batch's end, chains of one span, and one long chain give what a whole note gives."""
+    rng = random.Random(8)
+    data = {f"n{n}": [(s := rng.randrange(90), s + rng.randint(1, 7)) for _ in range(rng.randint(0, 60))] for n in range(12)} | {"long": [(i, i + 2 + i % 2) for i in range(900)]}
+    df = spans(spark, [(n, s, e, 1) for n, items in data.items() for s, e in items])
+    df = df.withColumn("any_section", F.col("ord") % 3 == 0).withColumn("dict_ord", F.col("ord"))
+    wanted = [rows(f(df), "note_id", "start", "end", "ord") for f in (S.longest_wins, S.remove_overlaps)] + [rows(S.alternation_scan(df), "note_id", "start", "end")]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = [rows(f(df), "note_id", "start", "end", "ord") for f in (S.longest_wins, S.remove_overlaps)] + [rows(S.alternation_scan(df), "note_id", "start", "end")]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == wanted
+    for f in (S.longest_wins, S.remove_overlaps, S.alternation_scan):  # no list or frame for each note or chain
+        plan = f(df)._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list" not in plan and "FlatMapGroups" not in plan
+    assert [(s, e) for n, s, e, _ in wanted[0] if n == "long"] == [(s, e) for s, e, _ in brute_longest([(*x, i) for i, x in enumerate(data["long"])])]
+
+
+def test_first_overlaps_equal_all_pairs(spark):
+    rng = random.Random(9)
+    data = {f"n{n}": [(s := rng.randrange(40), s + rng.randint(0, 5)) for _ in range(rng.randint(0, 8))] for n in range(60)}
+    df = spark.createDataFrame([(n, s, e, 1, i) for n, items in data.items() for i, (s, e) in enumerate(items)], SPAN)
+    want = []
+    for n, items in data.items():
+        pairs = [(a, i, b, c, j, d) for i, (a, b) in enumerate(items) for j, (c, d) in enumerate(items) if i != j and a <= c < b]
+        want += [(n, p[0], p[2], p[3], p[5]) for p in [min(pairs, default=None)] if p]
+    found = S.first_overlaps(df)
+    assert rows(found, "note_id", "start1", "end1", "start2", "end2") == sorted(want) and len(want) > 20
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
