@@ -46,3 +46,16 @@ def test_roll_over_all_rows(spark, n):
     assert got == {2 * i: (float(2 * ((i - 1) % n)), 2 * ((i - 1) % n) % 3, n) for i in range(n)}
     m = V.mixup(df, "k", 0.5, 3)
     assert m.count() == n and all(abs(sum(r.targets) - 1) < 1e-9 for r in m.collect())
+
+
+def test_pairs_are_written_once(spark, monkeypatch):
+    """What rounds leave holds each pair once, however many rounds there are; steps and jumps are gone, shuffle files too."""
+    folders = []
+    monkeypatch.setattr(G, "Rounds", lambda s, made=G.Rounds: folders.append(made(s)) or folders[-1])
+    chains = spark.range(40 * 30).where("id % 40 < 39").select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    got = G.reachable(chains, spark.range(40 * 30).select(F.col("id").alias("node")))
+    assert got.count() == 30 * 40 * 39 // 2 == got.distinct().count()
+    path = spark._jvm.org.apache.hadoop.fs.Path(folders[0].folder)
+    left = [f.getPath() for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+    assert not [f for f in left if f.getName() == "steps" or f.getName().startswith("jump")]
+    assert spark.read.parquet(*(f.toString() for f in left)).count() == got.count() + 40 * 30
