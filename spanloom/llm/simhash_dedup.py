@@ -21,7 +21,7 @@ empty result. Other columns are not read and may have any name, but for ROW in o
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -69,8 +69,13 @@ def shingle_hashes(text: bytes, words: int) -> Iterator[np.ndarray]:
 
 def fingerprint(text: bytes, words: int = 4) -> int:
     """SimHash of the word shingles of a text, repeats included; 0 where there is no word."""
+    return majorities(shingle_hashes(text, words))
+
+
+def majorities(hashes: Iterable[np.ndarray]) -> int:
+    """The bits that more than half of the hashes have set; 0 of none."""
     ones, n = np.zeros(64, np.int64), 0
-    for h in shingle_hashes(text, words):
+    for h in hashes:
         n += len(h)
         for i in range(0, len(h), 1 << 16):
             bits = np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
