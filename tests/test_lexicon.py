@@ -112,3 +112,28 @@ def test_surfaces_come_with_their_tokens(spark, name):
     """No text is joined to spans that are made of tokens."""
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "__text" not in plan
+
+
+@pytest.mark.parametrize("cased", [False, True])
+def test_large_lexicon_of_mentions_takes_one_pass(spark, notes, monkeypatch, cased):
+    """Signs around mentions, plurals, starts and ends of texts and header lines; the same as the tries of one shard find."""
+    more = spark.createDataFrame([("m1", "a.b (c) x\n\nhead (a):\n(a) as-b ss a/b b-a"), ("m2", "(c)"), ("m3", "-a ssb\n a:  \n"), ("m4", None)], "note_id string, text string")
+    both = notes.select("note_id", "text").unionByName(more)
+    mentions = ["a", "b", "(a)", "(c)", "((c))", "-a", "a-b", "a b", "a/b", "a ss", "s", "ss", "a.b", "x", ". c", "A", "head (a):", None, "a"]
+    entries = spark.createDataFrame([(m, i) for i, m in enumerate(mentions)], "mention string, concept_id long")
+    rows = lambda: sorted(map(tuple, L.match_mentions(both, entries, 3, 0, cased).collect()))
+    one = rows()
+    assert len({r[3] for r in one}) > 8 and {r[-1] for r in one} == {True, False}
+    monkeypatch.setattr(L, "SHARD_BYTES", 100)
+    monkeypatch.setattr(L, "_shards", lambda *_: pytest.fail("a pass for each shard"))
+    for bits in (6, 27):
+        monkeypatch.setattr(L, "SLOT_BITS", bits)
+        assert rows() == one
+
+
+def test_spelled_is_the_expression():
+    rng = random.Random(5)
+    for _ in range(20000):
+        mention, surface = ("".join(rng.choice(signs) for _ in range(rng.randint(1, 5))) for signs in ("ab -/s\n(", "ab -/s\n(\u00a0"))
+        for other in (surface, mention + "s" * rng.randint(0, 2), mention.replace("-", " ").replace(" ", "  ")):
+            assert L.spelled(mention, other) == bool(L.spelling(mention).fullmatch(other)), (mention, other)
