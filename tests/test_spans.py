@@ -202,3 +202,13 @@ def test_chains_and_numbers_go_on_across_batches_without_a_window(spark, batch):
                 kept.append((s, e, i))
         wanted += [(note, *k) for k in kept]
     assert got == sorted(wanted)
+
+
+def test_surfaces_in_runs(spark, monkeypatch):
+    """A note's spans, and those of many notes, go through in runs, so that a kernel's memory does not grow with a batch."""
+    monkeypatch.setattr(S, "RUN_SPANS", 3)
+    notes = spark.createDataFrame([("a", "one two"), ("b", None), ("c", "drei vier f\u00fcnf")], "note_id string, text string").coalesce(1)
+    rows = [(n, i, i + 2, i) for n in "abc" for i in range(5)]
+    found = S.with_surface(spark.createDataFrame(rows, "note_id string, start int, end int, ord int").coalesce(1), notes).collect()
+    texts = {"a": "one two", "b": None, "c": "drei vier f\u00fcnf"}
+    assert sorted(map(tuple, found), key=str) == sorted(((n, i, e, o, texts[n] and texts[n][i:e]) for n, i, e, o in rows), key=str)
