@@ -212,3 +212,14 @@ def test_surfaces_in_runs(spark, monkeypatch):
     found = S.with_surface(spark.createDataFrame(rows, "note_id string, start int, end int, ord int").coalesce(1), notes).collect()
     texts = {"a": "one two", "b": None, "c": "drei vier f\u00fcnf"}
     assert sorted(map(tuple, found), key=str) == sorted(((n, i, e, o, texts[n] and texts[n][i:e]) for n, i, e, o in rows), key=str)
+
+
+def test_prf_exact_with_odd_rows(spark):
+    """Repeated spans count once; spans of notes without gold don't count; a null among the keys equals nothing."""
+    kind = "note_id string, start int, end int"
+    gold = spark.createDataFrame([("a", 0, 2), ("a", 0, 2), ("a", 3, 5), ("b", 1, 2), ("b", None, 4), (None, 1, 2)], kind)
+    pred = spark.createDataFrame([("a", 0, 2), ("a", 0, 2), ("a", 7, 8), ("b", None, 4), ("c", 1, 2), (None, 1, 2)], kind)
+    assert tuple(E.prf_exact(gold, pred).first())[:3] == (1, 2, 4)
+    assert tuple(E.prf_exact(gold.where("false"), pred).first()) == (0, 0, 0, 0.0, 0.0, 0.0)
+    plan = E.prf_exact(gold, pred)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
