@@ -301,7 +301,7 @@ def file_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     part, docs = table("part"), table("documents")
     concept = part.select(F.col("p_partkey").alias("id"), F.concat(F.lit('a"b '), "p_name").alias("effectiveTime"), F.when(F.col("p_partkey") % 5 == 0, 0).otherwise(1).alias("active"), F.lit(1).alias("moduleId"), F.lit(2).alias("definitionStatusId"))
     concept.write.csv(f"{root}/rf2", sep="\t", header=True, quote='"', escape='"', quoteAll=True)
-    docs.select("doc_id", "text").write.csv(f"{root}/gz", header=True, quote='"', escape='"', compression="gzip")
+    files.write_csv(docs.select("doc_id", "text"), f"{root}/gz", compression="gzip")
     table("nation").select("n_nationkey", "n_name").write.parquet(f"{root}/tables/x/rows_train.parquet")
     table("region").select(F.col("r_regionkey").alias("n_nationkey"), F.col("r_name").alias("n_name")).write.parquet(f"{root}/tables/y/rows_test.parquet")
     files.write_synonyms_json(part.select(F.col("p_partkey").alias("sctid"), F.array("p_name", "p_brand").alias("synonyms")), f"{root}/json")
@@ -315,7 +315,7 @@ def file_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
         kept = files.cached(spark, f"{root}/cached", lambda: table("nation").select("n_nationkey", "n_name"))
     files.write_csv(docs.select("doc_id", "text"), f"{root}/folder/docs")
     files.rewrite_oneline(spark, f"{root}/folder", {"docs": "doc_id bigint, text string"})
-    flat = spark.read.csv(f"{root}/folder/docs", schema="doc_id bigint, text string", header=True, quote='"', escape='"')
+    flat = files.read_csv(spark, f"{root}/folder/docs", "doc_id bigint, text string")
     md5 = lambda c: F.md5(F.col(c).cast("binary"))
     read = [
         _digest(files.read_rf2(spark, f"{root}/rf2", files.CONCEPT, quotes=True), "rf2_quoted", "id", "effectiveTime"),
@@ -324,7 +324,7 @@ def file_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
         _digest(files.read_synonyms_json(spark, f"{root}/json"), "synonyms", "sctid", F.array_join("synonyms", "+")),
         _digest(spark.read.parquet(files.first_existing(spark, [f"{root}/none", f"{root}/lexicon"])), "lexicon", "p_name", "p_partkey"),
         _digest(edges.join(nodes, edges.s_nationkey == nodes.n_nationkey), "graph", "s_suppkey", "n_name"),
-        _digest(spark.read.schema("doc_id bigint, lang string, text string").json(f"{root}/jsonl"), "jsonl", "doc_id", "lang", md5("text")),
+        _digest(files.read_jsonl(spark, f"{root}/jsonl", "doc_id bigint, lang string, text string"), "jsonl", "doc_id", "lang", md5("text")),
         _digest(kept, "cached", "n_nationkey", "n_name"),
         _digest(files.read_notes(spark, f"{root}/notes"), "notes_csv", "note_id", md5("text")),
         _digest(spark.read.text(f"{root}/report"), "report", "value"),

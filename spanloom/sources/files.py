@@ -15,6 +15,11 @@ RELATIONSHIP = "id bigint, effectiveTime string, active int, moduleId bigint, so
 OMOP_CONCEPT = "concept_id int, concept_name string, domain_id string, vocabulary_id string, concept_class_id string, standard_concept string, concept_code string, valid_start_date string, valid_end_date string, invalid_reason string"
 OMOP_RELATIONSHIP = "concept_id_1 int, concept_id_2 int, relationship_id string, valid_start_date string, valid_end_date string, invalid_reason string"
 
+#: What CSV needs to give every text back: blanks at a cell's ends stay, NUL is no escape, a null is an empty cell and an empty text a
+#: quoted one. On reading an empty cell takes the null's name, so that a quoted one is not taken for it. Both use noncharacters.
+CSV_OPTIONS = {"quote": '"', "escape": '"', "charToEscapeQuoteEscaping": "\uffff", "header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+CSV_NULL = "\ufffe\uffff"
+
 
 def read_rf2(spark: SparkSession, path: str, schema: str, quotes: bool = False, active_only: bool = True) -> DataFrame:
     """A tab-separated release file; quotes are ordinary characters unless asked for. Cells are trimmed."""
@@ -30,7 +35,7 @@ def read_omop(spark: SparkSession, path: str, schema: str, columns: list[str] |
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Quoted CSV whose cells may hold line feeds; .gz is unpacked by Spark (one task a file)."""
-    return spark.read.csv(path, schema=schema, header=True, multiLine=True, quote='"', escape='"')
+    return spark.read.options(**CSV_OPTIONS).csv(path, schema=schema, multiLine=True, nullValue=CSV_NULL)
 
 
 def read_notes(spark: SparkSession, path: str) -> DataFrame:
@@ -53,7 +58,7 @@ def read_tables(spark: SparkSession, root: str, parts: list[tuple[str, str, str]
 
 def read_synonyms_json(spark: SparkSession, path: str) -> DataFrame:
     """sctid, synonyms from lines of {"sctid": ..., "synonyms": [...]}."""
-    return spark.read.schema("sctid bigint, synonyms array<string>").json(path)
+    return read_jsonl(spark, path, "sctid bigint, synonyms array<string>")
 
 
 def write_synonyms_json(df: DataFrame, path: str) -> None:
@@ -81,8 +86,8 @@ def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+def write_csv(df: DataFrame, path: str, compression: str = "none") -> None:
+    df.write.mode("overwrite").options(**CSV_OPTIONS).csv(path, compression=compression)
 
 
 def write_csv_oneline(df: DataFrame, path: str) -> None:
@@ -94,7 +99,7 @@ def write_csv_oneline(df: DataFrame, path: str) -> None:
 
 def read_csv_oneline(spark: SparkSession, path: str, schema: str, columns: list[str]) -> DataFrame:
     """The inverse: line feeds restored in the columns; rows are split by line, so big files are read in parallel."""
-    df = spark.read.csv(path, schema=schema, header=True, quote='"', escape='"')
+    df = spark.read.options(**CSV_OPTIONS).csv(path, schema=schema)
     return df.withColumns({c: T.restore_lines(c) for c in columns})
 
 
@@ -103,6 +108,11 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Lines of JSON with texts of any length; by default a line with one above 20 million characters comes as nulls."""
+    return spark.read.option("maxStringLen", 2**31 - 1).json(path, schema=schema)
+
+
 def write_parts(df: DataFrame, path: str, by: list[str]) -> None:
     """A folder for each value of the columns."""
     df.write.mode("overwrite").partitionBy(*by).parquet(path)
