@@ -2,7 +2,11 @@
 
 import random
 
-from spanloom.operators import tags
+import numpy as np
+from pyspark.sql import functions as F
+
+from spanloom.operators import spans as S
+from spanloom.operators import tags, tokens
 
 
 def plain(tokens, spans):
@@ -33,3 +37,21 @@ def test_random_notes(spark):
     assert all(r.tok == "t" for r in got)
     assert {r.tag for r in tags.bio_encode(t, s.where("false")).collect()} == {"O"}
     assert tags.bio_encode(t.where("false"), s).count() == 0
+
+
+def test_decoding_of_noted_texts(spark):
+    """Tags and mentions from the texts and their arrays of spans, as from rows of tokens; no shuffle."""
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("ab ,é-"), rng.integers(0, 60))) for _ in range(80)] + ["", None]
+    spans = [[(int(s), int(s + rng.integers(0, 12)), o, "xy"[rng.integers(2)]) for o, s in enumerate(rng.integers(0, 60, rng.integers(0, 9)))] for _ in texts]
+    kind = "note_id string, text string, spans array<struct<start: int, end: int, ord: int, cls: string>>"
+    noted = spark.createDataFrame([(str(i), t, s if i % 9 else None) for i, (t, s) in enumerate(zip(texts, spans, strict=True))], kind).localCheckpoint()
+    flat = noted.select("note_id", F.inline("spans"))
+    tagged = tags.bio_encode(tokens.token_table(noted).select("note_id", "ord", "start", "end"), flat).withColumn("conf", (F.col("start") % 7 + 1) / 8.0).localCheckpoint()
+    for want, conf in ((tags.bio_decode(tagged), None), (tags.bio_decode_merging(tagged), lambda start, end: (start % 7 + 1) / 8.0)):
+        got = tags.decode_noted(noted, ["x", "y"], conf)
+        rows = lambda df: sorted(tuple(r)[:4] + tuple(round(x, 9) for x in r[4:]) for r in df.collect())
+        assert rows(got) == rows(want) and got.count() > 50
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    named = S.noted_surfaces(noted)
+    assert all(r.surface == (None if texts[int(r.note_id)] is None else texts[int(r.note_id)][r.start : r.end]) for r in named.collect()) and named.count() == flat.count()
