@@ -39,6 +39,12 @@ def test_char_iou_by_note(spark, monkeypatch):
     assert E.mean_char_iou(g, p.where("false")).first()[0] == 0.0 and E.char_iou(g.where("false"), p.where("false")).count() == 0
 
 
+def test_concept_overwritten_everywhere(spark):
+    """Its spans have no character left on either side: 0, not an error."""
+    g = spark.createDataFrame([("a", 0, 4, 1, 0), ("a", 0, 5, 2, 1)], SPAN)
+    assert {tuple(r) for r in E.char_iou(g, g).collect()} == {(1, 0, 0, 0.0), (2, 5, 5, 1.0)}
+
+
 def test_whole_notes():
     import pyarrow as pa
 
